@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm.bpe import op5_byte_bpe
+from verdigris.llm.chat import OP3_SQL, op3_chat_format
 from verdigris.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from verdigris.llm.simhash import op4_simhash
+from verdigris.llm.topk import OP1_SQL, op1_topk
+from verdigris.llm.urls import OP8_SQL, op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_byte_bpe": op5_byte_bpe, "op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op1_topk": op1_topk,
+        "op3_chat_format": op3_chat_format,
+        "op4_simhash": op4_simhash,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op8_url_filter": op8_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
