@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdigris.llm.bpe import op5_byte_bpe
 from verdigris.llm.chat import OP3_SQL, op3_chat_format
 from verdigris.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from verdigris.llm.quality import op2_quality
 from verdigris.llm.simhash import op4_simhash
 from verdigris.llm.topk import OP1_SQL, op1_topk
 from verdigris.llm.urls import OP8_SQL, op8_url_filter
@@ -17,6 +18,7 @@ from verdigris.llm.urls import OP8_SQL, op8_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
+        "op2_quality": op2_quality,
         "op3_chat_format": op3_chat_format,
         "op4_simhash": op4_simhash,
         "op5_byte_bpe": op5_byte_bpe,
