@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from verdigris.llm.bpe import op5_byte_bpe
 from verdigris.llm.chat import OP3_SQL, op3_chat_format
 from verdigris.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from verdigris.llm.mixing import op7_mixing
+from verdigris.llm.pii import op10_pii
 from verdigris.llm.quality import op2_quality
 from verdigris.llm.simhash import op4_simhash
 from verdigris.llm.topk import OP1_SQL, op1_topk
@@ -23,7 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_mixing": op7_mixing,
         "op8_url_filter": op8_url_filter,
+        "op10_pii": op10_pii,
     }
 
 
