@@ -12,6 +12,7 @@ from verdigris.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from verdigris.llm.mixing import op7_mixing
 from verdigris.llm.pii import op10_pii
 from verdigris.llm.quality import op2_quality
+from verdigris.llm.repeats import op9_repeats
 from verdigris.llm.simhash import op4_simhash
 from verdigris.llm.topk import OP1_SQL, op1_topk
 from verdigris.llm.urls import OP8_SQL, op8_url_filter
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
         "op8_url_filter": op8_url_filter,
+        "op9_repeats": op9_repeats,
         "op10_pii": op10_pii,
     }
 
