@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from verdigris.llm.bpe import op5_byte_bpe
 from verdigris.llm.chat import OP3_SQL, op3_chat_format
 from verdigris.llm.exact_dedup import OP6_SQL, op6_exact_dedup
@@ -30,8 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_repeats": op9_repeats,
         "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op1_topk": OP1_SQL, "op3_chat_format": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op8_url_filter": OP8_SQL}

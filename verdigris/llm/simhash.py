@@ -71,18 +71,20 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def near_then_add(self, value: int, radius: int) -> list[int]:
-        """Positions of values within radius of value, which is then added."""
-        found, todo = [], [0] if self.values else []
+    def near(self, value: int, radius: int) -> Iterator[int]:
+        """Positions of values within radius of value, as they are found."""
+        todo = [0] if self.values else []
         while todo:
             at = todo.pop()
             distance = (self.values[at] ^ value).bit_count()
             if distance <= radius:
-                found.append(at)
+                yield at
             edges = self.children[at]
-            for d in range(distance - radius, distance + radius + 1):
+            for d in range(max(0, distance - radius), distance + radius + 1):
                 if (child := edges.get(d)) is not None:
                     todo.append(child)
+
+    def add(self, value: int) -> None:
         at, new = 0, len(self.values)
         while self.values:
             edges = self.children[at]
@@ -93,7 +95,6 @@ class BKTree:
             at = edges[distance]
         self.values.append(value)
         self.children.append({})
-        return found
 
 
 def _parts(marks: list[int], rest: list[int], radius: int) -> Iterator[list[int]]:
@@ -129,10 +130,11 @@ def shard_links(marks: list[int], rest: list[int], radius: int = RADIUS) -> list
     for part in _parts(marks, rest, radius):
         tree = BKTree()
         for mark in part:
-            for at in tree.near_then_add(mark, radius):
+            for at in tree.near(mark, radius):
                 a, b = find(mark), find(tree.values[at])
                 if a != b:
                     root[max(a, b)] = min(a, b)
+            tree.add(mark)
     return [(mark, top) for mark in marks if (top := find(mark)) != mark]
 
 
@@ -198,17 +200,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marks.join(of_mark, "mark").select("doc_id", "mark", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, with all their columns.
-
-    A row with a null id stays if its group has no other. Of rows that repeat the
-    staying id all stay: the exact stage is what removes those.
-    """
-    groups = near_groups(docs, id_col, text_col, words)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay_id"]), "left_semi")
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
