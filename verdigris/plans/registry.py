@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.plans.fixtures import Tables, oracle
+
+_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("records", "corpus", "merges", "hive", "reports", "texts", "money", "streams")
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register a function of Tables as the query of a name; sql is its result in DuckDB, <x> being table or view x."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered already")
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = oracle(sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for module in _MODULES:
+        importlib.import_module(f"verdigris.plans.{module}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return {name: lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir)) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
