@@ -160,10 +160,10 @@ def test_long_texts_are_scanned_in_pieces(spark, monkeypatch):
     r = random.Random(9)
     one = "".join(r.choice("abcdefgh") for _ in range(9000))
     texts = [one + "tail", "head" + one, one[2000:2400] + "z" * 10]
-    batches = [(i, i, t.encode()) for i, t in enumerate(texts)]
+    batches = [(i, i, 0, t.encode()) for i, t in enumerate(texts)]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([b[k] for b in batches], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "h", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([b[k] for b in batches], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "h", "offset", "text"])
     seen = [0] * 3
     for keys, data, bounds in repeats._pieces(iter([batch]), 200):
         _, first, last, _ = repeats.scan(data, bounds)

@@ -10,7 +10,7 @@ A stack scan of its common-prefix intervals gives the maximal repeats, those who
 occurrences differ in what stands to their left, with all their occurrences.
 
 An anchor with very many different surroundings (a short line that half the corpus
-has) is resolved by digests of its windows, which are counted like any key.
+has) parts them by longer anchors, in the same way, up to whole windows.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from verdigris.llm.shared import sliced, written
 
 #: Bytes of a repeat, and of an anchor in it.
 LENGTH, GRAM = 200, 64
-#: Different surroundings of an anchor beyond which its windows are counted by digest.
-HOT = 400
+#: Different surroundings of an anchor beyond which they are parted by longer anchors.
+HOT = 1500
 #: Bytes that are scanned at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 _PLACE = 24  # bits of a position in a piece
 _BASE = 0x9E3779B97F4A7C15
 
@@ -86,8 +86,8 @@ def scan(data: bytes, bounds: list[tuple[int, int]], length: int = LENGTH, gram:
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[tuple], bytes, list[tuple[int, int]]]]:
     """Texts joined up to PIECE bytes: (keys and offsets, bytes, bounds). A longer text is cut with an overlap."""
     keys, parts, bounds, size = [], [], [], 0
-    for batch in batches:
-        for doc_id, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+    for batch in sliced(batches, "text", PIECE):
+        for doc_id, h, offset, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             content = text or b""
             for at in range(0, max(1, len(content) - length + 1), PIECE // 2):
                 part = content[at : at + PIECE // 2 + length - 1]
@@ -96,7 +96,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[li
                 if size + len(part) > PIECE:
                     yield keys, b"".join(parts), bounds
                     keys, parts, bounds, size = [], [], [], 0
-                keys.append((doc_id, h, at - size))
+                keys.append((doc_id, h, offset + at - size))
                 bounds.append((size, size + len(part)))
                 parts.append(part)
                 size += len(part)
@@ -104,12 +104,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[li
         yield keys, b"".join(parts), bounds
 
 
-RECORD = "ah long, ch long, doc_id long, h long, a long, place int, run int"
-_RECORD = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("place", pa.int32()), ("run", pa.int32())])
+RECORD = "ah long, ch long, doc_id long, h long, a long, run int"
+_RECORD = [("ah", pa.int64()), ("ch", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("run", pa.int32())]
 
 
-def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Each run of windows: its anchor, the digest of its bytes, where it starts and how many windows follow the first."""
+def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
+    """Each run of windows: its anchor, the digest of its bytes, where it starts, how many windows follow the first, and maybe the bytes."""
+    schema = pa.schema([*_RECORD, *[("bytes", pa.binary())] * with_bytes])
     for keys, data, bounds in _pieces(batches, length):
         ah, first, last, place = scan(data, bounds, length, gram)
         if not len(ah):
@@ -122,7 +123,10 @@ def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
         hs, shift = np.array([k[1] for k in keys], np.int64)[of], np.array([k[2] for k in keys], np.int64)[of]
         for at in range(0, len(ah), 20_000):
             cut = slice(at, at + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ah[cut]), pa.array(ch[cut]), ids.slice(at, 20_000), pa.array(hs[cut]), pa.array((first + shift)[cut]), pa.array((place - first)[cut].astype(np.int32)), pa.array((last - first)[cut].astype(np.int32))], schema=_RECORD)
+            columns = [pa.array(ah[cut]), pa.array(ch[cut]), ids.slice(at, 20_000), pa.array(hs[cut]), pa.array((first + shift)[cut]), pa.array((last - first)[cut].astype(np.int32))]
+            if with_bytes:
+                columns.append(pa.array([data[a : b + length] for a, b in zip(first[cut].tolist(), last[cut].tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -215,41 +219,59 @@ def _edges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     yield batch_of()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Digests of every window of the surroundings."""
-    for batch in batches:
-        for doc_id, h, a, run, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[s : s + length]) for s in range(run + 1)), np.int64).reshape(-1, 2)
-            n = len(digests)
-            yield pa.RecordBatch.from_pydict({"w1": np.ascontiguousarray(digests[:, 0]), "w2": np.ascontiguousarray(digests[:, 1]), "doc_id": pa.array([doc_id] * n, pa.int64()), "h": pa.array([h] * n, pa.int64()), "start": np.arange(a, a + n)})
-
-
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, h, start, end): byte spans whose every window of length bytes also starts elsewhere; they may overlap.
+def _level(records: DataFrame, texts: DataFrame | None, length: int, hot: int) -> tuple[list[DataFrame], DataFrame]:
+    """Spans that one length of anchors resolves, and the surroundings (doc_id, h, a, bytes) of anchors that have too many.
 
-    texts has (doc_id, h, text binary), where equal (doc_id, h) have equal texts.
+    texts gives the bytes of examples where records don't carry them.
     """
-    if not 0 < gram < length or length - gram > 250:
-        raise ValueError("an anchor is shorter than a repeat, by 250 bytes at most")
-    records = texts.mapInArrow(lambda it: _records(it, length, gram), RECORD)
-    anchors = records.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1")
-    again = written(records.join(anchors.select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "ah"), "anchors")
+    anchors = written(records.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    again = written(records.join(anchors, "ah"), "records")
     whole = lambda df: df.select("doc_id", "h", F.col("a").alias("start"), (F.col("a") + F.col("run") + length).alias("end"))
     mixed = again.where("mixed")
-    kinds = written(mixed.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "a", "run")).alias("example")), "kinds")
+    named = ["doc_id", "h", "a", "run", *["bytes"] * (texts is None)]
+    kinds = written(mixed.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct(*named)).alias("example")), "kinds")
     alike = mixed.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
-    # One example of each kind, with its bytes.
-    wanted = kinds.select("ah", F.col("example.doc_id").alias("_id"), F.col("example.h").alias("_h"), F.col("example.a").alias("a"), F.col("example.run").alias("run"))
+    examples = kinds.select("ah", *(F.col(f"example.{c}").alias(c) for c in named))
+    if texts is not None:
+        wanted = examples.select("ah", F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "a", "run")
+        found = wanted.join(texts, wanted["_id"].eqNullSafe(texts["doc_id"]) & (wanted["_h"] == texts["h"]))
+        found = found.select("ah", "doc_id", "h", "a", "run", F.substring(F.col("text"), F.col("a").cast("int") + 1, F.col("run") + length).alias("bytes"))
+        examples = written(found.dropDuplicates(["ah", "doc_id", "h", "a"]), "edges")  # rows that repeat id and text give the same bytes
     many = kinds.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("ah")
-    bytes_of = wanted.join(texts, wanted["_id"].eqNullSafe(texts["doc_id"]) & (wanted["_h"] == texts["h"]))
-    bytes_of = bytes_of.select("ah", "doc_id", "h", "a", "run", F.substring(F.col("text"), F.col("a").cast("int") + 1, F.col("run") + length).alias("bytes"))
-    bytes_of = written(bytes_of.dropDuplicates(["ah", "doc_id", "h", "a"]), "edges")  # rows that repeat id and text give the same bytes
-    few = bytes_of.join(many, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah").select("ah", "doc_id", "h", "a", "run", "bytes")
+    few = examples.join(many, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah").select("ah", "doc_id", "h", "a", "run", "bytes")
     edges = few.mapInArrow(lambda it: _edges(it, length), SPAN)
-    windows = bytes_of.join(many, "ah", "left_semi").select("ah", "doc_id", "h", "a", "run", "bytes").mapInArrow(lambda it: _windows(it, length), "w1 long, w2 long, doc_id long, h long, start long")
-    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    busy = windows.join(counted, ["w1", "w2"], "left_semi").select("doc_id", "h", "start", (F.col("start") + length).alias("end"))
-    return whole(again.where("NOT mixed")).unionByName(whole(alike)).unionByName(edges).unionByName(busy)
+    return [whole(again.where("NOT mixed")), whole(alike), edges], examples.join(many, "ah", "left_semi").select("doc_id", "h", "a", "bytes")
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(doc_id, h, start, end): byte spans whose every window of length bytes also starts elsewhere; they may overlap.
+
+    texts has (doc_id, h, text binary), where equal (doc_id, h) have equal texts.
+    Where an anchor has more than hot different surroundings, anchors of half the
+    remaining length more part them, and at last whole windows, of which equal
+    ones have no surroundings left to differ in.
+    """
+    if not 0 < gram < length:
+        raise ValueError("an anchor is shorter than a repeat")
+    source = texts.select("doc_id", "h", F.lit(0).cast("long").alias("offset"), "text")
+    spans: list[DataFrame] = []
+    first = True
+    while True:
+        size, with_bytes = gram, not first
+        records = source.mapInArrow(lambda it, size=size, with_bytes=with_bytes: _records(it, length, size, with_bytes), RECORD + ", bytes binary" * with_bytes)
+        found, rest = _level(records, texts if first else None, length, hot)
+        spans += found
+        if gram == length:
+            break
+        source = written(rest.select("doc_id", "h", F.col("a").alias("offset"), F.col("bytes").alias("text")), "hot")
+        if source.isEmpty():
+            break
+        gram = length if length - gram < 32 else (gram + length + 1) // 2
+        first = False
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
