@@ -1 +1,203 @@
-"""Queries."""
+"""Queries of the text operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from verdigris.operators import texts
+from verdigris.plans.registry import query
+
+NORM = "array_to_string(list_filter(list_transform(string_split_regex({0}, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|#|\\*)')), chr(10))"
+TOK = f"list_distinct(list_filter(string_split_regex({NORM}, '\\s+'), lambda x: x <> ''))"
+FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query("code_normalize", f"SELECT doc_id, sha256({NORM.format('text')}) AS sha FROM <documents>")
+def _(t):
+    return t.documents.select("doc_id", F.sha2(texts.code_normalize(F.col("text")), 256).alias("sha"))
+
+
+@query("fingerprint", f"SELECT rec_no, sha256(class || '|' || severity || '|' || {NORM.format('snippet')}) AS fp FROM <records>")
+def _(t):
+    return t.records.select("rec_no", texts.fingerprint(F.col("class"), F.col("severity"), F.col("snippet")).alias("fp"))
+
+
+J = f"i AS (SELECT item_id, {TOK.format('text')} AS t FROM <benchmark>)"
+
+
+@query("token_jaccard", f"WITH {J} SELECT a.item_id AS a_id, b.item_id AS b_id, len(list_intersect(a.t, b.t)) AS shared, CAST(round(len(list_intersect(a.t, b.t)) * 1e6 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))) AS BIGINT) AS micro FROM i a, i b WHERE a.item_id < b.item_id AND len(list_intersect(a.t, b.t)) > 0")
+def _(t):
+    pairs = texts.token_jaccard(t.benchmark.select(F.col("item_id").alias("a_id"), "text"), t.benchmark.select(F.col("item_id").alias("b_id"), "text"))
+    return pairs.where("a_id < b_id").select("a_id", "b_id", "shared", F.round(F.col("jaccard") * 1e6).cast("long").alias("micro"))
+
+
+@query("novelty", f"WITH {J}, d AS (SELECT doc_id, {TOK.format('text')} AS t FROM <documents>) SELECT doc_id AS a_id, CAST(round((1 - max(CASE WHEN len(i.t) = 0 OR len(d.t) = 0 THEN 0 ELSE len(list_intersect(i.t, d.t)) / (len(i.t) + len(d.t) - len(list_intersect(i.t, d.t))) END)) * 1e6) AS BIGINT) AS micro FROM d, i GROUP BY 1")
+def _(t):
+    out = texts.novelty(t.documents.select(F.col("doc_id").alias("a_id"), "text"), t.benchmark.select(F.col("item_id").alias("b_id"), "text"))
+    return out.select("a_id", F.round(F.col("novelty") * 1e6).cast("long").alias("micro"))
+
+
+CW = "CASE class WHEN 'auth-bypass' THEN 0.35 WHEN 'missing-verification' THEN 0.70 WHEN 'missing-slippage-guard' THEN 0.85 WHEN 'unconfirmed-state' THEN 0.85 WHEN 'wrong-constant' THEN 1.0 WHEN 'silent-zero-revenue' THEN 1.0 ELSE 0.75 END"
+
+
+@query("candidate_weight", f"WITH c AS (SELECT *, CASE WHEN NOT (red AND green) THEN 'unproven' WHEN rec_no % 13 = 0 THEN 'provenance' WHEN rec_no % 11 = 0 THEN 'duplicate' ELSE 'accepted' END AS reason FROM <records>) SELECT rec_no, reason, CASE WHEN reason = 'accepted' THEN CAST(round((0.55 * (rec_no % 10) / 10.0 + 0.30 * {CW} + 0.15 * CASE WHEN corroboration <= 1 THEN 0 ELSE least(1.0, (corroboration - 1) / 5.0) END) * 1e6) AS BIGINT) ELSE 0 END AS micro FROM c")
+def _(t):
+    rows = t.records.withColumns({"provenance_ok": F.col("rec_no") % 13 != 0, "duplicate": F.col("rec_no") % 11 == 0, "novelty": F.col("rec_no") % 10 / 10.0})
+    return texts.candidate_weight(rows).select("rec_no", "reason", F.round(F.col("weight") * 1e6).cast("long").alias("micro"))
+
+
+@query("greedy_admission", f"WITH c AS (SELECT *, substr(snippet, 1, 400) AS code, sha256(class || '|' || severity || '|' || {NORM.format('substr(snippet, 1, 400)')}) AS fp, {TOK.format('substr(snippet, 1, 400)')} AS t FROM <records>), a AS (SELECT *, red AND green AND rec_no = min(rec_no) FILTER (red AND green) OVER (PARTITION BY fp) AS admitted FROM c), x AS (SELECT p.rec_no, max(len(list_intersect(p.t, q.t)) / (len(p.t) + len(q.t) - len(list_intersect(p.t, q.t)))) AS best FROM a p JOIN a q ON p.admitted AND q.admitted AND q.rec_no < p.rec_no GROUP BY 1) SELECT a.rec_no AS ord, coalesce(admitted, false) AS admitted, CASE WHEN admitted THEN CAST(round((1 - coalesce(best, 0)) * 1e6) AS BIGINT) END AS micro FROM a LEFT JOIN x ON x.rec_no = a.rec_no")
+def _(t):
+    code = F.substring("snippet", 1, 400)
+    rows = t.records.select(F.col("rec_no").alias("ord"), "class", "corroboration", "red", "green", code.alias("text"), texts.fingerprint(F.col("class"), F.col("severity"), code).alias("fingerprint"))
+    return texts.greedy_admission(rows).select("ord", "admitted", F.round(F.col("novelty") * 1e6).cast("long").alias("micro"))
+
+
+@query("provenance_check", "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN text ELSE '' END AS evidence, CASE WHEN doc_id % 5 > 0 THEN source ELSE '' END AS ref, CASE WHEN doc_id % 2 = 0 THEN ' the ' ELSE '' END AS target, CASE WHEN doc_id % 7 = 0 THEN sha256('x') WHEN doc_id % 3 = 0 THEN sha256(text) ELSE '' END AS digest FROM <documents>) SELECT doc_id, (ref = '' AND evidence = '') OR ((target = '' OR contains(evidence, target)) AND (digest = '' OR sha256(evidence) = digest)) AS provenance_ok FROM p")
+def _(t):
+    some = F.col("doc_id") % 5 > 0
+    rows = t.documents.select("doc_id", F.when(some, F.col("text")).otherwise("").alias("evidence"), F.when(some, F.col("source")).otherwise("").alias("source_ref"), F.when(F.col("doc_id") % 2 == 0, " the ").otherwise("").alias("target"), F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("x"), 256)).when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise("").alias("digest"))
+    return texts.provenance_check(rows).select("doc_id", "provenance_ok")
+
+
+@query("source_ref_parse", "WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '/' || lang || '@' || substr(sha256(text), 1, 40) || ':a/b.py#L' || doc_id WHEN 1 THEN 'https://github.com/' || source || '/' || lang || '/blob/' || substr(sha256(text), 1, 40) || '/src/x.ts' WHEN 2 THEN 'https://github.com/o/r/blob/main/x' WHEN 3 THEN 'nothing' ELSE '' END AS ref, substr(sha256(text), 1, 40) AS sha, source, lang FROM <documents>) SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN source END AS owner, CASE WHEN doc_id % 5 < 2 THEN lang END AS repo, CASE WHEN doc_id % 5 < 2 THEN sha END AS sha, CASE doc_id % 5 WHEN 0 THEN 'a/b.py' WHEN 1 THEN 'src/x.ts' END AS path, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id AS INTEGER) END AS line, CASE doc_id % 5 WHEN 2 THEN 'mutable' WHEN 3 THEN 'form' WHEN 4 THEN 'empty' END AS error FROM r")
+def _(t):
+    sha, k = F.substring(F.sha2("text", 256), 1, 40), F.col("doc_id") % 5
+    ref = F.when(k == 0, F.concat("source", F.lit("/"), "lang", F.lit("@"), sha, F.lit(":a/b.py#L"), F.col("doc_id").cast("string"))).when(k == 1, F.concat(F.lit("https://github.com/"), "source", F.lit("/"), "lang", F.lit("/blob/"), sha, F.lit("/src/x.ts"))).when(k == 2, "https://github.com/o/r/blob/main/x").when(k == 3, "nothing").otherwise("")
+    return t.documents.withColumn("ref", ref).select("doc_id", texts.source_ref_parse(F.col("ref")).alias("p")).select("doc_id", "p.*")
+
+
+@query("evidence_match", f"SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {FLAT.format('text')} || ' ' AS b FROM <documents>), (SELECT item_id, ' ' || {FLAT.format('text')} || ' ' AS n FROM <benchmark>) WHERE contains(b, n)")
+def _(t):
+    return texts.evidence_match(t.documents, t.benchmark)
+
+
+SPANS = "n AS (SELECT item_id, substr(text, i, 40) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) - 38)) AS i FROM <benchmark>)), d AS (SELECT doc_id, substr(text, i, 40) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 38)) AS i FROM <documents>))"
+
+
+@query("verbatim_span_guard", f"WITH {SPANS} SELECT DISTINCT doc_id, item_id FROM d JOIN n ON n.s = d.s")
+def _(t):
+    return texts.verbatim_span_guard(t.documents, t.benchmark)
+
+
+@query("holdout_disjoint", f"WITH {SPANS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN n ON n.s = d.s WHERE item_id % 2 = 0)")
+def _(t):
+    return texts.holdout_disjoint(t.documents, t.benchmark.where("item_id % 2 = 0")).select("doc_id")
+
+
+@query("brief_sample")
+def _(t):
+    return texts.brief_sample(t.benchmark, 5)
+
+
+LINES = "l AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM <documents>), unnest(a) WITH ORDINALITY u(line, i))"
+HITS = f"{LINES}, s AS (SELECT doc_id, line_no, line, lower(regexp_extract(line, '(?i)([a-z_][a-z0-9_]*)\\s*[=:]\\s*[\"'']?([^\\s\"'']+)', 1)) AS name, regexp_extract(line, '(?i)([a-z_][a-z0-9_]*)\\s*[=:]\\s*[\"'']?([^\\s\"'']+)', 2) AS v FROM l), h AS (SELECT doc_id, line_no, name, CASE WHEN regexp_matches(name, 'secret|token|api_?key|private_?key|password|mnemonic') AND regexp_matches(v, '^[0-9a-fA-F]{{40,}}$') THEN 'hex' WHEN regexp_matches(line, '(^|[^1-9A-HJ-NP-Za-km-z])[1-9A-HJ-NP-Za-km-z]{{80,90}}([^1-9A-HJ-NP-Za-km-z]|$)') THEN 'base58' WHEN regexp_matches(name, 'secret|token|api_?key|private_?key|password|mnemonic') AND length(v) >= 16 THEN 'named' END AS kind FROM s WHERE regexp_matches(line, '[=:\\[]') OR length(line) >= 80)".replace("{{", "{").replace("}}", "}")
+
+
+@query("secret_scan", f"WITH {HITS} SELECT doc_id, line_no, kind, name FROM h WHERE kind IS NOT NULL")
+def _(t):
+    return texts.secret_scan(t.documents_lines)
+
+
+@query("secret_summary", f"WITH {HITS} SELECT count(DISTINCT doc_id) AS docs, 0 AS n_bytes, count(*) FILTER (kind = 'base58') AS n_base58, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'named') AS n_named, CASE WHEN count(*) FILTER (kind IN ('hex', 'base58')) > 0 THEN 'exposed' WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END AS verdict FROM h WHERE kind IS NOT NULL")
+def _(t):
+    return texts.secret_summary(texts.secret_scan(t.documents_lines))
+
+
+@query("secret_gate", f"WITH {HITS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM h WHERE kind IS NOT NULL)")
+def _(t):
+    return texts.secret_gate(t.documents.select("doc_id"), texts.secret_scan(t.documents_lines))
+
+
+@query("env_reconcile", "WITH d AS (SELECT user_id AS project, event_type AS name, max(props) AS v FROM <events> WHERE event_id % 3 = 0 GROUP BY 1, 2), c AS (SELECT user_id AS project, CASE WHEN event_type = 'click' THEN 'api_key' ELSE event_type END AS name, max(CASE WHEN event_id % 50 = 1 THEN 'zhttps://' WHEN event_type = 'view' THEN 'https://' || props ELSE props END) AS v FROM <events> WHERE event_id % 3 = 1 GROUP BY 1, 2), b AS (SELECT coalesce(d.project, c.project) AS project, coalesce(d.name, c.name) AS name, d.v AS d, c.v AS c FROM d FULL JOIN c ON c.project = d.project AND c.name = d.name) SELECT project, name, 'mismatch' AS finding FROM b WHERE d <> c UNION ALL SELECT project, name, 'unwired' FROM b WHERE c IS NULL UNION ALL SELECT project, name, 'exposed-key' FROM b WHERE regexp_matches(name, '(?i)key|secret|token') AND c IS NOT NULL UNION ALL SELECT project, name, 'public-endpoint' FROM b WHERE regexp_matches(coalesce(c, d), '^https?://')")
+def _(t):
+    declared = t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("project"), F.col("event_type").alias("name"), F.col("props").alias("value"))
+    value = F.when(F.col("event_id") % 50 == 1, "zhttps://").when(F.col("event_type") == "view", F.concat(F.lit("https://"), "props")).otherwise(F.col("props"))
+    coded = t.events.where("event_id % 3 = 1").select(F.col("user_id").alias("project"), F.when(F.col("event_type") == "click", "api_key").otherwise(F.col("event_type")).alias("name"), value.alias("value"))
+    return texts.env_reconcile(declared, coded)
+
+
+RULES = [
+    {"rule_id": "shouting", "name": "[A-Z]{4,}", "trigger": "!!", "kind": "forbidden", "pattern": "[A-Z]{3,}!!"},
+    {"rule_id": "licensed", "name": "License", "trigger": "token =", "kind": "followup", "pattern": "Apache|MIT"},
+    {"rule_id": "tables", "name": " \\| ", "trigger": "|", "kind": "constant", "pattern": "\\| the \\|", "expected": "\\$\\$\\$"},
+    {"rule_id": "odd", "name": "@", "trigger": "@", "module": "example", "kind": "unknown-kind", "pattern": "@"},
+]
+SITES = "s AS (SELECT 'shouting' AS rule_id, doc_id, text FROM <documents> WHERE regexp_matches(text, '[A-Z]{4,}') OR contains(text, '!!') UNION ALL SELECT 'licensed', doc_id, text FROM <documents> WHERE contains(text, 'License') OR contains(text, 'token =') UNION ALL SELECT 'tables', doc_id, text FROM <documents> WHERE contains(text, '|') UNION ALL SELECT 'odd', doc_id, text FROM <documents> WHERE contains(text, '@') AND contains(text, 'example'))"
+
+
+@query("rule_candidate_select", f"WITH {SITES} SELECT rule_id, doc_id FROM s")
+def _(t):
+    return texts.rule_candidates(t.documents, RULES).select("rule_id", "doc_id")
+
+
+@query("rule_scan", f"WITH {SITES}, r AS (SELECT rule_id, doc_id, text, CASE rule_id WHEN 'shouting' THEN CASE WHEN regexp_matches(text, '[A-Z]{{3,}}!!') THEN 'fail' ELSE 'pass' END WHEN 'licensed' THEN CASE WHEN NOT contains(text, 'token =') THEN 'cant_tell' WHEN regexp_matches(text, 'Apache|MIT') THEN 'pass' ELSE 'fail' END WHEN 'tables' THEN CASE WHEN regexp_matches(text, '\\$\\$\\$') THEN 'pass' WHEN contains(text, '| the |') THEN 'fail' ELSE 'cant_tell' END ELSE 'cant_tell' END AS result, CASE rule_id WHEN 'shouting' THEN regexp_extract(text, '(?s)^(.*?)[A-Z]{{3,}}!!', 1) ELSE regexp_extract(text, '(?s)^(.*?)\\| the \\|', 1) END AS pre FROM s) SELECT rule_id, doc_id, result, CASE WHEN result = 'fail' AND rule_id <> 'licensed' THEN CAST(length(pre) - length(replace(pre, chr(10), '')) + 1 AS INTEGER) END AS line FROM r")
+def _(t):
+    return texts.rule_scan(t.documents, RULES)
+
+
+@query("forbidden_literal", "SELECT page_id AS doc_id, len(regexp_extract_all(html, '\\bhref\\s*[:=]\\s*[\"'']?http\\b')) AS n FROM <pages> WHERE len(regexp_extract_all(html, '\\bhref\\s*[:=]\\s*[\"'']?http\\b')) > 0")
+def _(t):
+    return texts.forbidden_literal(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "href", "http")
+
+
+@query("forbidden_call", "SELECT page_id, regexp_matches(html, 'eval\\s*\\(|document\\.write|<script') AS hit FROM <pages>")
+def _(t):
+    return t.pages.select("page_id", F.col("html").rlike(r"eval\s*\(|document\.write|<script").alias("hit"))
+
+
+@query("required_followup", "SELECT page_id, CASE WHEN NOT contains(html, '<a ') THEN 'cant_tell' WHEN regexp_matches(html, 'nofollow|noopener') THEN 'pass' ELSE 'fail' END AS result FROM <pages>")
+def _(t):
+    return t.pages.select("page_id", texts.outcome({"kind": "followup", "trigger": "<a ", "pattern": "nofollow|noopener"}, F.col("html")).alias("result"))
+
+
+@query("wrong_constant", "SELECT doc_id, CASE WHEN contains(text, ' of ') THEN 'pass' WHEN contains(text, ' de ') THEN 'fail' ELSE 'cant_tell' END AS result FROM <documents>")
+def _(t):
+    return t.documents.select("doc_id", texts.outcome({"kind": "constant", "expected": " of ", "pattern": " de "}, F.col("text")).alias("result"))
+
+
+@query("proximity_absence", f"WITH {LINES}, f AS (SELECT doc_id, line_no, contains(line, 'the') AS hit, contains(line, '$$$') OR contains(line, ' and ') AS req FROM l) SELECT doc_id, line_no FROM (SELECT *, max(req) OVER (PARTITION BY doc_id ORDER BY line_no RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS seen FROM f) WHERE hit AND NOT seen")
+def _(t):
+    line = F.col("line")
+    return texts.proximity_absence(t.documents_lines, F.contains(line, F.lit("the")), F.contains(line, F.lit("$$$")) | F.contains(line, F.lit(" and ")), 2, 1)
+
+
+@query("one_hit_per_group", f"WITH {LINES}, j AS (SELECT source, l.* FROM l JOIN <documents> d ON d.doc_id = l.doc_id) SELECT source, arg_min(doc_id, (doc_id, line_no)) AS doc_id, arg_min(line_no, (doc_id, line_no)) AS line_no FROM j WHERE contains(line, 'token =') AND NOT regexp_matches(trim(line), '^(//|#|\\*)') AND source <> 'src2' GROUP BY 1")
+def _(t):
+    lines = t.documents_lines.join(t.documents.select("doc_id", "source"), "doc_id")
+    return texts.one_hit_per_group(lines, "token =", t.documents.where("source = 'src2'"), "source")
+
+
+@query("taint_reachability", "WITH RECURSIVE r(node, depth) AS (SELECT DISTINCT src, 0 FROM <edges> WHERE src % 97 = 0 UNION SELECT e.dst, depth + 1 FROM r JOIN <edges> e ON e.src = r.node WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
+def _(t):
+    return texts.taint_reachability(t.edges, t.edges.where("src % 97 = 0").select(F.col("src").alias("node")), 3)
+
+
+CLS = "CASE WHEN regexp_matches(h, 'royalt|fee|revenue|reward') AND regexp_matches(h, 'zero|missing|0\\b') THEN 'silent-zero-revenue' WHEN regexp_matches(h, 'immutable|after (deploy|mint)|cannot be changed') THEN 'immutable-after-deploy' WHEN regexp_matches(h, 'stale|freshness|expir') THEN 'unchecked-staleness' WHEN regexp_matches(h, 'slippage|min.?out|amount.?out') THEN 'missing-slippage-guard' WHEN regexp_matches(h, 'auth|jwt|verif|signature') THEN 'auth-bypass' WHEN regexp_matches(h, 'confirm|land|finali') THEN 'unconfirmed-state' WHEN regexp_matches(h, 'constant|lamports_per_sol|decimals|scal') THEN 'wrong-constant' ELSE 'other' END"
+
+
+@query("class_of_rule", f"SELECT doc_id, {CLS} AS class FROM (SELECT doc_id, lower(source || ' ' || text) AS h FROM <documents>)")
+def _(t):
+    return t.documents.select("doc_id", texts.class_of_rule(F.col("source"), F.col("text")).alias("class"))
+
+
+@query("class_drift_flag", f"SELECT rec_no, class <> {CLS} AS drift FROM (SELECT rec_no, class, lower(trap_id || ' ' || snippet) AS h FROM <records>)")
+def _(t):
+    return t.records.select("rec_no", (F.col("class") != texts.class_of_rule(F.col("trap_id"), F.col("snippet"))).alias("drift"))
+
+
+@query("clean_export", "SELECT rec_no, CASE WHEN lot = 'contrib' THEN 'wild' ELSE 'owned' END AS origin, sha256(snippet) AS evidence_sha, CAST(length(snippet) AS INTEGER) AS evidence_chars, concat_ws(',', CASE WHEN NOT (red AND green) THEN 'unproven' END, CASE WHEN license = 'GPL-3.0' THEN 'strong-copyleft' END, CASE WHEN length(snippet) = 0 THEN 'empty' END) AS issues FROM <records>")
+def _(t):
+    return texts.clean_export(t.records)
+
+
+@query("record_mint", "WITH v AS (SELECT class_no, bool_or(color = 'RED') AS proven FROM <evals> WHERE condition = 'bare' AND class_no % 2 = 0 GROUP BY 1) SELECT d.doc_id % 9 AS class_no, 'static' AS method, sha256(text) AS snippet_sha FROM <documents> d JOIN v ON v.class_no = d.doc_id % 9 WHERE proven")
+def _(t):
+    verdicts = t.evals.where("condition = 'bare' AND class_no % 2 = 0").groupBy("class_no").agg(F.bool_or(F.col("color") == "RED").alias("proven")).withColumn("method", F.lit("static"))
+    return texts.record_mint(verdicts, t.documents.select((F.col("doc_id") % 9).alias("class_no"), F.col("text").alias("snippet")))
+
+
+@query("tier_sorted_findings", f"WITH {HITS}, k AS (SELECT doc_id, line_no, CASE kind WHEN 'hex' THEN 'critical' ELSE 'high' END AS severity FROM h WHERE kind IS NOT NULL) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY severity, line_no) AS INTEGER) AS place FROM k")
+def _(t):
+    hits = texts.secret_scan(t.documents_lines).select("doc_id", "line_no", F.when(F.col("kind") == "hex", "critical").otherwise("high").alias("severity"))
+    return texts.tier_sorted(hits)
