@@ -1 +1,140 @@
-"""Queries."""
+"""Queries of ledgers, and of streams with their batch twins."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from verdigris.operators import ledgers
+from verdigris.plans.registry import query
+from verdigris.streaming import streams
+
+
+def scratch(t) -> str:  # noqa: ANN001
+    """A new folder in the cluster's shared one; only without that, as in tests, a temporary one."""
+    sc = t.spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def entries(t):  # noqa: ANN001
+    return t.orders.select((F.col("o_custkey") % 40).alias("ledger"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("buyer"), F.col("o_orderstatus").alias("tier"), (F.col("o_orderkey") % 50).alias("records_served"))
+
+
+@query("usage_chain_build")
+def _(t):
+    return ledgers.usage_chain_build(entries(t))
+
+
+@query("usage_chain_verify", "SELECT o_custkey % 40 AS ledger, count(*) AS rows, CASE WHEN o_custkey % 40 < 3 THEN 5 END AS broken_at, CASE WHEN o_custkey % 40 < 3 THEN 'bad-hash' END AS reason FROM <orders> GROUP BY 1, 3, 4")
+def _(t):
+    chain = ledgers.usage_chain_build(entries(t))
+    altered = F.when((F.col("ledger") < 3) & (F.col("seq") == 5), F.col("records_served") + 1).otherwise(F.col("records_served"))
+    return ledgers.usage_chain_verify(chain.withColumn("records_served", altered))
+
+
+@query("change_detect_batch", "SELECT author, event_id, before, rule_id FROM (SELECT author, event_id, rule_id, lag(rule_id) OVER (PARTITION BY author ORDER BY event_id) AS before FROM <xp>) WHERE before <> rule_id")
+def _(t):
+    return ledgers.change_points(t.xp, "author", ["event_id"], "rule_id").select("author", "event_id", "before", "rule_id")
+
+
+@query("stream_change_detect", "SELECT user_id, event_id, before, event_type AS after, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM <events>) WHERE before <> event_type")
+def _(t):
+    out = scratch(t)
+    source = streams.table_stream(t.spark, t.sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("value"))
+    streams.run_once(streams.change_detect(source, "user_id"), out)
+    return t.spark.read.parquet(f"{out}/data")
+
+
+@query("stream_seq_assign", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM <events>")
+def _(t):
+    out = scratch(t)
+    streams.run_once(streams.seq_assign(streams.table_stream(t.spark, t.sf_dir, "events").select("user_id", "event_id"), "user_id"), out)
+    return t.spark.read.parquet(f"{out}/data")
+
+
+@query("stream_dedup_events", "SELECT user_id, event_type, props, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM <events>) GROUP BY 1, 2, 3")
+def _(t):
+    out = scratch(t)
+    key = ["user_id", "event_type", "props"]
+    streams.run_once(streams.dedup_events(streams.table_stream(t.spark, t.sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), key, "60 days").select(*key), out)
+    return t.spark.read.parquet(f"{out}/data").groupBy(*key).agg(F.count("*").alias("n"))
+
+
+@query("stream_outbreak_alerts", "SELECT repo_id, rec_no FROM <deps> JOIN <records> ON lower(dep) = lower(sdk_name)")
+def _(t):
+    out = scratch(t)
+    docs = streams.table_stream(t.spark, t.sf_dir, "documents").select(F.col("doc_id").alias("rec_no"), F.concat(F.lit("sdk-"), (F.col("n_chars") % 37).cast("string")).alias("sdk_name"))
+    streams.run_once(streams.outbreak_alerts(docs, t.deps).select("repo_id", "rec_no"), out)
+    return t.spark.read.parquet(f"{out}/data")
+
+
+@query("stream_feed_delta", "SELECT trap_id, max(captured_at) AS captured_at, count(*) AS n FROM <records> GROUP BY 1")
+def _(t):
+    out = scratch(t)
+    docs = streams.table_stream(t.spark, t.sf_dir, "documents", 4).select(F.concat(F.lit("trap-"), (F.col("n_chars") % 60).cast("string")).alias("trap_id"), (F.col("doc_id") * 60 + 1704067200).alias("captured_at"), F.lit(1).cast("long").alias("n"))
+
+    def merge(held, batch):  # noqa: ANN001, ANN202
+        rows = batch if held is None else held.unionByName(batch)
+        return rows.groupBy("trap_id").agg(F.max("captured_at").alias("captured_at"), F.sum("n").alias("n"))
+
+    streams.run_once(docs, out, each=streams.delta_upsert(f"{out}/table", merge))
+    versions = t.spark.read.option("basePath", f"{out}/table").parquet(f"{out}/table")
+    last = versions.agg(F.max("version")).first()[0]
+    return versions.where(F.col("version") == last).select("trap_id", "captured_at", "n")
+
+
+@query("stream_usage_meter", "SELECT source, count(*) AS records_served FROM <documents> GROUP BY 1")
+def _(t):
+    out = scratch(t)
+    docs = streams.table_stream(t.spark, t.sf_dir, "documents", 4).select("doc_id", "source")
+    streams.run_once(docs, out, each=streams.usage_meter(out, "source"))
+    return t.spark.read.option("basePath", f"{out}/ledger").parquet(f"{out}/ledger").groupBy("source").agg(F.sum("records_served").alias("records_served"))
+
+
+def hits(t):  # noqa: ANN001
+    return t.events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+
+
+@query("rate_limit_batch")
+def _(t):
+    return streams.rate_limit_batch(hits(t), "user_id", 3, 3600.0 * 24)
+
+
+@query("stream_rate_limit")
+def _(t):
+    out = scratch(t)
+    source = streams.table_stream(t.spark, t.sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    streams.run_once(streams.rate_limit(source, "user_id", 3, 3600.0 * 24), out)
+    return t.spark.read.parquet(f"{out}/data")
+
+
+@query("stream_staleness", "WITH w AS (SELECT user_id AS id, max(epoch(ts)) AS seen FROM <events> GROUP BY 1) SELECT c_custkey AS id, CASE WHEN seen IS NULL THEN 'NO_HISTORY' WHEN epoch(TIMESTAMP '2024-01-30') - seen <= 86400 THEN 'FRESH' ELSE 'STALE' END AS status FROM <customer> LEFT JOIN w ON id = c_custkey")
+def _(t):
+    writes = t.events.select(F.col("user_id").alias("id"), F.unix_timestamp("ts").alias("at"))
+    return ledgers.staleness(writes, t.customer.select(F.col("c_custkey").alias("id")), 1706572800, 86400)
+
+
+@query("stream_ttl_cache", "SELECT event_id AS id FROM <events> WHERE 1706572800 - floor(epoch(ts)) < 604800 AND event_id % 7 > 0")
+def _(t):
+    entries = t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 > 0, F.unix_timestamp("ts")).alias("at"))
+    return ledgers.ttl_valid(entries, 604_800, 1706572800).select("id")
+
+
+@query("batch_event_bounds", "SELECT user_id AS batch, CASE WHEN count(*) > 70 THEN 'too-many-events' WHEN bool_or(length(props) > 8) THEN 'oversized-event' ELSE 'ok' END AS reason FROM <events> GROUP BY 1")
+def _(t):
+    return ledgers.event_bounds(t.events.select(F.col("user_id").alias("batch"), F.col("event_type").alias("rule_id"), F.col("props").alias("detail")), 70, 8)
+
+
+@query("stream_policy_versions")
+def _(t):
+    k = F.col("event_id")
+    rows = t.events.select((F.col("user_id") % 25).alias("space"), k.alias("id"), F.floor(F.col("value")).alias("version"), (F.col("user_id") % 7).alias("signer"), F.array(k % 7, (k + 1) % 7, (k + 2) % 7).alias("admins"))
+    return streams.policy_versions(rows)
+
+
+@query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM <events> GROUP BY 1, 2")
+def _(t):
+    return streams.windowed_counts(t.events, "1 day", "1 day")
