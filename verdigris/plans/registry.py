@@ -11,7 +11,7 @@ from verdigris.plans.fixtures import Tables, oracle
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("records", "corpus", "merges", "hive", "reports", "texts", "money", "streams")
+_MODULES = ("records", "corpus", "merges", "hive", "reports", "texts", "money", "streams", "sources")
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -136,9 +136,9 @@ def _(t):
     return texts.rule_scan(t.documents, RULES)
 
 
-@query("forbidden_literal", "SELECT page_id AS doc_id, len(regexp_extract_all(html, '\\bhref\\s*[:=]\\s*[\"'']?http\\b')) AS n FROM <pages> WHERE len(regexp_extract_all(html, '\\bhref\\s*[:=]\\s*[\"'']?http\\b')) > 0")
+@query("forbidden_literal", "SELECT page_id AS doc_id, len(regexp_extract_all(html, '\\bclass\\s*[:=]\\s*[\"'']?ad\\b')) AS n FROM <pages> WHERE len(regexp_extract_all(html, '\\bclass\\s*[:=]\\s*[\"'']?ad\\b')) > 0")
 def _(t):
-    return texts.forbidden_literal(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "href", "http")
+    return texts.forbidden_literal(t.pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "class", "ad")
 
 
 @query("forbidden_call", "SELECT page_id, regexp_matches(html, 'eval\\s*\\(|document\\.write|<script') AS hit FROM <pages>")
