@@ -151,3 +151,18 @@ def license_join(records: DataFrame, licenses: DataFrame) -> DataFrame:
 def running_total(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn(name, F.sum(value).over(w))
+
+
+def recall_select(lots: list[DataFrame], **where: object) -> DataFrame:
+    """Several lots as one feed with payload: the richest copy of each record first."""
+    from verdigris.operators.merges import richest_copy
+
+    every = lots[0]
+    for lot in lots[1:]:
+        every = every.unionByName(lot)
+    return feed_select(richest_copy(every), **where)
+
+
+def feed_to_record(feed: DataFrame) -> DataFrame:
+    """Records from rows of a feed: what a feed emits is proven."""
+    return feed.select("rec_no", "trap_id", "sdk_name", "sdk_version", "class", "severity", "corroboration", F.lit(True).alias("red"), F.lit(True).alias("green"), "captured_at", "license", "snippet")

@@ -144,3 +144,17 @@ def _(t):
 @query("snippet_trim", "SELECT rec_no, sha256(CASE WHEN length(x) > 120 THEN substr(x, 1, 120) || chr(10) || '…' ELSE x END) AS sha FROM (SELECT rec_no, nullif(regexp_replace(snippet, '^\\s+|\\s+$', '', 'g'), '') AS x FROM <records>)")
 def _(t):
     return t.records.select("rec_no", F.sha2(S.snippet_trim(F.col("snippet"), 120), 256).alias("sha"))
+
+
+RICHEST = "(SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY trap_id, sdk_name, sdk_version ORDER BY length(snippet) > 0 DESC, corroboration DESC, rec_no) AS rn FROM <records>) WHERE rn = 1)"
+
+
+@query("recall_select", f"SELECT rec_no, captured_at, {SCORE} AS score FROM {RICHEST} WHERE red AND green ORDER BY captured_at, rec_no LIMIT 300")
+def _(t):
+    lots = [t.records.where(F.col("lot") == lot) for lot in ("seed", "contrib")]
+    return access.recall_select(lots, limit=300).select("rec_no", "captured_at", "score")
+
+
+@query("feed_to_record", "SELECT rec_no, trap_id, red, green, captured_at, sha256(snippet) AS sha FROM <records> WHERE red AND green")
+def _(t):
+    return access.feed_to_record(access.feed_select(t.records)).select("rec_no", "trap_id", "red", "green", "captured_at", F.sha2("snippet", 256).alias("sha"))

@@ -138,3 +138,22 @@ def _(t):
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM <events> GROUP BY 1, 2")
 def _(t):
     return streams.windowed_counts(t.events, "1 day", "1 day")
+
+
+@query("stream_session_spend", "SELECT user_id AS session, CAST(sum(floor(value)) AS BIGINT) AS total, sum(floor(value)) > 5000 AS over FROM <events> GROUP BY 1")
+def _(t):
+    out = scratch(t)
+    source = streams.table_stream(t.spark, t.sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.sum(F.floor("value")).alias("total"))
+    streams.run_once(source, out, mode="complete", each=lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/totals"))
+    return t.spark.read.parquet(f"{out}/totals").select("session", "total", (F.col("total") > 5000).alias("over"))
+
+
+@query("stream_incremental_scan", "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z]{3,}!!') THEN 'fail' ELSE 'pass' END AS result FROM <documents> WHERE regexp_matches(text, '[A-Z]{4,}') OR contains(text, '!!')")
+def _(t):
+    from verdigris.operators import texts
+
+    out = scratch(t)
+    rules = [{"rule_id": "shouting", "name": "[A-Z]{4,}", "trigger": "!!", "kind": "forbidden", "pattern": "[A-Z]{3,}!!"}]
+    scan = texts.rule_scan(streams.table_stream(t.spark, t.sf_dir, "documents", 4).select("doc_id", "text"), rules)
+    streams.run_once(scan.select("doc_id", "result"), out)
+    return t.spark.read.parquet(f"{out}/data")

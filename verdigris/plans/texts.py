@@ -176,9 +176,9 @@ def _(t):
 CLS = "CASE WHEN regexp_matches(h, 'royalt|fee|revenue|reward') AND regexp_matches(h, 'zero|missing|0\\b') THEN 'silent-zero-revenue' WHEN regexp_matches(h, 'immutable|after (deploy|mint)|cannot be changed') THEN 'immutable-after-deploy' WHEN regexp_matches(h, 'stale|freshness|expir') THEN 'unchecked-staleness' WHEN regexp_matches(h, 'slippage|min.?out|amount.?out') THEN 'missing-slippage-guard' WHEN regexp_matches(h, 'auth|jwt|verif|signature') THEN 'auth-bypass' WHEN regexp_matches(h, 'confirm|land|finali') THEN 'unconfirmed-state' WHEN regexp_matches(h, 'constant|lamports_per_sol|decimals|scal') THEN 'wrong-constant' ELSE 'other' END"
 
 
-@query("class_of_rule", f"SELECT doc_id, {CLS} AS class FROM (SELECT doc_id, lower(source || ' ' || text) AS h FROM <documents>)")
+@query("class_of_rule", f"SELECT doc_id, CASE source WHEN 'src1' THEN 'auth-bypass' WHEN 'src2' THEN 'wrong-constant' ELSE {CLS} END AS class FROM (SELECT doc_id, source, lower(source || ' ' || text) AS h FROM <documents>)")
 def _(t):
-    return t.documents.select("doc_id", texts.class_of_rule(F.col("source"), F.col("text")).alias("class"))
+    return t.documents.select("doc_id", texts.class_of_rule(F.col("source"), F.col("text"), {"src1": "auth-bypass", "src2": "wrong-constant"}).alias("class"))
 
 
 @query("class_drift_flag", f"SELECT rec_no, class <> {CLS} AS drift FROM (SELECT rec_no, class, lower(trap_id || ' ' || snippet) AS h FROM <records>)")
