@@ -90,6 +90,14 @@ def test_spans_and_evidence(spark):
     assert [tuple(r) for r in texts.evidence_match(docs, spark.createDataFrame([(7, "one two three four")], "item_id long, text string")).collect()] == [(5, 7)]
 
 
+def test_examples_are_never_the_item_itself(spark):
+    pool = spark.createDataFrame([(i,) for i in range(300)], "item_id long")
+    rows = texts.brief_sample(pool, 5).collect()
+    assert all(r.item_id != r.example_id for r in rows)
+    assert len({(r.item_id, r.example_id) for r in rows}) == len(rows) == 1500
+    assert texts.brief_sample(pool.limit(1), 5).count() == texts.brief_sample(pool.limit(0), 5).count() == 0
+
+
 def test_secrets(spark):
     lines = ['api_key = "' + "a1" * 20 + '"', "password: changeme", "token=<your token>", "secret = abcdefghijklmnop", "key [" + ", ".join(["12"] * 64) + "]", "[" + ",".join(["300"] * 64) + "]", "5" * 88, ""]
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, line_no long, line string")
