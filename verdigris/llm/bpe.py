@@ -30,7 +30,7 @@ BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Cells of one matrix.
 CELLS = 1 << 20
 #: Distinct pieces that a worker remembers before it starts afresh.
-MEMORY = 600_000
+MEMORY = 200_000
 #: Characters beyond which a text is cut to pieces a list at a time.
 LONG_TEXT = 1 << 18
 
@@ -217,7 +217,7 @@ def _codec(path: str, pattern: str) -> Codec:
 def encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """Adds token_ids, slice by slice."""
     codec = _codec(path, pattern)
-    for batch in sliced(batches, text_col, 2 << 20):
+    for batch in sliced(batches, text_col, 1 << 20):
         ids = codec.encode_all([text or "" for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))

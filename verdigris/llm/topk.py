@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows of a block and queries of a group: the memory of one task, whatever the table's size.
 BLOCK, GROUP = 8192, 512
 #: Components beyond this after quantising could make a score leave 64 bits.
-LARGEST = 1 << 24
+LARGEST = 1 << 28
 
 
 class BitSlices:
@@ -149,7 +149,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all embeddings for every 20th.
 
     Vectors that are null, or hold a null, a component that isn't finite or one
-    of 2**24 / 64 or more, take no part.
+    of 2**28 / 64 or more, take no part.
     """
     rows = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_inner_products(rows, rows.where("vec_id % 20 = 0"), 20)
