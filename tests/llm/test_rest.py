@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
-from verdigris.llm import mixing, quality, topk, urls
+from verdigris.llm import bpe, mixing, quality, topk, urls
+from verdigris.llm.shared import written
+from verdigris.llm.simhash import LOWER
 
 from .conftest import ROWS
 
@@ -137,17 +142,51 @@ def test_mixture_of_odd_rows(spark, odd, none):
     assert mixing.mixed(none).count() == 0
 
 
-def test_pipeline_equals_its_parts(spark, sf, folder):
+def shingles(text):
+    tokens = text.encode().translate(LOWER).split()
+    return {tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))} if tokens else set()
+
+
+def test_pipeline_equals_plain_stages(spark, sf):
+    """Each stage against a plain version on the same input, and run() against the stages one by one."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    at, before = docs, None
-    for name, stage in corpus_pipeline.STAGES:
-        before, at = at, stage(spark, at, sf)
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert at.columns == docs.columns
-            assert at.select("doc_id").subtract(before.select("doc_id")).count() == 0
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    out = corpus_pipeline.run(spark, sf).collect()
-    kept = {r.doc_id for r in out}
-    assert sum(labels.get(i) == 0 for i in kept) <= 2
     texts = {r.doc_id: r.text for r in docs.collect()}
-    assert len({texts[i] for i in kept}) == len(kept)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    quality_stage, exact_stage, near_stage, mixing_stage, encoding_stage = (f for _, f in corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    good = written(quality_stage(spark, docs, sf), "good")
+    assert good.columns == docs.columns
+    kept = ids(good)
+    assert sum(labels.get(i) == 0 for i in kept) <= 1
+    assert sum(labels.get(i) == 1 for i in texts if i not in set(kept)) <= 1
+
+    exact = written(exact_stage(spark, good, sf), "exact")
+    largest = {}
+    for i in kept:
+        largest[texts[i]] = max(i, largest.get(texts[i], -1))
+    assert (exact.columns, ids(exact)) == (docs.columns, sorted(largest.values()))
+
+    near = written(near_stage(spark, exact, sf), "near")
+    before, after = ids(exact), set(ids(near))
+    sets = {i: shingles(texts[i]) for i in before}
+    for i in before:
+        alike = [len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in before if j < i]
+        if max(alike, default=0) >= 0.83:
+            assert i not in after
+        if max(alike, default=0) < 0.74 and all(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) < 0.74 for j in before if j > i):
+            assert i in after
+    assert near.columns == docs.columns
+
+    mixture = written(mixing_stage(spark, near, sf), "mixture")
+    times = Counter(ids(mixture))
+    assert mixture.columns == docs.columns
+    assert set(times) == after
+    assert max(times.values()) <= 2
+
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).ranks, special_tokens={})
+    plain = {i: ",".join(map(str, tik.encode_ordinary(texts[i]))) for i in after}
+    want = sorted((i, hashlib.sha256(plain[i].encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()) for i in times.elements())
+    row = lambda r: (r.doc_id, r.ids_sha256, r.decoded_sha256)
+    assert sorted(map(row, encoding_stage(spark, mixture, sf).collect())) == want
+    assert sorted(map(row, corpus_pipeline.run(spark, sf).collect())) == want
