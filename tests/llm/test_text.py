@@ -116,6 +116,16 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert got[len(rows) - 1] == []
 
 
+def test_pii_contexts_found_by_discovered_identifiers(spark):
+    """Two hops: what `contact` gives away makes `customer no` a pattern, which no base entity follows."""
+    mails = [f"my contact is user{i}@mail.example and more" for i in range(90)]
+    both = [f"my contact is 7700{i:02d}4411 or by customer no 7700{i:02d}4411 then" for i in range(20)]
+    rows = list(enumerate([*mails, *both, "by customer no 9988776655 then", "serial 1234567890123 of a pump"]))
+    got = {r.doc_id: [s.kind for s in r.found] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[len(rows) - 2] == ["id"]
+    assert got[len(rows) - 1] == []
+
+
 def plain_cut(texts, length=200):
     seen = {}
     for t in texts:

@@ -31,8 +31,8 @@ BASE = {
 CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{8,64}+(?![A-Za-z0-9])"
 #: Digits that a candidate has at least.
 LEAST_DIGITS = 6
-#: Rounds of scoring; unbelieved instances that every pattern is thought to have; what a pattern needs to be trusted.
-ROUNDS, DOUBT, CONFIDENT, LEAST_SEEDS = 3, 2.0, 0.6, 3
+#: Unbelieved instances that every pattern is thought to have; what a pattern needs to be trusted, its believed instances among that.
+DOUBT, CONFIDENT, LEAST_SEEDS = 2.0, 0.6, 3
 #: What an instance needs to be believed: the chance that one of its trusted patterns is right.
 BELIEVED = 0.6
 _STEP = 64
@@ -129,13 +129,18 @@ def trusted_instances(found: DataFrame) -> DataFrame:
     # An instance that is a seed anywhere is one everywhere; pairs count once, however often they occur.
     edges = written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii_edges")
     score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    patterns = None
-    for _ in range(ROUNDS):
+    # Scores only grow from round to round, so trusted patterns stay so and the rounds come to an end.
+    seen = None
+    while True:
         scored = edges.join(score, "instance")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("trust"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = patterns.where((F.col("trust") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS))
+        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("trust"), F.count_if(F.col("score") >= BELIEVED).alias("support"))
+        patterns = written(patterns.where((F.col("trust") >= CONFIDENT) & (F.col("support") >= LEAST_SEEDS)), "pii_patterns")
         doubt = edges.join(patterns, "pattern").groupBy("instance").agg(F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999))))).alias("doubt"))
         score = written(score.join(doubt, "instance", "left").select("instance", F.when(F.col("score") == 1.0, 1.0).otherwise(1 - F.coalesce("doubt", F.lit(1.0))).alias("score")), "pii_scores")
+        now = (patterns.count(), *score.agg(F.count_if(F.col("score") >= BELIEVED), F.round(F.sum("score"), 3)).first())
+        if now == seen:
+            break
+        seen = now
     seeds_only = edges.where("seed").select("instance").distinct()
     return score.where(F.col("score") >= BELIEVED).join(seeds_only, "instance", "left_anti").select("instance")
 
