@@ -20,9 +20,11 @@ from .conftest import ROWS
 
 def test_bit_slices_equal_sorting():
     r = np.random.default_rng(3)
-    for n, span in ((1, 3), (70, 2), (500, 90), (200, 1)):
-        values, ids = r.integers(-span, span + 1, (n, 12)), r.permutation(n) * 3
-        index = topk.BitSlices(ids, values)
+    for n, span in ((1, 3), (70, 2), (500, 90), (200, 1), (60, 10**30)):
+        values, ids = r.integers(-min(span, 10**9), min(span, 10**9) + 1, (n, 12)), r.permutation(n) * 3
+        if span > 10**9:
+            values = values.astype(object) * 10**21 + 7
+        index = topk.BitSlices.of(ids, values)
         for q in range(0, n, 37):
             scores = values @ values[q]
             order = sorted((i for i in range(n) if ids[i] != ids[q]), key=lambda i: (-scores[i], ids[i]))[:20]
@@ -33,8 +35,9 @@ def test_bit_slices_equal_sorting():
 
 def test_topk_of_odd_vectors(spark):
     nan, inf = float("nan"), math.inf
-    rows = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, []), (6, [1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [9.0, 9.0]), (8, [1e9, 0.0])]
-    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    rows = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, []), (6, [1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [9.0, 9.0])]
+    # The extra columns clash with names that the operator uses.
+    vectors = topk.quantised(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, block int, q int"))
     for block in (8192, 2):
         got = [tuple(r) for r in topk.top_inner_products(vectors, vectors.where("vec_id % 20 = 0"), 20, block=block, group=1).collect()]
         best = [(r[2], r[3]) for r in sorted(got) if r[0] == 0]
@@ -42,6 +45,25 @@ def test_topk_of_odd_vectors(spark):
     assert topk.top_inner_products(vectors.limit(0), vectors, 20).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 2])
+def test_topk_keeps_finite_vectors_of_any_size(spark, block):
+    """Scores within a long are exact; those beyond it rank exactly and show the end of the longs."""
+    rows = [(0, [1e8, 1.0]), (1, [1e8, 0.0]), (2, [3e38, 0.0]), (3, [2.5e38, 9.0]), (4, [-3e38, 0.0]), (5, [1.5, 0.25]), (6, [0.0] * 40 + [1e9])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    floors = {i: [math.floor(64 * float(np.float32(x))) for x in v] for i, v in rows}
+    score = {i: sum(a * b for a, b in zip(floors[0], floors[i])) for i in floors if i}
+    want = sorted(score, key=lambda i: (-score[i], i))
+    got = topk.top_inner_products(vectors, vectors.where("vec_id = 0"), 20, block=block).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == want
+    assert [r.score for r in got] == [min(max(score[i], -(2**63)), 2**63 - 1) for i in want]
+
+
+def test_topk_of_very_long_vectors(spark):
+    vectors = topk.quantised(spark.createDataFrame([(0, [0.5] * 30_000), (1, [0.25] * 20_000), (2, [1.0])], "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in topk.top_inner_products(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 20_000 * 32 * 16), (0, 2, 2, 32 * 64)]
+
+
 def test_urls_of_odd_pages(spark):
     rows = [
         (1, None), (2, "no host"), (3, "http://EXAMPLE.net/en/x"), (4, "http://a.net"), (5, "http://a.net/"), (6, "x://www.spam-farm.example.com/en/1"),

@@ -38,6 +38,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, with underscores behind it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fields(df: DataFrame) -> str:
+    """The schema of df as text, for the output of mapInArrow."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, salts: int = 64, share: int = 10_000) -> DataFrame:
+    """The inner join of left with right, whose keys are unique and whose column n counts the rows of each in left.
+
+    A key with more than 1 / share of all total rows is hot. As counts add up to
+    total at most, there are share hot keys at most: those are broadcast, and the
+    rows of each are dealt to so many salts, so none of them lands in one task.
+    """
+    hot = right.where(F.col("n") > total / share)
+    flags = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    dealt = left.join(flags, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(17) * salts).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("n") > total / share, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(every)), [*keys, "_salt"]).drop("_salt")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about limit bytes of a string column, or one row."""
     for batch in batches:
