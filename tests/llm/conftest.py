@@ -23,6 +23,20 @@ def odd(spark):
     return spark.createDataFrame(ROWS, SCHEMA)
 
 
+#: Names that operators use inside; each comes as an extra column of a fixture.
+NAMES = """whole inside last blocks _s _b _times _order good label_id _sha _row _h _id _hot _salt block band mark signature bands ah ch a b h run start end
+ row_id local_id class_id n sha key size upto left token_ids decoded pass_no_ read_text kinds example spans removed instance pattern score trust doubt root node _gone component_id
+ _text _some _m _p _l _o candidates email ip card phone base found hit listed url_ rank""".split()
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with a column of every name that operators use inside, each holding the row's place."""
+    from pyspark.sql import functions as F
+
+    return odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"{i} {n}").alias(n) for i, n in enumerate(NAMES)))
+
+
 @pytest.fixture(scope="session")
 def none(spark):
     return spark.createDataFrame([], SCHEMA)

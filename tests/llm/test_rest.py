@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verdigris.llm import bpe, mixing, quality, topk, urls
@@ -94,17 +96,70 @@ def test_quality_on_held_out_labels(spark):
     assert seen[0, False] >= 0.85 * (seen[0, True] + seen[0, False])
 
 
-def test_quality_of_odd_rows(spark, odd, none):
+def plain_buckets(text):
+    """Buckets of words, word pairs, and their shapes, one at a time."""
+    def bucket(h):
+        return (h * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> (64 - 14)
+
+    out = []
+    shape = lambda w: bytes(97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 57 if 48 <= c < 58 else c for c in w)
+    for seed, words in enumerate((text.encode().split(), [shape(w) for w in text.encode().split()])):
+        hashed = [crc32(w) + (seed << 32) for w in words]
+        out += map(bucket, hashed)
+        out += [bucket((a * 0x9E3779B97F4A7C15 + b & (1 << 64) - 1) ^ 1 << 40) for a, b in zip(hashed, hashed[1:])]
+    return out
+
+
+def test_quality_equals_brute_force(spark, sf):
+    """Scores by plain counting, and the draw by sorting log weights with their noise."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(F.col("doc_id"), F.col("text")).alias("g")).collect()}
+    label = {}
+    for r in labels.collect():
+        label[r.doc_id] = min(r.quality, label.get(r.doc_id, 1))
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(plain_buckets(t))
+        if label.get(i) == 1:
+            target.update(plain_buckets(t))
+    size = 1 << 14
+    ratio = lambda b: math.log((target[b] + 0.5) / (sum(target.values()) + 0.5 * size)) - math.log((raw[b] + 0.5) / (sum(raw.values()) + 0.5 * size))
+    ratios = {b: ratio(b) for b in raw}
+    score = {i: sum(ratios[b] for b in plain_buckets(t)) for i, t in texts.items() if t.split()}
+    k = round(len(score) * sum(label.values()) / len(label))
+    drawn = set(sorted(score, key=lambda i: score[i] + noise[i], reverse=True)[:k])
+    got = {r.doc_id: r for r in quality.op2_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    assert {i for i, r in got.items() if r.kept} == drawn
+    for i, r in got.items():
+        assert r.quality_score == pytest.approx(score[i], abs=1e-5) if i in score else r.quality_score is None
+
+
+def test_noise_is_gumbel_and_decides_among_equal_weights(spark):
+    """Equal texts but for an id: the draw is by noise alone, whose mean and variance are those of the distribution."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"))
+    values = [r.g for r in docs.select(quality.gumbel(F.col("doc_id"), F.col("text")).alias("g")).collect()]
+    assert abs(np.mean(values) - 0.5772) < 0.04
+    assert abs(np.var(values) - math.pi**2 / 6) < 0.08
+    rows = quality.resampled(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), k=5000).collect()
+    assert sum(r.kept for r in rows) == 5000
+    order = sorted(range(20_000), key=values.__getitem__, reverse=True)
+    assert {r.doc_id for r in rows if r.kept} == set(order[:5000])
+
+
+def test_quality_of_odd_rows(spark, odd, clashing, none):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (7, 0, 0), (7, None, 0), (None, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = quality.resampled(odd, labels)
-    assert rows.columns == [*odd.columns, "quality_score", "kept"]
-    assert all(not r.kept and r.quality_score is None for r in rows.collect() if not (r.text or "").split())
-    assert rows.count() == len(ROWS)
+    for docs in (odd, clashing):
+        rows = quality.resampled(docs, labels)
+        assert rows.columns == [*docs.columns, "quality_score", "kept"]
+        assert all(not r.kept and r.quality_score is None for r in rows.collect() if not (r.text or "").split())
+        assert rows.count() == len(ROWS)
     assert quality.resampled(odd, labels.limit(0)).where("kept").count() == 7
     assert quality.resampled(none, labels).count() == 0
 
 
-def test_kth_largest_and_gumbel_draw(spark):
+def test_kth_largest(spark):
     r = random.Random(4)
     keys = [r.randrange(-(2**63), 2**63) for _ in range(500)] + [5] * 20
     df = spark.createDataFrame([(k,) for k in keys], "key long")

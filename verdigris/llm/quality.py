@@ -1,12 +1,12 @@
 """Quality by importance resampling.
 
 Two bag models over hashed n-grams: the target, fitted on a bounded sample of rows
-labelled as good, and raw text, counted over every document. A document's
-importance is the mean log ratio of the two over its n-grams. Gumbel noise on the
-log weights and an exact top-k draw k documents without replacement, in proportion
-to their weights. k is the number of documents that score above the point which
-parts the labelled sample best, so most of what is drawn is sure and the noise
-decides near that point only.
+labelled as good, and raw text, counted over every document. A document's log
+weight is the log likelihood ratio of the two models: the sum, over all its
+n-grams, of the log ratio of their buckets. Standard Gumbel noise on the log
+weights and an exact top-k draw k documents without replacement, in proportion to
+their weights. k is a target size: the share of good rows among those labelled, of
+all documents that have a word.
 
 Features are words and word pairs, and the shapes of words (letters, capitals,
 digits and other characters in their places) and of word pairs: shapes tell the
@@ -15,7 +15,6 @@ kinds of junk apart in any language.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,16 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import sliced, written
+from verdigris.llm.shared import fields, fresh, named, sliced, written
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
-#: At most so many labelled rows are used to fit the target and the cut.
+#: At most so many labelled rows are used to fit the target and its size.
 MOST_LABELLED = 20_000
-#: Mean log ratios are divided by this before the Gumbel noise is added.
-TEMPERATURE = 0.004
-#: Rejecting a good document costs so many times what keeping a bad one does.
-GOOD_COST = 4.0
 _SHAPE = bytes(97 if 97 <= b < 123 or b >= 128 else 65 if 65 <= b < 91 else 57 if 48 <= b < 58 else b for b in range(256))
 
 
@@ -76,7 +71,8 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
     The sample is broadcast: its size is bounded by a parameter. Each task sends
     on its own sums, and the driver gets one row for each bucket.
     """
-    texts = docs.join(F.broadcast(sample.where("good")), docs["doc_id"] == sample["label_id"], "left").select(F.col("text").cast("string").alias("text"), "good")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(F.broadcast(sample.where("good")), F.col("doc_id") == F.col("label_id"), "left").select("text", "good")
     sums = texts.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in sums.collect():
@@ -86,43 +82,30 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
     return np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Adds quality_score, the mean log ratio; null for a text without words."""
-    for batch in sliced(batches, "text"):
+def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Adds quality_score, the sum of log ratios; null for a text without words."""
+    for batch in sliced(batches, text_col):
         scores = []
-        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+        for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
             found = features(text or "")
-            scores.append(float(model[found].mean()) if len(found) else None)
+            scores.append(float(model[found].sum()) if len(found) else None)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"])
 
 
+def gumbel(doc_id: Column, text: Column) -> Column:
+    """Standard Gumbel noise from a hash of id and text: the same for equal rows, in any run."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(1), doc_id, text), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(-F.log(uniform))
+
+
 def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """docs with quality_score and draw_key, the whole number by which the top k are drawn."""
-    docs = docs.drop("quality_score", "draw_key").withColumn("text", F.col("text").cast("string"))
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    with_score = docs.mapInArrow(lambda it: _scores(it, model), f"{fields}, quality_score double")
-    return with_score.withColumn("draw_key", _key(F.col("quality_score")))
-
-
-def _key(score: Column) -> Column:
-    """Log weight and Gumbel noise in fixed point. The noise is a hash of id and text: the same for equal rows, in any run."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(1), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.floor((score / TEMPERATURE - F.log(-F.log(uniform))) * float(1 << 24)).cast("long")
-
-
-def cut_point(sample: list[tuple[float, bool]]) -> float:
-    """The score at which rejecting what is below costs least on the labelled sample."""
-    rows = sorted(sample)
-    bad_share = max(1, sum(not good for _, good in rows))
-    good_share = max(1, sum(good for _, good in rows))
-    if not any(not good for _, good in rows):
-        return -math.inf
-    best, best_at, cost = 1.0, -math.inf, 1.0  # nothing is rejected: every bad one stays
-    for (score, good), (after, _) in zip(rows, [*rows[1:], (math.inf, True)], strict=True):
-        cost += GOOD_COST / good_share if good else -1 / bad_share
-        if cost < best and after > score:
-            best, best_at = cost, (score + min(after, score + 1)) / 2
-    return best_at
+    """docs with quality_score, the log weight, and draw_key, log weight and noise in fixed point. Null texts count as empty."""
+    docs = docs.drop("quality_score", "draw_key")
+    text = fresh(docs, "read_text")
+    rows = docs.withColumn(text, F.col("text").cast("string"))
+    with_score = rows.mapInArrow(lambda it: _scores(it, model, text), f"{fields(rows)}, quality_score double")
+    key = F.floor((F.col("quality_score") + gumbel(F.col("doc_id"), F.col(text))) * float(1 << 24)).cast("long")
+    return with_score.withColumn("draw_key", key).drop(text)
 
 
 def kth_largest(keys: DataFrame, k: int) -> int:
@@ -140,33 +123,42 @@ def kth_largest(keys: DataFrame, k: int) -> int:
     return found - (1 << 63)
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """docs with quality_score and kept: the k documents that importance resampling draws.
+def target_size(sample: DataFrame, n: int) -> int:
+    """The share of good rows in the labelled sample, of n."""
+    share = sample.agg(F.avg(F.col("good").cast("double"))).first()[0]
+    return round(n * share)
+
+
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """docs (or so many columns of it) with quality_score and kept: the k documents that importance resampling draws.
+
+    Without k it is the target's size: the share of good rows among those
+    labelled, of all documents that have a word. Texts without a word have no
+    score and aren't drawn. Equal rows share their fate, so the last of them may
+    exceed k. Without a good label everything with a word is kept; an empty table
+    gives no rows. Null and repeated ids are harmless, and texts of any length are
+    read whole. Columns named quality_score, draw_key or kept are replaced; other
+    columns may have any name.
 
-    Without k it is the number of documents above the cut that parts the labelled
-    sample best. Texts without a word have no score and aren't drawn. Equal rows
-    share their fate, so the last of them may exceed k. Without a good label
-    everything with a word is kept; an empty table gives no rows. Null and
-    repeated ids are harmless. Columns named quality_score, draw_key or kept are
-    replaced.
+    Each text is read twice: for the raw model, and for its score. The scored rows
+    are a written table, from which the draw is made.
     """
-    docs = docs.drop("kept")
+    docs = docs.drop("quality_score", "draw_key", "kept")
+    columns = docs.columns if columns is None else columns
     sample = written(labelled_sample(labels), "labelled")
     model = log_ratios(docs, sample)
+    taken = scored(docs, np.zeros(BUCKETS) if model is None else model)
+    everything = written(taken.select(*map(named, columns), "quality_score", "draw_key"), "scored")
     if model is None:
-        return scored(docs, np.zeros(BUCKETS)).withColumn("kept", F.col("quality_score").isNotNull()).drop("draw_key")
-    everything = scored(docs, model)
-    keys = written(everything.select("doc_id", "quality_score", F.col("draw_key").alias("key")).where("key IS NOT NULL"), "keys")
-    if k is None:
-        known = keys.join(F.broadcast(sample), keys["doc_id"] == sample["label_id"]).select("quality_score", "good").limit(4 * MOST_LABELLED)
-        cut = cut_point([(r.quality_score, r.good) for r in known.collect()])
-        k = keys.where(F.col("quality_score") > cut).count()
+        return everything.withColumn("kept", F.col("quality_score").isNotNull()).drop("draw_key")
+    keys = everything.select(F.col("draw_key").alias("key")).where("key IS NOT NULL")
     n = keys.count()
+    k = target_size(sample, n) if k is None else k
     least = kth_largest(keys, k) if 0 < k < n else 2**63 - 1 if k <= 0 else -(2**63)
     return everything.withColumn("kept", F.coalesce(F.col("draw_key") >= least, F.lit(False))).drop("draw_key")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score all documents and draw those that stay."""
+    """Weigh all documents and draw those that stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", F.round("quality_score", 9).alias("quality_score"), "kept")
+    return resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=["doc_id"]).select("doc_id", F.round("quality_score", 6).alias("quality_score"), "kept")
