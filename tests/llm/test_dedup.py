@@ -33,15 +33,18 @@ def test_exact_groups_of_odd_rows(odd):
     assert sorted(map(str, rows)) == sorted(map(str, want))
 
 
-@pytest.mark.parametrize("budget", [1, 60, 5000])
-def test_grace_spills_and_finds_the_same_groups(budget):
+@pytest.mark.parametrize(("budget", "bits"), [(20_000, 0), (400, 9), (1 << 20, None)])
+def test_grace_partitions_again_until_buckets_fit(spark, budget, bits):
+    """900 texts, many of them equal, and two of different hash that share a bucket to the last bit."""
     r = random.Random(budget)
     texts = [bytes(r.choice(b"ab") for _ in range(r.choice([0, 1, 3, 40]))) for _ in range(900)]
     want = defaultdict(list)
     for i, t in enumerate(texts):
         want[t].append(i)
-    groups = [sorted(g) for found in exact_dedup.grace(zip(texts, range(900)), budget) for g in found]
-    assert sorted(groups) == sorted(want.values())
+    rows = [(i, bytearray(t), xxhash.xxh3_64_intdigest(t) - (1 << 63), len(t) + exact_dedup.ENTRY_BYTES) for i, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "local_id long, text binary, h long, takes long")
+    got = {r.local_id: r.class_id for r in exact_dedup.grace(held, budget, bits).collect()}
+    assert got == {i: min(ids) for ids in want.values() for i in ids}
 
 
 def test_table_compares_contents_when_hashes_are_equal():
@@ -54,12 +57,16 @@ def test_small_tables_give_the_same_groups(spark, odd):
     assert sorted(map(str, exact_dedup.exact_groups(odd, table_bytes=10).collect())) == whole
 
 
-def test_exact_dedup_keeps_columns_and_one_of_each(odd, none):
-    kept = exact_dedup.exact_dedup(odd)
-    assert kept.columns == odd.columns
-    assert len({r.text or "" for r in kept.collect()}) == kept.count() == len({t or "" for _, t, *_ in ROWS})
+def test_exact_dedup_keeps_columns_and_one_of_each(spark, odd, clashing, none):
+    for docs in (odd, clashing):
+        kept = exact_dedup.exact_dedup(docs)
+        assert kept.columns == docs.columns
+        assert len({r.text or "" for r in kept.collect()}) == kept.count() == len({t or "" for _, t, *_ in ROWS})
+    assert kept.where("_sha <> '10 _sha'").count() == 0
     assert exact_dedup.exact_dedup(none).count() == 0
     assert exact_dedup.exact_groups(none).count() == 0
+    repeats = spark.createDataFrame([(7, "x")] * 3 + [(6, "x"), (7, "y"), (None, "z"), (None, "z")], "doc_id long, text string")
+    assert sorted(map(str, exact_dedup.exact_dedup(repeats).collect())) == sorted(map(str, [repeats.first(), *repeats.where("text = 'y'").collect(), repeats.where("text = 'z'").first()]))
 
 
 def plain_fingerprint(text, words=3):

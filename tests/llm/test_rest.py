@@ -169,18 +169,24 @@ def test_kth_largest(spark):
 
 def plain_exponent(shares, entropy, passes, budget=None):
     """By plain bisection, each condition on its own."""
-    n, best = len(shares), []
-    for holds in (lambda w, f: -sum(x * math.log(x) for x in w) >= entropy * math.log(n), lambda w, f: max(f) > passes):
-        low, high = 0.0, 1.0
+    n = len(shares)
+
+    def measures(alpha):
+        z = sum(s**alpha for s in shares)
+        w = [s**alpha / z for s in shares]
+        f = [x / s * (budget or 1) for x, s in zip(w, shares)]
+        return -sum(x * math.log(x) for x in w), max(f) if budget else max(f) / min(f)
+
+    def cross(low, high, holds):
         for _ in range(60):
             mid = (low + high) / 2
-            z = sum(s**mid for s in shares)
-            w = [s**mid / z for s in shares]
-            f = [x / s for x, s in zip(w, shares)]
-            f = [x * budget for x in f] if budget else [x / min(f) for x in f]
-            low, high = (mid, high) if holds(w, f) else (low, mid)
-        best.append(low)
-    return max(best)
+            low, high = (mid, high) if holds(*measures(mid)) else (low, mid)
+        return low
+
+    target = cross(0.0, 16.0, lambda h, _: h >= entropy * math.log(n))
+    if target < 1:
+        return max(target, cross(0.0, 1.0, lambda _, p: p > passes))
+    return min(target, cross(1.0, 16.0, lambda _, p: p <= passes))
 
 
 def skewed(spark):
@@ -189,33 +195,75 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
-@pytest.mark.parametrize(("entropy", "passes", "budget"), [(0.95, 4.0, 1.0), (0.8, 50.0, 1.0), (0.95, 2.0, None)])
-def test_mixture_meets_its_budgets(spark, entropy, passes, budget):
-    rows, docs = skewed(spark)
-    tokens = Counter()
-    for _, text, source in rows:
-        tokens[source] += len(text.split())
+def plain_mixture(spark, docs, entropy, passes, budget, block_size=512, seed=7):
+    """How often each row is taken, by sorting; only the hashes and the last digits of the exponent come from Spark."""
+    place = F.xxhash64(F.lit(seed), "doc_id", "text")
+    rows = [(r.doc_id, r.source, len((r.text or "").split()), r.place) for r in docs.select("*", place.alias("place")).collect()]
+    tokens, count = Counter(), Counter()
+    for _, s, n, _ in rows:
+        tokens[s] += n
+        count[s] += 1
     total = sum(tokens.values())
     shares = {s: n / total for s, n in tokens.items()}
-    alpha = plain_exponent(list(shares.values()), entropy, passes, budget)
-    z = sum(s**alpha for s in shares.values())
-    weights = {s: p**alpha / z for s, p in shares.items()}
-    size = total * (budget or z * max(shares.values()) ** (1 - alpha))
-    got, times = Counter(), Counter()
+    totals = mixing.source_totals(docs.select("source", mixing.n_words(F.col("text")).alias("n_tokens")))
+    alpha = mixing.exponent(totals, entropy, passes, budget and budget * total)
+    assert alpha == pytest.approx(plain_exponent(list(shares.values()), entropy, passes, budget), abs=1e-6)
+    z = sum(p**alpha for p in shares.values())
+    size = total * budget if budget else total * z / min(p ** (alpha - 1) for p in shares.values())
+    made = spark.createDataFrame([(p, s, max(1, math.ceil(count[s] / block_size))) for _, s, _, p in rows], "place long, source string, blocks int")
+    made = made.withColumn("block_no", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int")).withColumn("turn", F.xxhash64(F.lit(seed + 2), "source", "block_no"))
+    where = {(r.source, r.place): (r.turn % math.ceil(math.sqrt(r.blocks)), r.turn, r.block_no) for r in made.collect()}
+    times = Counter()
+    for s, share in shares.items():
+        goal = round(share**alpha / z * size / tokens[s], 9)
+        whole, rest = int(goal), int((goal - int(goal)) * tokens[s])
+        mine = sorted((where[s, p], p, n, i) for i, src, n, p in rows if src == s)
+        blocks = sorted({m[0] for m in mine})
+        for b in blocks:
+            of = [m for m in mine if m[0] == b]
+            held = sum(m[2] for m in of)
+            run, ended = 0, held > rest
+            for _, _, n, i in of:
+                run += n
+                times[i] += whole + (rest > 0 and run <= rest if ended else True)
+            rest = max(0, rest - held) if not ended else 0
+            if ended:
+                rest = -1
+    return +times, alpha, size
+
+
+@pytest.mark.parametrize(("entropy", "passes", "budget", "block"), [(0.95, 4.0, 1.0, 512), (0.95, 2.0, None, 32), (0.3, 50.0, 1.0, 32), (0.4, 1.5, 1.2, 512)])
+def test_mixture_equals_brute_force(spark, monkeypatch, entropy, passes, budget, block):
+    """Exponents under and over 1, bound by entropy and by passes; every row that is taken, and how often."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows, docs = skewed(spark)
+    want, alpha, size = plain_mixture(spark, docs, entropy, passes, budget, block)
+    assert abs(alpha - 1) > 0.01
+    got, taken = Counter(), 0
     for r in mixing.mixed(docs, entropy, passes, budget).collect():
-        got[r.source] += r.n_tokens
-        times[r.doc_id] += 1
-    for s in shares:
-        assert abs(got[s] - weights[s] * size) <= 45, (s, got[s], weights[s] * size)
-    assert max(times.values()) <= math.ceil(passes + 1e-6)
+        got[r.doc_id] += 1
+        taken += r.n_tokens
+    assert got == want
+    assert abs(taken - size) <= 4 * 40
+    assert max(got.values()) <= math.ceil(passes + 1e-6)
     if budget is None:
-        assert len(times) == len(rows)
+        assert len(got) == len(rows)
 
 
-def test_mixture_of_odd_rows(spark, odd, none):
-    rows = mixing.mixed(odd)
-    assert set(odd.columns) <= set(rows.columns)
-    assert {r.doc_id for r in rows.collect()} == {r[0] for r in ROWS}
+def test_op7_target_binds(spark, sf):
+    """The registered mixture isn't the corpus once over: its exponent is not 1."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, alpha, _ = plain_mixture(spark, docs, mixing.TARGET_ENTROPY, mixing.MOST_PASSES, 1.0)
+    assert abs(alpha - 1) > 0.1
+    assert Counter(r.doc_id for r in mixing.op7_mixing(spark, sf).collect()) == want
+
+
+def test_mixture_of_odd_rows(spark, odd, clashing, none):
+    for docs in (odd, clashing):
+        rows = mixing.mixed(docs)
+        assert rows.columns == [*docs.columns, "n_tokens", "pass_no", "block_no"]
+        assert {r[0] for r in rows.collect()} == {r[0] for r in ROWS}
+    assert rows.where("_order <> '7 _order'").count() == 0
     assert mixing.mixed(none).count() == 0
 
 

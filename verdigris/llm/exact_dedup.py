@@ -6,33 +6,34 @@ Two rounds of hash tables that compare complete contents:
    representative a distinct text. A table past its memory budget is emitted and
    begun anew. So a text that makes up a third of the corpus leaves a partition a
    few times, not once a row, and no shuffle partition grows hot.
-2. Representatives are dealt to buckets by hash. A bucket that is larger than the
-   table's budget is partitioned again, by further hash bits, to spill files until
-   each part fits; then an open-addressing table finds the classes.
+2. Representatives are partitioned by hash bits to bucket files. Buckets that fit an
+   open-addressing table are done; those that don't are partitioned again by further
+   bits, to new files, until each fits or its texts share their whole hash.
 
-Rows then join their class by the representative's number, which at most one
-table's rows share.
+Bucket files are tables in the folder that all machines share, so nothing is kept on
+one machine, and a lost executor costs the tasks it had. Rows then join their class
+by the representative's number, which at most one table's rows share.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import sliced, written
+from verdigris.llm.shared import named, sliced, written
 
-#: Bytes of content that one table holds; a task has one table at a time.
+#: Bytes that one table holds; a task has one table at a time.
 TABLE_BYTES = 48 << 20
-#: Parts that a bucket over the budget is split into.
-FAN_OUT = 16
+#: What an entry of a table takes beside its content: its slot, its hash, its objects.
+ENTRY_BYTES = 200
+#: Bits by which a bucket that doesn't fit is partitioned again.
+SPLIT_BITS = 4
 
 
 class Table:
@@ -56,7 +57,7 @@ class Table:
         self.slots[at] = k
         self.hashes.append(h)
         self.texts.append(text)
-        self.bytes += len(text)
+        self.bytes += len(text) + ENTRY_BYTES
         if 2 * k > self.mask:
             self.grow()
         return k
@@ -71,70 +72,13 @@ class Table:
             self.slots[at] = k
 
 
-def grace(records: Iterable[tuple[bytes, object]], budget: int = TABLE_BYTES, level: int = 0) -> Iterator[list[list[object]]]:
-    """Groups of the payloads of equal texts, a list of groups for each table.
-
-    Records are read once. While all that came fits the budget it stays in memory;
-    beyond that it is partitioned by hash to FAN_OUT spill files and each is done
-    the same way with other hash bits. A spill file is the task's own: it has no
-    name, is gone when the task ends, and a task that runs again writes it again.
-    Equal texts can't be parted by a hash; they take one slot, and only their
-    payloads grow.
-    """
-    table, groups = Table(), []
-    rest = iter(records)
-    for text, payload in rest:
-        k = table.find(text, xxhash.xxh3_64_intdigest(text, seed=level))
-        if k == len(groups):
-            groups.append([])
-        groups[k].append(payload)
-        if table.bytes > budget and len(table.texts) > 1:
-            break
-    else:
-        yield groups
-        return
-    with tempfile.TemporaryFile() as held:  # one file a level; parts are chains of blocks in it
-        places: list[list[int]] = [[] for _ in range(FAN_OUT)]
-        blocks: list[list[tuple[bytes, object]]] = [[] for _ in range(FAN_OUT)]
-        sizes = [0] * FAN_OUT
-
-        def flush(part: int) -> None:
-            places[part].append(held.seek(0, 2))
-            pickle.dump(blocks[part], held, protocol=5)
-            blocks[part], sizes[part] = [], 0
-
-        def put(text: bytes, payloads: list[object]) -> None:
-            part = xxhash.xxh3_64_intdigest(text, seed=level + 1000) % FAN_OUT
-            blocks[part].append((text, payloads))
-            sizes[part] += len(text) + 64
-            if sizes[part] > budget // (2 * FAN_OUT):
-                flush(part)
-
-        for text, payloads in zip(table.texts, groups, strict=True):
-            put(text, payloads)
-        del table, groups
-        for text, payload in rest:
-            put(text, [payload])
-        for part in range(FAN_OUT):
-            if blocks[part]:
-                flush(part)
-
-        def part_of(part: int) -> Iterator[tuple[bytes, object]]:
-            for place in places[part]:
-                held.seek(place)
-                yield from pickle.load(held)  # noqa: S301  written by this task
-
-        for part in range(FAN_OUT):
-            for found in grace(part_of(part), budget, level + 1):
-                yield [[p for payloads in group for p in payloads] for group in found]
-
-
-LOCAL = pa.schema([("row_id", pa.int64()), ("local_id", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("h", pa.int64())])
+LOCAL = pa.schema([("row_id", pa.int64()), ("place", pa.int64()), ("local_id", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("h", pa.int64()), ("takes", pa.int64())])
+_LOCAL = "row_id long, place long, local_id long, sha string, text binary, h long, takes long"
 
 
 def _combine(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Round 1: each row with the number of its representative, whose row carries the text."""
-    number = TaskContext.get().partitionId() << 40
+    """Round 1: each row with its own number and that of its representative, whose row carries the text."""
+    number = place = TaskContext.get().partitionId() << 40
     table, shas = Table(), []
     for batch in sliced(batches, "text"):
         out: dict[str, list] = {name: [] for name in LOCAL.names}
@@ -145,26 +89,78 @@ def _combine(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Reco
             new = k == len(shas)
             if new:
                 shas.append(hashlib.sha256(content).hexdigest())
-            for name, value in zip(LOCAL.names, (row_id, number + k, shas[k], content if new else None, h - (1 << 63)), strict=True):
+            for name, value in zip(LOCAL.names, (row_id, place, number + k, shas[k], content if new else None, h - (1 << 63), len(content) + ENTRY_BYTES), strict=True):
                 out[name].append(value)
+            place += 1
         yield pa.RecordBatch.from_pydict(out, LOCAL)
         if table.bytes > budget:
             number += len(shas)
             table, shas = Table(), []
 
 
-def _classes(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Round 2: for each representative, the least number of its class."""
-
-    def records() -> Iterator[tuple[bytes, object]]:
-        for batch in sliced(batches, "text"):
-            yield from zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Round 2, rows (bucket, local_id, text, h) sorted by bucket: for each representative, the least number of its class."""
+    now, table, members = None, Table(), []
+    schema = pa.schema([("local_id", pa.int64()), ("class_id", pa.int64())])
 
-    for groups in grace(records(), budget):
-        ids = [i for group in groups for i in group]
-        least = [m for group in groups for m in [min(group)] * len(group)]
+    def classes() -> Iterator[pa.RecordBatch]:
+        ids, least = [i for some in members for i in some], [m for some in members for m in [min(some)] * len(some)]
         for at in range(0, len(ids), 10_000):
-            yield pa.RecordBatch.from_pydict({"local_id": ids[at : at + 10_000], "class_id": least[at : at + 10_000]})
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 10_000], pa.int64()), pa.array(least[at : at + 10_000], pa.int64())], schema=schema)
+
+    for batch in sliced(batches, "text"):
+        for bucket, local_id, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != now:
+                yield from classes()
+                now, table, members = bucket, Table(), []
+            k = table.find(text, h)
+            if k == len(members):
+                members.append([])
+            members[k].append(local_id)
+    yield from classes()
+
+
+def grace(held: DataFrame, budget: int = TABLE_BYTES, bits: int | None = None) -> DataFrame:
+    """(local_id, class_id) of representatives (local_id, text, h, takes): the least number of those with the same text.
+
+    takes is what an entry needs: the length of the text and ENTRY_BYTES.
+
+    Buckets go by the first bits of h, at first by so many that tables are filled
+    to a half. What a bucket takes is summed by an aggregate; those over the budget
+    are written on to the next round, with SPLIT_BITS more bits. A bucket of one
+    hash can't be parted: equal texts take one entry of its table.
+    """
+    if bits is None:
+        bits = min(40, max(0, 2 * (held.agg(F.sum("takes")).first()[0] or 0) // budget).bit_length())
+    out = None
+    while True:
+        keyed = held.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+        sizes = keyed.groupBy("bucket").agg(F.sum("takes").alias("takes"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        large = written(sizes.where((F.col("takes") > budget) & (F.col("lo") != F.col("hi"))).select("bucket"), "large_buckets")
+        some = not large.isEmpty()
+        fit = keyed.join(large, "bucket", "left_anti") if some else keyed
+        fit = fit.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "local_id", "text", "h")
+        found = fit.mapInArrow(_classes, "local_id long, class_id long")
+        out = found if out is None else out.unionByName(found)
+        if not some:
+            return out
+        held = written(keyed.join(large, "bucket", "left_semi").drop("bucket"), "bucket_files")
+        bits = min(64, bits + SPLIT_BITS)
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
+    """(row_id, place, local_id, sha, keep_id, group_size, kept): place is the number of the row, the same in every reading of the result."""
+    rows = docs.select(named(id_col).cast("long").alias("row_id"), named(text_col).cast("string").alias("text"))
+    local = written(rows.mapInArrow(lambda it: _combine(it, budget), _LOCAL), "local_texts")
+    classes = grace(local.where("text IS NOT NULL").select("local_id", "text", "h", "takes"), budget)
+    # What a class holds is summed by representative first: a row for each, not each document.
+    stays = F.struct(F.coalesce("row_id", F.lit(-(2**63))), -F.col("place"))
+    per_local = local.groupBy("local_id").agg(F.count("*").alias("n"), F.max_by(F.struct("row_id", "place"), stays).alias("lead"), F.max(stays).alias("order"))
+    joined = written(per_local.join(classes, "local_id"), "classes")
+    total = joined.groupBy("class_id").agg(F.sum("n").alias("group_size"), F.max_by("lead", "order").alias("lead"))
+    of_local = joined.select("local_id", "class_id").join(total, "class_id").select("local_id", "group_size", F.col("lead.row_id").alias("keep_id"), F.col("lead.place").alias("keep_place"))
+    met = local.select("row_id", "place", "local_id", "sha").join(of_local, "local_id")
+    return met.withColumn("kept", F.col("place") == F.col("keep_place"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -173,33 +169,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical; null counts as empty. Of equal texts the row
     with the largest id stays; a null id is smaller than any other. Rows that
     repeat both id and text count each; all of them carry the same id, so one of
-    them stays.
-    Empty texts form a group like any other. An empty table gives no rows. Other
-    columns, whatever their names, are not read.
+    them stays. Empty texts form a group like any other, and texts of any length
+    are compared whole. An empty table gives no rows. Other columns, whatever their
+    names, are not read.
     """
-    budget = table_bytes
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    local = written(rows.mapInArrow(lambda it: _combine(it, budget), "row_id long, local_id long, sha string, text binary, h long"), "local_texts")
-    held = local.where("text is not null").select("local_id", "text", "h")
-    classes = held.repartition("h").select("local_id", "text").mapInArrow(lambda it: _classes(it, budget), "local_id long, class_id long")
-    # What a class holds is summed by representative first: a row for each, not each document.
-    per_local = local.groupBy("local_id").agg(F.count("*").alias("n"), F.max("row_id").alias("top"), F.first("sha").alias("sha"))
-    joined = written(per_local.join(classes, "local_id"), "classes")
-    total = joined.groupBy("class_id").agg(F.sum("n").alias("group_size"), F.max("top").alias("keep_id"), F.max(F.struct("top", (-F.col("local_id")).alias("number"))).alias("lead"))
-    of_local = joined.join(total, "class_id").select("local_id", "sha", "keep_id", "group_size", (F.col("lead.number") == -F.col("local_id")).alias("leads"))
-    # Of rows that share id and text with the row that stays, one stays.
-    repeats = local.groupBy("local_id", "row_id").agg(F.count("*").cast("int").alias("m"))
-    one = repeats.join(of_local, "local_id").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    kept = F.col("leads") & F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
-    return one.select(F.col("row_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    found = _classified(docs, id_col, text_col, table_bytes)
+    return found.select(F.col("row_id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    same = marked[id_col].eqNullSafe(stay["_stay_id"]) & (marked["_sha"] == stay["_stay_sha"])
-    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    """The rows of docs that stay, with all their columns, whatever their names.
+
+    Rows are told by id and digest. Those that share both with the row that stays
+    are repeats of it, of which one is taken. Whole rows are shuffled once to meet
+    what stays; only those of larger groups are shuffled again to find repeats.
+    """
+    stay = written(_classified(docs, id_col, text_col, TABLE_BYTES).where("kept").select("row_id", "sha", "group_size"), "stay")
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    marked = docs.select(F.struct("*").alias("row"), named(id_col).cast("long").alias("row_id"), F.sha2(text, 256).alias("sha"))
+    met = marked.alias("m").join(stay.alias("s"), F.expr("m.row_id <=> s.row_id AND m.sha = s.sha")).select("m.row", "m.row_id", "m.sha", "s.group_size")
+    alone = met.where("group_size = 1").select("row.*")
+    # In groups of several, rows may repeat the id and the text of the one that stays.
+    one = met.where("group_size > 1").groupBy("row_id", "sha").agg(F.first("row").alias("row")).select("row.*")
+    return alone.unionByName(one)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

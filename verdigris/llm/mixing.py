@@ -1,11 +1,12 @@
 """Temperature mixing of sources.
 
 Source weights are token shares raised to an exponent and normalised. The exponent
-is the largest that gives the weights their target entropy, or the smallest that
-keeps every source within the repetition limit if that is more. Each source then
-gets its budget of tokens: whole passes over it, and for the rest whole blocks of
-its documents in an order permuted by hash, up to a document of the block in which
-the budget ends.
+is the one that gives the weights their target entropy: under 1 it lifts small
+sources, over 1 large ones. If some source would then be passed over more often
+than the limit allows, it is the nearest one that keeps to the limit. Each source
+then gets its budget of tokens: whole passes over it, and for the rest whole blocks
+of its documents in an order permuted by hash, up to a document of the block in
+which the budget ends.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import written
+from verdigris.llm.shared import named, written
 
 #: Share of the largest possible entropy that the weights shall have, and how often a source may be passed over.
 TARGET_ENTROPY, MOST_PASSES = 0.95, 4.0
 #: Documents of a block, about.
 BLOCK = 512
-#: Exponents that one step of the bisection tries at once, and steps.
-SECTIONS, STEPS = 32, 6
+#: The largest exponent, exponents that one step of the bisection tries at once, and steps.
+MOST_EXPONENT, SECTIONS, STEPS = 16.0, 32, 7
 
 
 def n_words(text: Column) -> Column:
@@ -38,12 +39,13 @@ def source_totals(docs: DataFrame) -> DataFrame:
 
 
 def exponent(totals: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MOST_PASSES, budget: float | None = None) -> float:
-    """The exponent in [0, 1], by bisection with many sections a step.
+    """The exponent in [0, MOST_EXPONENT], by bisection with many sections a step.
 
-    Both measures are monotonous in it: entropy falls and the passes over the
-    source that is repeated most fall as it rises. A step is one aggregation over
-    the sources that sends a row to the driver. Without a budget passes count
-    relative to those over the largest source.
+    Entropy falls as it rises. The passes over the source that is repeated most
+    fall up to 1 and rise from there, so the limit leaves an interval around 1. A
+    step is one aggregation over the sources that sends a row to the driver.
+    Without a budget passes count relative to those over the source passed over
+    least; with one that no exponent keeps to the limit it is 1.
     """
     n, least, most, tokens = totals.agg(F.count("*"), F.min("share"), F.max("share"), F.sum("tokens")).first()
     if not n or n == 1:
@@ -56,17 +58,15 @@ def exponent(totals: DataFrame, entropy: float = TARGET_ENTROPY, passes: float =
         out = []
         for i, a in enumerate(at):
             z, s = sums[f"z{i}"], sums[f"s{i}"]
-            scale = budget / tokens * most ** (a - 1) / z if budget else 1.0
-            out.append((math.log(z) - a * s / z, scale * (least / most) ** (a - 1)))
+            some = sorted((least ** (a - 1), most ** (a - 1)))
+            out.append((math.log(z) - a * s / z, budget / tokens * some[1] / z if budget else some[1] / some[0]))
         return out
 
-    def bisect(low_side) -> float:  # noqa: ANN001
-        """The point up to which low_side holds."""
-        low, high = 0.0, 1.0
+    def bisect(holds, low: float, high: float) -> float:  # noqa: ANN001
+        """The point up to which holds is true."""
         for _ in range(STEPS):
             grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
-            holds = [low_side(*m) for m in measures(grid)]
-            k = sum(holds)  # monotonous: the first k hold
+            k = sum(holds(*m) for m in measures(grid))  # monotonous: the first k are true
             if k == 0:
                 return low
             if k == len(grid):
@@ -74,67 +74,79 @@ def exponent(totals: DataFrame, entropy: float = TARGET_ENTROPY, passes: float =
             low, high = grid[k - 1], grid[k]
         return low
 
-    return max(bisect(lambda h, _: h >= wanted), bisect(lambda _, p: p > passes))
+    target = bisect(lambda h, _: h >= wanted, 0.0, MOST_EXPONENT)
+    if target < 1:
+        return max(target, bisect(lambda _, p: p > passes, 0.0, 1.0))
+    return min(target, bisect(lambda _, p: p <= passes, 1.0, MOST_EXPONENT))
 
 
 def plan(totals: DataFrame, alpha: float, budget: float | None = None) -> DataFrame:
     """(source, weight, whole, rest_tokens, blocks): passes over each source, tokens beyond them, and its blocks.
 
     Without a budget the mixture is as large as it must be for one whole pass
-    over the source with the largest share, so no document is left out.
+    over every source, so no document is left out.
     """
-    z, most, tokens = totals.agg(F.sum(F.pow("share", F.lit(alpha))), F.max("share"), F.sum("tokens")).first()
+    z, least, most, tokens = totals.agg(F.sum(F.pow("share", F.lit(alpha))), F.min("share"), F.max("share"), F.sum("tokens")).first()
     if z is None:
         return totals.select("source", F.lit(0.0).alias("weight"), F.lit(0).alias("whole"), F.lit(0).cast("long").alias("rest_tokens"), F.lit(1).alias("blocks"))
-    size = budget or tokens * z * most ** (1 - alpha)
+    size = budget or tokens * z / min(least ** (alpha - 1), most ** (alpha - 1))
     weight = F.pow("share", F.lit(alpha)) / z
     passes = F.round(weight * size / F.col("tokens"), 9)
     whole = F.floor(passes)
     return totals.select("source", weight.alias("weight"), whole.cast("int").alias("whole"), F.floor((passes - whole) * F.col("tokens")).alias("rest_tokens"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("int").alias("blocks"))
 
 
-def mixed(docs: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MOST_PASSES, budget_share: float | None = None, seed: int = 7) -> DataFrame:
-    """docs with n_tokens, pass_no and block_no: a row for each time that a document is taken.
+def mixed(docs: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MOST_PASSES, budget_share: float | None = None, seed: int = 7, columns: list[str] | None = None) -> DataFrame:
+    """docs (or so many columns of it) with n_tokens, pass_no and block_no: a row for each time that a document is taken.
 
     budget_share is the size of the mixture as a share of all tokens; without it no
     document is left out. Null texts and texts without a word have no tokens: they
     come along once in every pass, and a source of such texts only once. A null
     source is a source. Equal rows share their fate, so the last of them may
     exceed a budget; ties of the hash order go together. An empty table gives no
-    rows. Columns named n_tokens, pass_no or block_no are replaced.
+    rows. Columns named n_tokens, pass_no or block_no are replaced; others may have
+    any name.
 
-    A hot source has many blocks, so no task gets all of it; windows run over
-    blocks of a source and over the one block of each in which its budget ends.
+    Texts are read and hashed once, into a written table. A hot source has many
+    blocks, so no task gets all of it. Prefix sums of a source's blocks go in two
+    levels, of which each has about the root of their number in a window.
     """
-    docs = docs.drop("n_tokens", "pass_no", "block_no").withColumns({"n_tokens": n_words(F.col("text").cast("string")), "_order": F.xxhash64(F.lit(seed), "doc_id", "text")})
-    light = written(docs.select("source", "n_tokens", "_order"), "mix_rows")
+    docs = docs.drop("n_tokens", "pass_no", "block_no")
+    row = F.struct(*map(named, docs.columns if columns is None else columns))
+    table = written(docs.select(row.alias("row"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("n_tokens"), F.xxhash64(F.lit(seed), "doc_id", F.col("text").cast("string")).alias("place")), "mix_rows")
+    light = table.select("source", "n_tokens", "place")
     totals = source_totals(light)
     budget = budget_share * (totals.agg(F.sum("tokens")).first()[0] or 0) if budget_share else None
-    planned = plan(totals, exponent(totals, entropy, passes, budget), budget)
-    block = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("blocks")).cast("int")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    placed = light.join(planned, same(light, planned)).select(light["source"], "n_tokens", "_order", "whole", "rest_tokens", block.alias("block_no"))
-    sizes = placed.groupBy("source", "block_no").agg(F.sum("n_tokens").alias("size"), F.first("whole").alias("whole"), F.first("rest_tokens").alias("rest_tokens"))
-    in_order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block_no"), "block_no").rowsBetween(W.unboundedPreceding, 0)
-    blocks = sizes.withColumn("upto", F.sum("size").over(in_order)).withColumn("left", F.col("rest_tokens") - F.col("upto") + F.col("size"))
-    blocks = blocks.select("source", "block_no", "whole", "left", (F.col("upto") <= F.col("rest_tokens")).alias("inside"), ((F.col("left") > 0) & (F.col("upto") > F.col("rest_tokens"))).alias("ends"))
+    planned = written(plan(totals, exponent(totals, entropy, passes, budget), budget), "mix_plan")
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int")
+    same = lambda a, b, *more: F.expr(" AND ".join([f"{a}.source <=> {b}.source", *(f"{a}.{c} = {b}.{c}" for c in more)]))
+    placed = light.alias("l").join(planned.alias("p"), same("l", "p")).select("l.*", "p.whole", "p.rest_tokens", "p.blocks", block.alias("block_no"))
+    turn = F.xxhash64(F.lit(seed + 2), "source", "block_no")
+    shelf = F.pmod(turn, F.ceil(F.sqrt("blocks")).cast("int"))
+    sizes = written(placed.groupBy("source", "block_no").agg(F.sum("n_tokens").alias("size"), *(F.first(c).alias(c) for c in ("whole", "rest_tokens", "blocks"))).withColumns({"turn": turn, "shelf": shelf}), "mix_sizes")
+    # A source's blocks go by shelf and then by turn: first what the shelves before hold, then what the blocks before hold.
+    ahead = W.partitionBy("source").orderBy("shelf").rowsBetween(W.unboundedPreceding, -1)
+    shelves = sizes.groupBy("source", "shelf").agg(F.sum("size").alias("held")).select("source", "shelf", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
+    inner = W.partitionBy("source", "shelf").orderBy("turn", "block_no").rowsBetween(W.unboundedPreceding, 0)
+    summed = sizes.withColumn("within", F.sum("size").over(inner)).alias("s").join(shelves.alias("h"), same("s", "h", "shelf")).select("s.*", (F.col("before") + F.col("within")).alias("upto"))
+    left = F.col("rest_tokens") - F.col("upto") + F.col("size")
+    blocks = summed.select("source", "block_no", "whole", left.alias("left"), (F.col("upto") <= F.col("rest_tokens")).alias("inside"), ((left > 0) & (F.col("upto") > F.col("rest_tokens"))).alias("ends"))
     # In the block where the budget ends: the last place in the hash order that it still covers.
-    end = blocks.where("ends").select(F.col("source").alias("s"), F.col("block_no").alias("b"), "left")
-    of_end = placed.join(end, placed["source"].eqNullSafe(F.col("s")) & (F.col("block_no") == F.col("b"))).groupBy("s", "b", "_order").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
-    run = F.sum("n").over(W.partitionBy("s", "b").orderBy("_order").rowsBetween(W.unboundedPreceding, 0))
-    last = of_end.withColumn("run", run).where("run <= left").groupBy("s", "b").agg(F.max("_order").alias("last"))
-    cuts = written(blocks.join(last, blocks["source"].eqNullSafe(F.col("s")) & (F.col("block_no") == F.col("b")), "left").select("source", "block_no", "whole", "inside", "last"), "mix_blocks")
-    per_source = planned.select(F.col("source").alias("_s"), "blocks")
-    rows = docs.join(per_source, docs["source"].eqNullSafe(F.col("_s")), "left").withColumn("block_no", F.coalesce(block, F.lit(0))).drop("_s", "blocks")
-    cut = cuts.select(F.col("source").alias("_s"), F.col("block_no").alias("_b"), "whole", "inside", "last")
-    rows = rows.join(cut, rows["source"].eqNullSafe(F.col("_s")) & (rows["block_no"] == F.col("_b")), "left")
-    once_more = F.coalesce(F.col("inside") | (F.col("_order") <= F.col("last")), F.lit(False))
-    times = F.coalesce(F.col("whole"), F.lit(1)) + F.when(once_more, 1).otherwise(0)
-    taken = rows.withColumn("_times", times).where("_times > 0")
-    return taken.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times", "_order", "_s", "_b", "whole", "inside", "last")
+    of_end = placed.alias("p").join(blocks.where("ends").alias("e"), same("p", "e", "block_no")).select("p.source", "p.block_no", "p.place", "p.n_tokens", "e.left")
+    of_end = of_end.groupBy("source", "block_no", "place").agg(F.sum("n_tokens").alias("n"), F.first("left").alias("left"))
+    run = F.sum("n").over(W.partitionBy("source", "block_no").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    last = of_end.withColumn("run", run).where("run <= left").groupBy("source", "block_no").agg(F.max("place").alias("last"))
+    cuts = written(blocks.alias("b").join(last.alias("l"), same("b", "l", "block_no"), "left").select("b.source", "b.block_no", "b.whole", "b.inside", "l.last"), "mix_blocks")
+    rows = table.alias("r").join(planned.select("source", "blocks").alias("p"), same("r", "p"), "left").select("r.*", F.coalesce(block, F.lit(0)).alias("block_no"))
+    met = rows.alias("r").join(cuts.alias("c"), same("r", "c", "block_no"), "left")
+    once_more = F.coalesce(F.col("c.inside") | (F.col("r.place") <= F.col("c.last")), F.lit(False))
+    times = F.coalesce(F.col("c.whole"), F.lit(1)) + F.when(once_more, 1).otherwise(0)
+    taken = met.select("r.row", "r.n_tokens", "r.block_no", times.alias("times")).where("times > 0")
+    taken = taken.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return taken.select("row.*", "n_tokens", "pass_no", "block_no")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture of all documents as large as the corpus."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mixed(docs, budget_share=1.0).select("doc_id", "source", "n_tokens", "pass_no", "block_no")
+    return mixed(docs, budget_share=1.0, columns=["doc_id", "source"])
