@@ -126,7 +126,7 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in (7, *range(200, 400))}
 
 
-def test_near_copies_are_found_and_others_left(spark, odd):
+def test_near_copies_are_found_and_others_left(spark, odd, clashing, none):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     rows, groups = [], {}
@@ -141,9 +141,30 @@ def test_near_copies_are_found_and_others_left(spark, odd):
     rows += [(5000 + i, " ".join(word() for _ in range(200))) for i in range(40)]
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == groups
-    kept = near_copies.near_copy_dedup(odd)
-    assert kept.columns == odd.columns
-    assert {r.doc_id for r in kept.collect()} == {1, 3, 4, None, 5, 6, 7}
+    for docs in (odd, clashing):
+        kept = near_copies.near_copy_dedup(docs)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {1, 3, 4, None, 5, 6, 7}
+    assert near_copies.near_copy_dedup(none).count() == 0
+
+
+def test_near_copies_tell_rows_of_one_id_apart(spark):
+    """A row that only shares its id with one that goes stays; repeats of a row that stays stay."""
+    a, b, c = ("some words that are long enough for shingles", "other words that nobody has seen before now", "a third text which has words of its own too")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, c + " "), (None, a), (None, None)]
+    kept = near_copies.near_copy_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (2, b), (3, c), (3, c), (None, a), (None, None)]))
+
+
+def test_near_copies_of_sf_equal_all_pairs(spark, sf):
+    """Recall and wrong removals against all pairs: none is missed, and none goes that has no neighbour at 0.8."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets = {r.doc_id: set(near_copies.shingles(r.text).tolist()) for r in docs.collect()}
+    sets = {i: x for i, x in sets.items() if x}
+    want = classes(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    members = {t for i, t in want.items() if i != t}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: t for i, t in want.items() if t in members}
 
 
 def test_signatures_tell_similarity():
@@ -151,7 +172,7 @@ def test_signatures_tell_similarity():
     changed = words[:300] + [f"v{i}" for i in range(100)]
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
     a, b = shingles(words), shingles(changed)
-    (_, x), (_, y) = near_copies.sketch(" ".join(words)), near_copies.sketch(" ".join(changed))
+    (_, x), (_, y) = (near_copies.sketch(near_copies.shingles(" ".join(w))) for w in (words, changed))
     assert abs(sum(x == y) / len(x) - len(a & b) / len(a | b)) < 0.08
 
 

@@ -81,6 +81,22 @@ def test_urls_of_odd_pages(spark):
     assert urls.judged(pages.limit(0)).count() == 0
 
 
+def test_urls_of_many_rules_and_long_urls(spark):
+    """3000 listed rules, of equal lengths too, and rules without a token; against trying each."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    listed = tuple({f"{word(2)}.{word(2)}/{word(r.choice([0, 1, 2]))}": r.choice(["block", "allow"]) for _ in range(3000)}.items()) + (("é/", "allow"), ("aa.bb/Cc", "block"))
+    found = [f"http://{r.choice(['', 'x.'])}{word(2)}.{word(2)}/{word(3)}" for _ in range(300)] + ["http://é/x", "http://AA.bb/Cc", "http://aa.bb/cc", "http://a.b/" + "long/" * 40_000 + "wp-login.php"] * 2
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in urls.judged(pages, listed=listed).collect()}
+    for i, url in enumerate(found):
+        host, _, path = url[7:].partition("/")
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(rule), rule, verdict) for rule, verdict in listed if (host == rule.partition("/")[0] or host.endswith("." + rule.partition("/")[0])) and ("/" + path).startswith("/" + rule.partition("/")[2])]
+        want = max(fits)[1:] if fits else (None, "block" if "wp-login" in url else "allow")
+        assert got[i] == want, url
+
+
 def test_pattern_tokens_are_delimited():
     assert urls.pattern_tokens("||spam-farm.") == ["spam", "farm"]
     assert urls.pattern_tokens("/affiliate/*/click^") == ["affiliate", "click"]

@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,13 +108,87 @@ def test_pii_base_spans(spark, odd, none):
     assert pii.personal_data(none).count() == 0
 
 
-def test_pii_contexts_discover_unseen_identifiers(spark):
-    good = [f"Please bill card number 411111111111111{d} today" for d in "1"] + [f"her card number 5{i:03d}00000000000{0}" for i in range(3)]
-    mails = [f"my contact is user{i}@mail.example and more" for i in range(9)]
-    rows = [(i, t) for i, t in enumerate(mails + good + ["my contact is 99887766554433 really", "serial 1234567890123 of a pump"])]
-    got = {r.doc_id: [s.kind for s in r.found] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[len(rows) - 2] == ["id"]
-    assert got[len(rows) - 1] == []
+def plain_candidates(text, base):
+    """Runs of letters and digits with single marks between, and digits with single blanks between, that hold a digit and overlap no base span."""
+    out = []
+    for m in regex.finditer(r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-./])[A-Za-z0-9]+(?:[-./][A-Za-z0-9]+)*(?:(?<=[0-9]) [0-9]+(?![A-Za-z0-9]))*", text):
+        found = re.search("[0-9]", re.match("[A-Za-z0-9]+(?:[-./][A-Za-z0-9]+)*", m[0])[0])
+        if found and len(re.sub("[^A-Za-z0-9]", "", m[0])) >= 5 and not any(s < m.end() and e > m.start() for _, s, e in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def plain_contexts(text, start, end):
+    left, right = text[:start].lower(), text[end:].lower()
+    out = set()
+    for side, found in (("<", regex.search(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*$", left)), ("<", regex.search(r"[\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]+[^\p{L}\p{N}]*$", left)), (">", regex.match(r"[^\p{L}\p{N}]*[\p{L}\p{N}]+", right))):
+        if found:
+            out.add(side + re.sub(r"\s+", " ", found[0]))
+    return out
+
+
+def plain_bootstrap(texts):
+    """Rounds of scores over dictionaries; found spans of each text."""
+    edges, seeds, places = {}, set(), []
+    for i, text in texts.items():
+        base = plain_spans(text)
+        for s, e in [(s, e) for _, s, e in base] + plain_candidates(text, base):
+            m = text[s:e]
+            candidate = (s, e) not in {(a, b) for _, a, b in base}
+            if not candidate or re.fullmatch("[0-9A-Fa-f]{32,}", m) and re.search("[0-9]", m) and re.search("[A-Fa-f]", m):
+                seeds.add(m)
+            if candidate:
+                places.append((i, s, e, m))
+            for p in plain_contexts(text, s, e):
+                edges.setdefault(p, set()).add(m)
+    belief = dict.fromkeys(m for held in edges.values() for m in held)
+    belief = dict.fromkeys(belief, 0.0)
+    for _ in range(50):
+        score = {m: 1.0 if m in seeds else b for m, b in belief.items()}
+        trust = {p: sum(score[m] for m in held) / (len(held) + pii.DOUBT) for p, held in edges.items() if sum(score[m] >= pii.BELIEVED for m in held) >= pii.LEAST_SEEDS}
+        doubt = dict.fromkeys(belief, 1.0)
+        for p, x in trust.items():
+            if x >= pii.CONFIDENT:
+                for m in edges[p]:
+                    doubt[m] *= 1 - min(x, 0.999)
+        belief = {m: 1 - d for m, d in doubt.items()}
+    found = {i: [] for i in texts}
+    for i, s, e, m in sorted(places):
+        if belief.get(m, 0) >= pii.BELIEVED:
+            found[i].append(("id", s, e))
+    return found
+
+
+def test_pii_bootstrap_equals_brute_force(spark):
+    """Whole rounds over given documents and made ones: right and left contexts, short and grouped identifiers, very long ones, keys."""
+    r = random.Random(8)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text LIKE '%token =%' OR doc_id % 25 = 0").collect()
+    texts = {x.doc_id: x.text for x in given}
+    kinds = ["AB-%06d", "%03d-%02d-%04d", "%04d %04d %04d", "x%d", "%d", "k" * 80 + "%d"]
+    for k in range(160):
+        kind = r.choice(kinds)
+        number = kind % tuple(r.randrange(10**6) for _ in range(kind.count("%")))
+        near = r.choice(["my contact is {} and more", "by customer no {} then", "serial {} of a pump", "{} is my number", "Ünder {}\n\tis my number", "tail {}", "q--{}--z"])
+        value = r.choice([f"user{k}@mail.example", f"10.0.{k}.7", number, number])
+        texts[100_000 + k] = near.format(value) + r.choice(["", " x" * 700])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: [tuple(s) for s in x.found] for x in pii.personal_data(rows).collect()}
+    want = plain_bootstrap(texts)
+    assert got == want
+    assert sum(map(len, want.values())) > 40
+    assert {i for i, t in texts.items() if re.search('token = "[0-9a-f]{40}"', t, re.I)} <= {i for i, f in got.items() if f}
+
+
+def test_op10_columns(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = plain_bootstrap(texts)
+    joined = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    for r in pii.op10_pii(spark, sf).collect():
+        base = plain_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in PLAIN]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert r.spans == joined([*base, *found[r.doc_id]])
+        assert (r.n_found, r.n_spans) == (len(found[r.doc_id]), len(base) + len(found[r.doc_id]))
 
 
 def test_pii_contexts_found_by_discovered_identifiers(spark):
@@ -126,6 +201,12 @@ def test_pii_contexts_found_by_discovered_identifiers(spark):
     assert got[len(rows) - 1] == []
 
 
+def test_pii_of_clashing_columns_and_long_texts(spark, clashing):
+    assert pii.personal_data(clashing).count() == len(ROWS)
+    long = spark.createDataFrame([(1, "a-" * 60_000 + " " + "a--" * 40_000 + "1 2 " * 20_000)], "doc_id long, text string")
+    assert pii.personal_data(long).first().found == []
+
+
 def plain_cut(texts, length=200):
     seen = {}
     for t in texts:

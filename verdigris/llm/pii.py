@@ -1,11 +1,12 @@
 """Personal data: base patterns, and identifiers that contexts give away.
 
-Base entities come from regular expressions. They seed a bootstrap: the words to
-the left of seeds are lexical patterns; every identifier-like string that follows a
-pattern is one of its instances. Spark scores the graph of patterns and instances
-in rounds (a pattern by the share of its instances that are believed, an instance
-by the patterns that it follows), and instances of high-confidence patterns are
-discovered identifiers. DataFrame functions only.
+Base entities come from regular expressions. They, and strings shaped like keys,
+seed a bootstrap: the words to the left and right of seeds are lexical patterns, and
+every identifier-like string in such a context is one of its instances. Spark scores
+the graph of patterns and instances in rounds (a pattern by the share of its
+instances that are believed, an instance by the patterns around it) until neither
+changes. Instances of high-confidence patterns are discovered identifiers, whether
+they were believed at first or not. DataFrame functions only.
 
 All expressions are linear in a text's length, runs of one character class of any
 length included: a match starts at the end of the last one or where its class
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import written
+from verdigris.llm.shared import named, spread_join, written
 
 # The entities as they are to be found, in forms that don't backtrack.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -27,22 +28,29 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Identifier-like strings: 8 to 64 letters and digits, and not letters only.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{8,64}+(?![A-Za-z0-9])"
-#: Digits that a candidate has at least.
-LEAST_DIGITS = 6
+#: Identifier-like strings: letters and digits, parted by single - . / or, between digits, blanks.
+CANDIDATE = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-./])(?=(?:[A-Za-z]++[-./])*+[A-Za-z]*+[0-9])[A-Za-z0-9]++(?:[-./][A-Za-z0-9]++)*+(?:(?<=[0-9]) [0-9]++(?![A-Za-z0-9]))*+"
+#: Letters and digits that an identifier has at least; one of them is a digit.
+LEAST_CHARS = 5
+#: Candidates of this shape are seeds as base entities are, but found only where a context confirms them.
+KEY = r"^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
 #: Unbelieved instances that every pattern is thought to have; what a pattern needs to be trusted, its believed instances among that.
 DOUBT, CONFIDENT, LEAST_SEEDS = 2.0, 0.6, 3
 #: What an instance needs to be believed: the chance that one of its trusted patterns is right.
 BELIEVED = 0.6
+#: Characters of a block; a context is read from at least one whole block to either side.
+WINDOW = 512
+_ONE = r"^([^\p{L}\p{N}]*+[\p{L}\p{N}]++)"
+_TWO = r"^([^\p{L}\p{N}]*+[\p{L}\p{N}]++[^\p{L}\p{N}]++[\p{L}\p{N}]++)"
 _STEP = 64
 
 
 def _matches(text: str, regex: str, name: str, df: DataFrame) -> DataFrame:
-    """df with the column name: array<struct<start, end, m, before>> of all matches; positions in code points.
+    """df with the column name: array<struct<start, end, m>> of all matches; positions in code points.
 
     Java's split and find walk the same matches, so the parts between them give
-    their places. Prefix sums go by blocks, which keeps them linear.
+    their places. Prefix sums go by blocks: n matches take n * n / 8192 additions,
+    about as many as n for the thousands that a long text has.
     """
     df = df.withColumn("_m", F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(F.col(text), regex, -1)))
@@ -54,9 +62,8 @@ def _matches(text: str, regex: str, name: str, df: DataFrame) -> DataFrame:
 
     def place(m: Column, i: Column) -> Column:
         block = F.floor(i / _STEP).cast("int")
-        before = F.get("_p", i)
-        start = F.get("_o", block) + total(F.slice("_l", block * _STEP + 1, i - block * _STEP)) + F.length(before)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), F.substring(before, -32, 32).alias("before"))
+        start = F.get("_o", block) + total(F.slice("_l", block * _STEP + 1, i - block * _STEP)) + F.length(F.get("_p", i))
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"))
 
     return df.withColumn(name, F.transform("_m", place)).drop("_m", "_p", "_l", "_b", "_o")
 
@@ -93,11 +100,28 @@ def _of_kind(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
+def _patterns(s: Column) -> Column:
+    """The contexts of a span: the last word and the last two to its left, the first word to its right, lower case, with the marks between them and the span."""
+    b, e = F.floor(s["start"] / WINDOW).cast("int"), F.floor(s["end"] / WINDOW).cast("int")
+    part = lambda i: F.coalesce(F.get("_blocks", i), F.lit(""))
+    before = F.reverse(F.lower(F.concat(part(b - 1), F.substring(part(b), F.lit(1), s["start"] - b * WINDOW))))
+    after = F.lower(F.concat(F.substring(part(e), s["end"] - e * WINDOW + 1, F.lit(WINDOW)), part(e + 1)))
+    tidy = lambda side, c: F.concat(F.lit(side), F.regexp_replace(c, r"\s+", " "))
+    found = F.array(*(tidy("<", F.reverse(F.regexp_extract(before, x, 1))) for x in (_ONE, _TWO)), tidy(">", F.regexp_extract(after, _ONE, 1)))
+    return F.filter(found, lambda p: F.length(p) > 1)
+
+
+def _instance(m: Column) -> Column:
+    """What an instance goes by: its text, or the digest of a long one."""
+    return F.when(F.length(m) > 64, F.sha2(m, 256)).otherwise(m)
+
+
 def base_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with one column for each kind of BASE: array<struct<start, end, m, before>>, and with candidates.
+    """docs with a column for each kind of BASE, and candidates: array<struct<start, end, m>>; seen holds their contexts.
 
     Leftmost matches that don't overlap, of which those that fail their check are
     dropped. candidates are identifier-like strings that overlap no base entity.
+    seen is array<struct<instance, seed, patterns>> of both.
     """
     df = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     # A text without the character that a kind needs can't hold it.
@@ -106,43 +130,41 @@ def base_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for kind, regex in BASE.items():
         df = df.withColumn("_some", F.when(needs.get(kind, has_digit), F.col("_text")).otherwise(""))
         df = _matches("_some", regex, kind, df).withColumn(kind, _sound(kind))
-    df = _matches("_text", CANDIDATE, "candidates", df.withColumn("_text", F.when(has_digit, F.col("_text")).otherwise("")))
+    df = _matches("_some", CANDIDATE, "candidates", df.withColumn("_some", F.when(has_digit, F.col("_text")).otherwise("")))
     spans = F.concat(*(F.col(k) for k in BASE))
     free = lambda c: ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-    long_enough = F.filter("candidates", lambda c: F.length(_digits(c["m"])) >= LEAST_DIGITS)
-    return df.withColumn("candidates", long_enough).withColumn("candidates", F.filter("candidates", free)).drop("_text", "_some")
-
-
-def _patterns(before: Column) -> Column:
-    """The last word to the left, and the last two: lower case, with the marks between them and the instance."""
-    words = F.filter(F.split(F.lower(before), r"\s+"), lambda w: w != "")
-    return F.array_distinct(F.array(F.array_join(F.slice(words, -1, 1), " "), F.array_join(F.slice(words, F.when(F.size(words) > 1, -2).otherwise(-1), F.lit(2)), " ")))
+    sound = lambda c: (F.length(F.regexp_replace(c["m"], "[^A-Za-z0-9]", "")) >= LEAST_CHARS) & c["m"].rlike("[0-9]")
+    df = df.withColumn("candidates", F.filter(F.filter("candidates", sound), free))
+    df = df.withColumn("_blocks", F.when(F.size(F.concat(spans, "candidates")) > 0, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))))
+    told = lambda seed: lambda s: F.struct(_instance(s["m"]).alias("instance"), seed(s["m"]).alias("seed"), _patterns(s).alias("patterns"))
+    seen = F.concat(F.transform(spans, told(lambda m: F.lit(True))), F.transform("candidates", told(lambda m: m.rlike(KEY))))
+    return df.withColumn("seen", seen).drop("_text", "_some", "_blocks")
 
 
 def trusted_instances(found: DataFrame) -> DataFrame:
-    """(instance): candidates that the bootstrap believes, from rows of base_entities()."""
-    seeds = F.transform(F.concat(*(F.col(k) for k in BASE)), lambda s: F.struct(s["m"].alias("instance"), s["before"].alias("before"), F.lit(True).alias("seed")))
-    others = F.transform("candidates", lambda s: F.struct(s["m"].alias("instance"), s["before"].alias("before"), F.lit(False).alias("seed")))
-    seen = found.select(F.inline(F.concat(seeds, others)))
-    slots = F.filter(F.array(F.col("before")), lambda b: F.length(F.trim(b)) > 0)
-    edges = seen.where(F.size(slots) > 0).select("instance", "seed", F.explode(_patterns(F.col("before"))).alias("pattern"))
-    # An instance that is a seed anywhere is one everywhere; pairs count once, however often they occur.
-    edges = written(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii_edges")
-    score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    # Scores only grow from round to round, so trusted patterns stay so and the rounds come to an end.
-    seen = None
+    """(instance, belief): what stands in trusted contexts, from rows of base_entities().
+
+    Pairs of pattern and instance count once, however often they occur; an
+    instance that is a seed anywhere is one everywhere. Scores only grow from round
+    to round, so trusted patterns stay so and the rounds come to an end. Patterns
+    and instances that very many edges share are dealt to salts in the joins.
+    """
+    seen = found.select(F.inline("seen")).select("instance", "seed", F.explode("patterns").alias("pattern"))
+    edges = written(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii_edges")
+    total = edges.count()
+    links = edges.select("pattern", "instance")
+    instances = edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")).withColumn("belief", F.lit(0.0))
+    before = None
     while True:
-        scored = edges.join(score, "instance")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("trust"), F.count_if(F.col("score") >= BELIEVED).alias("support"))
+        score = instances.select("instance", "n", F.when(F.col("seed"), 1.0).otherwise(F.col("belief")).alias("score"))
+        patterns = spread_join(links, score, ["instance"], total).groupBy("pattern").agg((F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("trust"), F.count_if(F.col("score") >= BELIEVED).alias("support"), F.count("*").alias("n"))
         patterns = written(patterns.where((F.col("trust") >= CONFIDENT) & (F.col("support") >= LEAST_SEEDS)), "pii_patterns")
-        doubt = edges.join(patterns, "pattern").groupBy("instance").agg(F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999))))).alias("doubt"))
-        score = written(score.join(doubt, "instance", "left").select("instance", F.when(F.col("score") == 1.0, 1.0).otherwise(1 - F.coalesce("doubt", F.lit(1.0))).alias("score")), "pii_scores")
-        now = (patterns.count(), *score.agg(F.count_if(F.col("score") >= BELIEVED), F.round(F.sum("score"), 3)).first())
-        if now == seen:
-            break
-        seen = now
-    seeds_only = edges.where("seed").select("instance").distinct()
-    return score.where(F.col("score") >= BELIEVED).join(seeds_only, "instance", "left_anti").select("instance")
+        doubt = spread_join(links, patterns, ["pattern"], total).groupBy("instance").agg(F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999))))).alias("doubt"))
+        instances = written(instances.drop("belief").join(doubt, "instance", "left").select("instance", "seed", "n", (1 - F.coalesce("doubt", F.lit(1.0))).alias("belief")), "pii_instances")
+        now = (patterns.count(), *instances.agg(F.count_if(F.col("belief") >= BELIEVED), F.round(F.sum("belief"), 3)).first())
+        if now == before:
+            return instances.where(F.col("belief") >= BELIEVED).select("instance", "belief")
+        before = now
 
 
 def _joined(spans: Column) -> Column:
@@ -153,24 +175,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, base, found): spans array<struct<kind, start, end>> of base entities, and of kind id what contexts add.
 
     Null texts count as empty. Repeated rows and ids each get their row: found
-    spans join by id and a hash of the text. An empty table gives no rows. Other
-    columns are not read.
+    spans join by id and a hash of the text. Texts and identifiers of any length
+    are read whole. An empty table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = base_entities(rows).withColumn("h", F.xxhash64("text")).drop("text")
-    found = written(found, "pii_base")
-    instances = trusted_instances(found)
-    hits = found.where(F.size("candidates") > 0).select("doc_id", "h", F.explode("candidates").alias("c")).join(instances, F.col("c.m") == F.col("instance"))
-    hits = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), F.col("c.start").alias("start"), F.col("c.end").alias("end")))).alias("found"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    found = written(base_entities(rows).withColumn("h", F.xxhash64("text")).drop("text"), "pii_base")
+    places = found.where(F.size("candidates") > 0).select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", "c.start", "c.end", _instance(F.col("c.m")).alias("instance"))
+    counts = written(places.groupBy("instance").agg(F.count("*").alias("n")).join(trusted_instances(found), "instance").select("instance", "n"), "pii_found")
+    hits = spread_join(places, counts, ["instance"], max(1, places.count()))
+    hits = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), F.col("start").alias("start"), F.col("end").alias("end")))).alias("found"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "found")
-    base = F.concat(*map(_of_kind, BASE))
-    joined = found.join(hits, found["doc_id"].eqNullSafe(hits["_id"]) & (found["h"] == hits["_h"]), "left")
-    return joined.select("doc_id", base.alias("base"), F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
+    base = found.select("doc_id", "h", F.concat(*map(_of_kind, BASE)).alias("base"))
+    joined = base.join(hits, base["doc_id"].eqNullSafe(hits["_id"]) & (base["h"] == hits["_h"]), "left")
+    return joined.select("doc_id", "base", F.coalesce("found", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("found"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of all documents."""
+    """Personal data of all documents; n_found counts what contexts add, n_spans all spans."""
     spans = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "found")).alias("spans"))
+    more = [F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans")]
+    return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "found")).alias("spans"), *more)

@@ -1,12 +1,14 @@
-"""URL filters: pattern rules found by their rarest literal token.
+"""URL filters: rules found by their rarest literal token.
 
 A pattern is literal text with * for anything, ^ for a separator (any character
 that is no letter, digit, _, -, . or %, or the end), || at its start for the start
-of a host or of one of its subdomain labels, and | for either end of the URL.
-Tokens are runs of a-z and 0-9. A literal token of a pattern is a run that the
-pattern delimits on both sides; a URL that the pattern fits has it as a token. Of
-those the one that the fewest URLs have is the pattern's key. A URL fetches the
-rules of its tokens by an equi-join and runs the regular expressions of those only.
+of a host or of one of its subdomain labels, and | for either end of the URL. A
+listed rule is a host and the beginning of a path, with a verdict.
+
+Tokens are runs of a-z and 0-9. A literal token of a rule is a run that the rule
+delimits on both sides; a URL that the rule fits has it as a token. Of those the one
+that the fewest URLs have is the rule's key. A URL fetches the rules of its tokens
+by an equi-join, and runs the regular expressions and comparisons of those only.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import ascii_lower
+from verdigris.llm.shared import ascii_lower, spread_join, written
 
 #: Patterns of the method: pages that are made to sell or to lure.
 PATTERNS = (
     "||spam-farm.",
     "||cheap-pills.",
-    "||casino^",
-    "||free-money.",
+    "||casino-",
+    "||free-bets.",
+    "||ads-track.",
+    "||adult-",
     "/wp-login.php",
     "/affiliate/*/click^",
     "^utm_campaign=spam^",
@@ -31,6 +35,7 @@ PATTERNS = (
 )
 #: Host and path, verdict.
 LISTED = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+RULE = "rule_id int, kind string, rule string, verdict string, regex string, host string, path string"
 
 
 def pattern_regex(pattern: str) -> str:
@@ -58,6 +63,13 @@ def pattern_tokens(pattern: str) -> list[str]:
     return out
 
 
+def listed_tokens(rule: str) -> list[str]:
+    """Literal tokens of a listed rule: all of its host, and those that its path ends."""
+    host, slash, path = rule.partition("/")
+    lower = lambda s: s.translate({c: c + 32 for c in range(65, 91)})
+    return re.findall("[a-z0-9]+", lower(host)) + [m.group() for m in re.finditer("[a-z0-9]+(?=[^a-z0-9])", lower(slash + path))]
+
+
 def url_host(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)\A(?:(?!://).)*+://([^/?#]*+)", 1), F.lit("")))
@@ -69,61 +81,64 @@ def url_path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(ascii_lower(url), F.lit("([a-z0-9]+)"), 1))
+    """The tokens of a URL, and the empty one, under which rules without a literal token are."""
+    return F.array_append(F.array_distinct(F.regexp_extract_all(ascii_lower(url), F.lit("([a-z0-9]+)"), 1)), "")
+
 
+def rule_table(spark: SparkSession, patterns: tuple[str, ...], listed: tuple[tuple[str, str], ...]) -> DataFrame:
+    """RULE and literals: patterns and listed rules alike."""
+    rows = [(k, "pattern", p, "block", pattern_regex(p), None, None, pattern_tokens(p) or [""]) for k, p in enumerate(patterns)]
+    for k, (rule, verdict) in enumerate(listed):
+        host, slash, path = rule.partition("/")
+        rows.append((len(patterns) + k, "listed", rule, verdict, None, host, slash + path, listed_tokens(rule) or [""]))
+    return spark.createDataFrame(rows, f"{RULE}, literals array<string>")
 
-def keyed_rules(spark: SparkSession, patterns: tuple[str, ...], urls: DataFrame) -> DataFrame:
-    """(token, regex): every pattern under the literal token that the fewest of urls.url have.
 
-    A pattern without a literal token gets the token null and is run on all URLs.
+def keyed_rules(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, rules, n): every rule under the literal token that the fewest URLs have; counts is (token, n) of URLs."""
+    literal = rules.withColumn("token", F.explode("literals")).drop("literals")
+    ranked = literal.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    names = [c.split()[0] for c in RULE.split(", ")]
+    best = ranked.groupBy("rule_id").agg(F.min_by(F.struct("token", "n", *names), F.struct("n", "token")).alias("r")).select("r.*")
+    return best.groupBy("token").agg(F.collect_list(F.struct(*names)).alias("rules"), F.max("n").alias("n"))
+
+
+def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, rule, verdict, hit) of those urls (url) that a rule fits: the longest listed rule, and whether a pattern fits.
+
+    A token that very many URLs have is dealt to salts in the join.
     """
-    rules = spark.createDataFrame([(i, pattern_regex(p), pattern_tokens(p)) for i, p in enumerate(patterns)], "rule_id int, regex string, literals array<string>")
-    literal = rules.select("rule_id", "regex", F.explode_outer("literals").alias("token"))
-    wanted = literal.select("token").distinct()
-    seen = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = literal.join(seen, "token", "left").select("rule_id", "regex", "token", F.coalesce("n", F.lit(0)).alias("n"))
-    return ranked.groupBy("rule_id", "regex").agg(F.min_by("token", F.struct("n", "token")).alias("token")).select("token", "regex")
-
-
-def matched_urls(spark: SparkSession, urls: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
-    """The distinct values of urls.url that a pattern fits."""
-    distinct = urls.where("url IS NOT NULL").select("url").distinct()
-    rules = keyed_rules(spark, patterns, distinct)
-    by_token = distinct.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(rules.where("token IS NOT NULL"), "token")
-    hits = by_token.where(F.rlike(ascii_lower(F.col("url")), F.col("regex"))).select("url")
-    free = "|".join(pattern_regex(p) for p in patterns if not pattern_tokens(p))
-    if free:
-        hits = hits.unionByName(distinct.where(ascii_lower(F.col("url")).rlike(free)))
-    return hits.distinct()
-
-
-def listed_rule(host: Column, path: Column, listed: tuple[tuple[str, str], ...]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits host and path, or null."""
-    if len(listed) > 1000:
-        raise ValueError("lists of more than 1000 rules belong in a table")
-    out = F.lit(None)
-    for rule, verdict in sorted(listed, key=lambda x: (len(x[0]), x[0])):
-        rule_host, slash, rest = rule.partition("/")
-        fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(slash + rest)
-        out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
-    return out
+    each = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    counts = written(each.groupBy("token").agg(F.count("*").alias("n")), "url_tokens")
+    keyed = keyed_rules(rules, counts)
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    met = spread_join(each, keyed, ["token"], total).select("url", F.explode("rules").alias("r"))
+    tried = met.select("url", "r.*", url_host(F.col("url")).alias("_at"), url_path(F.col("url")).alias("_under"))
+    of_host = (F.col("_at") == F.col("host")) | F.endswith("_at", F.concat(F.lit("."), "host"))
+    fits = F.when(F.col("kind") == "pattern", F.rlike(ascii_lower(F.col("url")), F.col("regex"))).otherwise(of_host & F.startswith("_under", F.col("path")))
+    place = F.when(F.col("kind") == "listed", F.struct(F.length("rule"), F.col("rule")))
+    best = F.max_by(F.struct("rule", "verdict"), place)
+    return tried.where(fits).groupBy("url").agg(best.alias("b"), F.bool_or(F.col("kind") == "pattern").alias("hit")).select("url", "b.rule", "b.verdict", "hit")
 
 
 def judged(pages: DataFrame, patterns: tuple[str, ...] = PATTERNS, listed: tuple[tuple[str, str], ...] = LISTED) -> DataFrame:
     """(page_id, host, path, rule, verdict): a row for each row of pages.
 
     A null URL, or one without ://, has an empty host and path, fits no listed
-    rule and no pattern that names a host. Repeated rows and ids are judged each;
-    an empty table gives no rows. Other columns are not read.
+    rule and no pattern that names a host. Of listed rules that fit the longest
+    wins, of equal ones the last by its text. Repeated rows and ids are judged
+    each; URLs of any length are read whole; an empty table gives no rows. Other
+    columns are not read.
     """
-    spark = pages.sparkSession
-    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"))
-    hits = matched_urls(spark, rows, patterns).select(F.col("url").alias("hit"))
-    # The listed rule is found on the rows; only what the method decides is joined.
-    host, path = url_host(F.col("url")), url_path(F.col("url"))
-    found = rows.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("listed", listed_rule(F.col("host"), F.col("path"), listed))
-    verdict = F.coalesce("listed.verdict", F.when(F.col("hit").isNotNull(), "block").otherwise("allow"))
-    return found.join(hits, found["url"] == hits["hit"], "left").select("page_id", "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
+    known = rows.where("url IS NOT NULL")
+    urls = written(known.groupBy("url").agg(F.count("*").alias("n")), "urls")
+    found = fitting_rules(urls, rule_table(pages.sparkSession, patterns, listed))
+    told = urls.join(found, "url", "left")
+    met = spread_join(known, told, ["url"], max(1, known.count())).select("page_id", "url", "rule", "verdict", "hit")
+    every = met.unionByName(rows.where("url IS NULL").select("page_id", "url"), allowMissingColumns=True)
+    verdict = F.coalesce("verdict", F.when(F.col("hit"), "block").otherwise("allow"))
+    return every.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), "rule", verdict.alias("verdict"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
