@@ -126,7 +126,7 @@ def plain_buckets(text):
     return out
 
 
-def test_quality_equals_brute_force(spark, sf):
+def plain_draw(spark, sf):
     """Scores by plain counting, and the draw by sorting log weights with their noise."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -144,10 +144,15 @@ def test_quality_equals_brute_force(spark, sf):
     ratios = {b: ratio(b) for b in raw}
     score = {i: sum(ratios[b] for b in plain_buckets(t)) for i, t in texts.items() if t.split()}
     k = round(len(score) * sum(label.values()) / len(label))
-    drawn = set(sorted(score, key=lambda i: score[i] + noise[i], reverse=True)[:k])
+    return score, sorted(sorted(score, key=lambda i: score[i] + noise[i], reverse=True)[:k])
+
+
+def test_quality_equals_brute_force(spark, sf):
+    score, drawn = plain_draw(spark, sf)
+    texts = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r for r in quality.op2_quality(spark, sf).collect()}
-    assert set(got) == set(texts)
-    assert {i for i, r in got.items() if r.kept} == drawn
+    assert set(got) == texts
+    assert sorted(i for i, r in got.items() if r.kept) == drawn
     for i, r in got.items():
         assert r.quality_score == pytest.approx(score[i], abs=1e-5) if i in score else r.quality_score is None
 
@@ -292,15 +297,13 @@ def test_pipeline_equals_plain_stages(spark, sf):
     """Each stage against a plain version on the same input, and run() against the stages one by one."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     quality_stage, exact_stage, near_stage, mixing_stage, encoding_stage = (f for _, f in corpus_pipeline.STAGES)
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
 
     good = written(quality_stage(spark, docs, sf), "good")
     assert good.columns == docs.columns
     kept = ids(good)
-    assert sum(labels.get(i) == 0 for i in kept) <= 1
-    assert sum(labels.get(i) == 1 for i in texts if i not in set(kept)) <= 1
+    assert kept == plain_draw(spark, sf)[1]
 
     exact = written(exact_stage(spark, good, sf), "exact")
     largest = {}
@@ -313,9 +316,9 @@ def test_pipeline_equals_plain_stages(spark, sf):
     sets = {i: shingles(texts[i]) for i in before}
     for i in before:
         alike = [len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) for j in before if j < i]
-        if max(alike, default=0) >= 0.83:
+        if max(alike, default=0) >= 0.8:
             assert i not in after
-        if max(alike, default=0) < 0.74 and all(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) < 0.74 for j in before if j > i):
+        elif all(len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) < 0.8 for j in before if j > i):
             assert i in after
     assert near.columns == docs.columns
 
@@ -331,3 +334,20 @@ def test_pipeline_equals_plain_stages(spark, sf):
     row = lambda r: (r.doc_id, r.ids_sha256, r.decoded_sha256)
     assert sorted(map(row, encoding_stage(spark, mixture, sf).collect())) == want
     assert sorted(map(row, corpus_pipeline.run(spark, sf).collect())) == want
+
+
+def test_pipeline_of_odd_clashing_and_empty_tables(spark, clashing, none, folder):
+    """Columns of every inner name come through, and null ids, sources and texts; an empty table gives nothing."""
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    more = clashing.withColumns({"kept": F.lit("k"), "pass_no": F.lit("p"), "quality_score": F.lit("q"), "row": F.lit("r")})
+    at = folder(documents=more, labels=labels)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = written(stage(spark, docs, at), f"odd_{k}")
+        assert docs.columns == more.columns, name
+    rows = docs.collect()
+    assert {r[0] for r in rows} == {2, None, 5, 6, 7}
+    assert {(r["kept"], r["pass_no"], r["quality_score"], r["row"], r["_sha"]) for r in rows} == {("k", "p", "q", "r", "10 _sha")}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, at).collect()} == {2, None, 5, 6, 7}
+    empty = folder(documents=none, labels=labels.limit(0))
+    assert corpus_pipeline.run(spark, empty).count() == 0
