@@ -51,7 +51,8 @@ def tier_masking(records: DataFrame, tier: Column) -> DataFrame:
 def feed_select(records: DataFrame, limit: int | None = None, since: int | None = None, holdback_hours: float = 0, now: int = 0, payload: bool = True, **where: object) -> DataFrame:
     """The feed: proven records that the query takes, oldest first, at most limit.
 
-    Ordered by time and record number, so a cursor of both never loses a tie.
+    Ordered by time and record number. since is a time only: a limit that falls
+    among records of one time leaves the rest of them out of the next pull.
     """
     found = freshness_holdback(feed_query_filter(proven_filter(records), since=since, **where), holdback_hours, now)
     out = found.select("rec_no", "trap_id", "sdk_name", "sdk_version", "class", "severity", "corroboration", "captured_at", "license", quality_score(F.col("severity"), F.col("corroboration"), F.lit(True)).alias("score"), (F.col("snippet") if payload else F.lit(None).cast("string")).alias("snippet"))
@@ -97,12 +98,15 @@ def expand_lots(lots: list[str], bundles: list[str]) -> list[str]:
 
 
 def lot_scope_filter(records: DataFrame, grants: DataFrame) -> DataFrame:
-    """(buyer, record columns) for grants (buyer, lots array): an empty scope is all lots."""
-    one = grants.select("buyer", F.explode("lots").alias("lot"))
+    """(buyer, record columns) for grants (buyer, lots array): an empty scope is all lots.
+
+    Records meet scoped buyers by lot. Buyers of all lots have the same records:
+    these come once, with a null buyer, if there is such a grant, and not once a buyer.
+    """
+    one = grants.select("buyer", F.explode(F.array_distinct("lots")).alias("lot"))
     scoped = records.join(one, "lot").select("buyer", *records.columns)
-    every = grants.where(F.size("lots") == 0).select("buyer")
-    # Buyers of all lots are paired with every record by design: each gets all of them.
-    return scoped.unionByName(records.join(every, F.lit(True)).select("buyer", *records.columns))
+    every = grants.where(F.size("lots") == 0).limit(1).select(F.lit(None).cast(grants.schema["buyer"].dataType).alias("buyer"))
+    return scoped.unionByName(records.join(F.broadcast(every), F.lit(True)).select("buyer", *records.columns))
 
 
 def grant_validity(grants: DataFrame, now: int, schemes: tuple[str, ...] = ("hmac-sha256",), signers: tuple[str, ...] = ("operator",)) -> DataFrame:

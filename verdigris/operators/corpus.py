@@ -150,6 +150,21 @@ def export_manifest(records: DataFrame) -> DataFrame:
     return rows.groupBy("class", reason.alias("drop_reason")).agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("content_key", 1, 8), 16, 10).cast("long")).alias("digest"))
 
 
-def dataset_package(records: DataFrame, sample: int = 3) -> DataFrame:
-    """The sample of a packaged data set: the first records by trap and number."""
-    return records.orderBy("trap_id", "rec_no").limit(sample)
+def dataset_package(records: DataFrame, path: str, sample: int = 3) -> DataFrame:
+    """Write a data set under path and return its index: (part, name, n, digest).
+
+    full holds all records and sample the first by trap and number, both as JSON
+    lines. The index is made from what was written: counts and digests of both
+    parts, and of full by class, severity and SDK. A digest is the exclusive or of
+    the heads of its records' SHA-256; sources.files.checksums gives those of the files.
+    """
+    spark = records.sparkSession
+    records.write.json(f"{path}/full")
+    records.orderBy("trap_id", "rec_no").limit(sample).write.json(f"{path}/sample")
+    full, first = (spark.read.schema(records.schema).json(f"{path}/{part}") for part in ("full", "sample"))
+    head = F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("rec_no", "trap_id", "sdk_name", "class", "severity", "snippet"))), 256), 1, 8)
+    digest = F.bit_xor(F.conv(head, 16, 10).cast("long")).alias("digest")
+    whole = lambda df, part: df.groupBy(F.lit(part).alias("part"), F.lit("records").alias("name")).agg(F.count("*").alias("n"), digest)
+    pairs = F.array(*(F.struct(F.lit(d).alias("part"), F.coalesce(F.col(d), F.lit("unknown")).alias("name")) for d in ("class", "severity", "sdk_name")))
+    by = full.select("*", F.inline(pairs)).groupBy("part", "name").agg(F.count("*").alias("n"), digest)
+    return whole(full, "full").unionByName(whole(first, "sample")).unionByName(by)

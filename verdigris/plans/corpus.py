@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import corpus
 from verdigris.plans.records import BUCKET, SCORE
-from verdigris.plans.registry import query
+from verdigris.plans.registry import query, scratch
 
 KEY = "substr(sha256(trap_id || chr(0) || sdk_name || chr(0) || trim(regexp_replace(snippet, '\\s+', ' ', 'g'))), 1, 16)"
 UNIQ = f"u AS (SELECT *, {SCORE} AS score FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY rec_no) AS rn FROM <records>) WHERE rn = 1)"
@@ -68,9 +68,9 @@ def _(t):
     return corpus.scout_work_order(t.records)
 
 
-@query("thin_cell_demand_rank", f"WITH {UNIQ}, c AS (SELECT class, sdk_name FROM u GROUP BY 1, 2 HAVING count(*) = 1), x AS (SELECT class, sdk_name FROM <records> r JOIN <xp> ON event_id % 1000 = rec_no % 1000) SELECT c.class, c.sdk_name, (SELECT count(*) FROM x WHERE x.class = c.class) + (SELECT count(*) FROM x WHERE x.sdk_name = c.sdk_name) AS demand FROM c")
+@query("thin_cell_demand_rank", f"WITH {UNIQ}, c AS (SELECT class, sdk_name FROM u GROUP BY 1, 2 HAVING count(*) = 1), x AS (SELECT class, sdk_name FROM <records> r JOIN <xp> ON event_id = rec_no) SELECT c.class, c.sdk_name, (SELECT count(*) FROM x WHERE x.class = c.class) + (SELECT count(*) FROM x WHERE x.sdk_name = c.sdk_name) AS demand FROM c")
 def _(t):
-    hits = t.records.join(t.xp, F.col("event_id") % 1000 == F.col("rec_no") % 1000)
+    hits = t.records.join(t.xp, F.col("event_id") == F.col("rec_no"))
     demand = hits.select(F.inline(F.array(F.struct(F.lit("class").alias("kind"), F.col("class").alias("name")), F.struct(F.lit("sdk").alias("kind"), F.col("sdk_name").alias("name"))))).groupBy("kind", "name").agg(F.count("*").alias("hits"))
     return corpus.thin_cell_demand_rank(t.records, demand)
 
@@ -95,6 +95,9 @@ def _(t):
     return corpus.export_manifest(t.records)
 
 
-@query("dataset_package", "SELECT rec_no, trap_id, sdk_name, class FROM <records> ORDER BY trap_id, rec_no LIMIT 3")
+DIGEST = "bit_xor(CAST('0x' || substr(sha256(rec_no || '|' || trap_id || '|' || sdk_name || '|' || class || '|' || severity || '|' || snippet), 1, 8) AS BIGINT))"
+
+
+@query("dataset_package", f"WITH s AS (SELECT * FROM <records> ORDER BY trap_id, rec_no LIMIT 3) SELECT 'full' AS part, 'records' AS name, count(*) AS n, {DIGEST} AS digest FROM <records> UNION ALL SELECT 'sample', 'records', count(*), {DIGEST} FROM s UNION ALL SELECT 'class', class, count(*), {DIGEST} FROM <records> GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), {DIGEST} FROM <records> GROUP BY 2 UNION ALL SELECT 'sdk_name', sdk_name, count(*), {DIGEST} FROM <records> GROUP BY 2")
 def _(t):
-    return corpus.dataset_package(t.records).select("rec_no", "trap_id", "sdk_name", "class")
+    return corpus.dataset_package(t.records, scratch(t))

@@ -33,14 +33,13 @@ FROM <documents> d LEFT JOIN <labels> l ON l.doc_id = d.doc_id""",
     ),
     "ledger": (
         ("orders",),
-        """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq, o_custkey AS buyer, o_orderdate AS ts,
+        """SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq, o_custkey AS buyer, o_orderdate AS ts,
  CASE o_orderstatus WHEN 'P' THEN 'sample' WHEN 'O' THEN 'standard' ELSE 'firehose' END AS tier,
  o_orderkey % 50 AS records_served FROM <orders>""",
     ),
     "deps": (
-        ("lineitem", "part"),
-        """SELECT DISTINCT l.l_suppkey AS repo_id, concat('SDK-', CAST(p.p_partkey % 60 AS <S>)) AS dep
-FROM <lineitem> l JOIN <part> p ON p.p_partkey = l.l_partkey WHERE l.l_orderkey % 100 = 0""",
+        ("lineitem",),
+        "SELECT DISTINCT l_suppkey AS repo_id, concat('SDK-', CAST((l_suppkey * 7 + l_linenumber * 11) % 60 AS <S>)) AS dep FROM <lineitem>",
     ),
     "findings": (
         ("lineitem",),
@@ -52,19 +51,19 @@ FROM <lineitem> l JOIN <part> p ON p.p_partkey = l.l_partkey WHERE l.l_orderkey
     "snap_old": (
         ("findings",),
         """SELECT rule_id, file_no, CASE (count(*) + rule_id) % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' ELSE 'cant_tell' END AS result
-FROM <findings> WHERE run_id % 40 = 0 GROUP BY rule_id, file_no""",
+FROM <findings> WHERE run_id % 2 = 0 GROUP BY rule_id, file_no""",
     ),
     "snap_new": (
         ("findings",),
         """SELECT rule_id, file_no, CASE (count(*) + rule_id) % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' ELSE 'cant_tell' END AS result
-FROM <findings> WHERE run_id % 40 = 1 GROUP BY rule_id, file_no""",
+FROM <findings> WHERE run_id % 2 = 1 GROUP BY rule_id, file_no""",
     ),
-    "adv_old": (("lineitem",), "SELECT DISTINCT l_partkey % 200 AS pkg, l_suppkey % 40 AS advisory, l_partkey % 4 AS sev FROM <lineitem> WHERE l_orderkey % 3 = 0"),
-    "adv_new": (("lineitem",), "SELECT DISTINCT l_partkey % 200 AS pkg, l_suppkey % 40 AS advisory, l_partkey % 4 AS sev FROM <lineitem> WHERE l_orderkey % 3 = 1"),
+    "adv_old": (("lineitem",), "SELECT DISTINCT l_partkey AS pkg, l_suppkey AS advisory, l_partkey % 4 AS sev FROM <lineitem> WHERE l_orderkey % 2 = 0"),
+    "adv_new": (("lineitem",), "SELECT DISTINCT l_partkey AS pkg, l_suppkey AS advisory, l_partkey % 4 AS sev FROM <lineitem> WHERE l_orderkey % 2 = 1"),
     "edges": (
         ("orders",),
-        """SELECT DISTINCT o_orderkey % 500 AS src, o_custkey % 500 AS dst FROM <orders>
-WHERE o_orderkey % 7 = 0 AND o_orderkey % 500 <> o_custkey % 500""",
+        """SELECT o_orderkey AS src, o_custkey * 10 + o_orderkey % 10 AS dst FROM <orders>
+UNION SELECT o_orderkey, o_custkey * 10 + o_orderkey % 7 FROM <orders>""",
     ),
     "evals": (
         ("events",),

@@ -29,9 +29,9 @@ def _(t):
     return merges.upsert_merge(held, new).select("trap_id", "sdk_name", "sdk_version", "corroboration", F.sha2("snippet", 256).alias("sha"), "outcome")
 
 
-@query("insert_if_absent", "SELECT rec_no, trap_id FROM <records> WHERE rec_no % 2 = 1 AND trap_id NOT IN (SELECT trap_id FROM <records> WHERE rec_no % 20 = 0)")
+@query("insert_if_absent", "SELECT rec_no, trap_id FROM <records> WHERE rec_no % 20 > 0 AND trap_id NOT IN (SELECT trap_id FROM <records> WHERE rec_no % 20 = 0)")
 def _(t):
-    return merges.insert_if_absent(t.records.where("rec_no % 20 = 0"), t.records.where("rec_no % 2 = 1")).select("rec_no", "trap_id")
+    return merges.insert_if_absent(t.records.where("rec_no % 20 = 0"), t.records.where("rec_no % 20 > 0")).select("rec_no", "trap_id")
 
 
 KEY = "author, rule_id, repo_id, file_no"

@@ -70,11 +70,13 @@ def _(t):
     return access.access_quote(t.customer, F.col("c_acctbal") * 150).select("c_custkey", "tier", "price_usd", "next_tier", F.round("short_by").cast("long").alias("short_by"))
 
 
-@query("lot_scope_filter", "SELECT c_custkey AS buyer, r.rec_no FROM <customer> JOIN <records> r ON c_custkey % 50 = 1 AND ((c_custkey % 100 = 1 AND r.lot = 'contrib') OR (c_custkey % 100 = 51 AND r.lot IN ('contrib', 'seed') AND true)) WHERE c_custkey < 500")
+@query("lot_scope_filter", "WITH r AS (SELECT rec_no, concat(source_repo, '/', rec_no % 500) AS lot FROM <records>), g AS (SELECT c_custkey AS buyer, unnest(list_distinct([concat('src', c_custkey % 20, '/', c_custkey % 500), concat('src', c_custkey % 19, '/', c_custkey % 499)])) AS lot FROM <customer> WHERE c_custkey % 50 > 0) SELECT buyer, rec_no FROM r JOIN g ON g.lot = r.lot UNION ALL SELECT NULL, rec_no FROM r")
 def _(t):
-    lots = F.when(F.col("c_custkey") % 100 == 1, F.array(F.lit("contrib"))).otherwise(F.array().cast("array<string>"))
-    grants = t.customer.where("c_custkey % 50 = 1 AND c_custkey < 500").select(F.col("c_custkey").alias("buyer"), lots.alias("lots"))
-    return access.lot_scope_filter(t.records, grants).select("buyer", "rec_no")
+    k = F.col("c_custkey")
+    name = lambda a, b: F.concat(F.lit("src"), (k % a).cast("string"), F.lit("/"), (k % b).cast("string"))
+    lots = F.when(k % 50 > 0, F.array(name(20, 500), name(19, 499))).otherwise(F.array().cast("array<string>"))
+    records = t.records.withColumn("lot", F.concat("source_repo", F.lit("/"), (F.col("rec_no") % 500).cast("string")))
+    return access.lot_scope_filter(records, t.customer.select(k.alias("buyer"), lots.alias("lots"))).select("buyer", "rec_no")
 
 
 @query(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def scratch(t: Tables) -> str:
+    """A new folder in the cluster's shared one; only without that, as in tests, a temporary one."""
+    sc = t.spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 def _load() -> None:
     for module in _MODULES:
         importlib.import_module(f"verdigris.plans.{module}")

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from verdigris.operators import ledgers
-from verdigris.plans.registry import query
+from verdigris.plans.registry import query, scratch
 from verdigris.streaming import streams
 
 
-def scratch(t) -> str:  # noqa: ANN001
-    """A new folder in the cluster's shared one; only without that, as in tests, a temporary one."""
-    sc = t.spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def entries(t):  # noqa: ANN001
-    return t.orders.select((F.col("o_custkey") % 40).alias("ledger"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("buyer"), F.col("o_orderstatus").alias("tier"), (F.col("o_orderkey") % 50).alias("records_served"))
+    return t.orders.select(F.col("o_custkey").alias("ledger"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("buyer"), F.col("o_orderstatus").alias("tier"), (F.col("o_orderkey") % 50).alias("records_served"))
 
 
 @query("usage_chain_build")
@@ -28,10 +18,10 @@ def _(t):
     return ledgers.usage_chain_build(entries(t))
 
 
-@query("usage_chain_verify", "SELECT o_custkey % 40 AS ledger, count(*) AS rows, CASE WHEN o_custkey % 40 < 3 THEN 5 END AS broken_at, CASE WHEN o_custkey % 40 < 3 THEN 'bad-hash' END AS reason FROM <orders> GROUP BY 1, 3, 4")
+@query("usage_chain_verify", "SELECT o_custkey AS ledger, count(*) AS rows, CASE WHEN o_custkey % 4 = 0 AND count(*) > 5 THEN 5 END AS broken_at, CASE WHEN o_custkey % 4 = 0 AND count(*) > 5 THEN 'bad-hash' END AS reason FROM <orders> GROUP BY 1")
 def _(t):
     chain = ledgers.usage_chain_build(entries(t))
-    altered = F.when((F.col("ledger") < 3) & (F.col("seq") == 5), F.col("records_served") + 1).otherwise(F.col("records_served"))
+    altered = F.when((F.col("ledger") % 4 == 0) & (F.col("seq") == 5), F.col("records_served") + 1).otherwise(F.col("records_served"))
     return ledgers.usage_chain_verify(chain.withColumn("records_served", altered))
 
 

@@ -46,10 +46,9 @@ def _(t):
     return texts.candidate_weight(rows).select("rec_no", "reason", F.round(F.col("weight") * 1e6).cast("long").alias("micro"))
 
 
-@query("greedy_admission", f"WITH c AS (SELECT *, substr(snippet, 1, 400) AS code, sha256(class || '|' || severity || '|' || {NORM.format('substr(snippet, 1, 400)')}) AS fp, {TOK.format('substr(snippet, 1, 400)')} AS t FROM <records>), a AS (SELECT *, red AND green AND rec_no = min(rec_no) FILTER (red AND green) OVER (PARTITION BY fp) AS admitted FROM c), x AS (SELECT p.rec_no, max(len(list_intersect(p.t, q.t)) / (len(p.t) + len(q.t) - len(list_intersect(p.t, q.t)))) AS best FROM a p JOIN a q ON p.admitted AND q.admitted AND q.rec_no < p.rec_no GROUP BY 1) SELECT a.rec_no AS ord, coalesce(admitted, false) AS admitted, CASE WHEN admitted THEN CAST(round((1 - coalesce(best, 0)) * 1e6) AS BIGINT) END AS micro FROM a LEFT JOIN x ON x.rec_no = a.rec_no")
+@query("greedy_admission", f"WITH c AS (SELECT *, sha256(class || '|' || severity || '|' || {NORM.format('snippet')}) AS fp, {TOK.format('snippet')} AS t FROM <records>), a AS (SELECT *, red AND green AND rec_no = min(rec_no) FILTER (red AND green) OVER (PARTITION BY fp) AS admitted FROM c), x AS (SELECT p.rec_no, max(len(list_intersect(p.t, q.t)) / (len(p.t) + len(q.t) - len(list_intersect(p.t, q.t)))) AS best FROM a p JOIN a q ON p.admitted AND q.admitted AND q.rec_no < p.rec_no GROUP BY 1) SELECT a.rec_no AS ord, coalesce(admitted, false) AS admitted, CASE WHEN admitted THEN CAST(round((1 - coalesce(best, 0)) * 1e6) AS BIGINT) END AS micro FROM a LEFT JOIN x ON x.rec_no = a.rec_no")
 def _(t):
-    code = F.substring("snippet", 1, 400)
-    rows = t.records.select(F.col("rec_no").alias("ord"), "class", "corroboration", "red", "green", code.alias("text"), texts.fingerprint(F.col("class"), F.col("severity"), code).alias("fingerprint"))
+    rows = t.records.select(F.col("rec_no").alias("ord"), "class", "corroboration", "red", "green", F.col("snippet").alias("text"), texts.fingerprint(F.col("class"), F.col("severity"), F.col("snippet")).alias("fingerprint"))
     return texts.greedy_admission(rows).select("ord", "admitted", F.round(F.col("novelty") * 1e6).cast("long").alias("micro"))
 
 
@@ -67,9 +66,11 @@ def _(t):
     return t.documents.withColumn("ref", ref).select("doc_id", texts.source_ref_parse(F.col("ref")).alias("p")).select("doc_id", "p.*")
 
 
-@query("evidence_match", f"SELECT doc_id, item_id FROM (SELECT doc_id, ' ' || {FLAT.format('text')} || ' ' AS b FROM <documents>), (SELECT item_id, ' ' || {FLAT.format('text')} || ' ' AS n FROM <benchmark>) WHERE contains(b, n)")
+@query("evidence_match", f"SELECT doc_id, item_id FROM (SELECT doc_id, {FLAT.format('text')} AS b FROM <documents>), (SELECT item_id, {FLAT.format('text')} AS n FROM <benchmark> UNION ALL SELECT 1000 + item_id, substr({FLAT.format('text')}, 3, CAST(1 + item_id % 30 AS BIGINT)) FROM <benchmark>) WHERE n <> '' AND contains(b, trim(n))")
 def _(t):
-    return texts.evidence_match(t.documents, t.benchmark)
+    flat = texts.collapse_blank(F.col("text"))
+    short = t.benchmark.select((F.col("item_id") + 1000).alias("item_id"), F.substring(flat, F.lit(3), (1 + F.col("item_id") % 30).cast("int")).alias("text"))
+    return texts.evidence_match(t.documents, t.benchmark.unionByName(short))
 
 
 SPANS = "n AS (SELECT item_id, substr(text, i, 40) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) - 38)) AS i FROM <benchmark>)), d AS (SELECT doc_id, substr(text, i, 40) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 38)) AS i FROM <documents>))"
@@ -109,11 +110,11 @@ def _(t):
     return texts.secret_gate(t.documents.select("doc_id"), texts.secret_scan(t.documents_lines))
 
 
-@query("env_reconcile", "WITH d AS (SELECT user_id AS project, event_type AS name, max(props) AS v FROM <events> WHERE event_id % 3 = 0 GROUP BY 1, 2), c AS (SELECT user_id AS project, CASE WHEN event_type = 'click' THEN 'api_key' ELSE event_type END AS name, max(CASE WHEN event_id % 50 = 1 THEN 'zhttps://' WHEN event_type = 'view' THEN 'https://' || props ELSE props END) AS v FROM <events> WHERE event_id % 3 = 1 GROUP BY 1, 2), b AS (SELECT coalesce(d.project, c.project) AS project, coalesce(d.name, c.name) AS name, d.v AS d, c.v AS c FROM d FULL JOIN c ON c.project = d.project AND c.name = d.name) SELECT project, name, 'mismatch' AS finding FROM b WHERE d <> c UNION ALL SELECT project, name, 'unwired' FROM b WHERE c IS NULL UNION ALL SELECT project, name, 'exposed-key' FROM b WHERE regexp_matches(name, '(?i)key|secret|token') AND c IS NOT NULL UNION ALL SELECT project, name, 'public-endpoint' FROM b WHERE regexp_matches(coalesce(c, d), '^https?://')")
+@query("env_reconcile", "WITH d AS (SELECT user_id AS project, event_type AS name, max(props) AS v FROM <events> WHERE event_id % 2 = 0 GROUP BY 1, 2), c AS (SELECT user_id AS project, CASE WHEN event_type = 'click' THEN 'api_key' ELSE event_type END AS name, max(CASE WHEN event_id % 50 = 1 THEN 'zhttps://' WHEN event_type = 'view' THEN 'https://' || props ELSE props END) AS v FROM <events> WHERE event_id % 2 = 1 GROUP BY 1, 2), b AS (SELECT coalesce(d.project, c.project) AS project, coalesce(d.name, c.name) AS name, d.v AS d, c.v AS c FROM d FULL JOIN c ON c.project = d.project AND c.name = d.name) SELECT project, name, 'mismatch' AS finding FROM b WHERE d <> c UNION ALL SELECT project, name, 'unwired' FROM b WHERE c IS NULL UNION ALL SELECT project, name, 'exposed-key' FROM b WHERE regexp_matches(name, '(?i)key|secret|token') AND c IS NOT NULL UNION ALL SELECT project, name, 'public-endpoint' FROM b WHERE regexp_matches(coalesce(c, d), '^https?://')")
 def _(t):
-    declared = t.events.where("event_id % 3 = 0").select(F.col("user_id").alias("project"), F.col("event_type").alias("name"), F.col("props").alias("value"))
+    declared = t.events.where("event_id % 2 = 0").select(F.col("user_id").alias("project"), F.col("event_type").alias("name"), F.col("props").alias("value"))
     value = F.when(F.col("event_id") % 50 == 1, "zhttps://").when(F.col("event_type") == "view", F.concat(F.lit("https://"), "props")).otherwise(F.col("props"))
-    coded = t.events.where("event_id % 3 = 1").select(F.col("user_id").alias("project"), F.when(F.col("event_type") == "click", "api_key").otherwise(F.col("event_type")).alias("name"), value.alias("value"))
+    coded = t.events.where("event_id % 2 = 1").select(F.col("user_id").alias("project"), F.when(F.col("event_type") == "click", "api_key").otherwise(F.col("event_type")).alias("name"), value.alias("value"))
     return texts.env_reconcile(declared, coded)
 
 
