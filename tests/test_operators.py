@@ -87,7 +87,19 @@ def test_spans_and_evidence(spark):
     text = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(60))
     docs = spark.createDataFrame([(1, "zz" + text[10:50] + "zz"), (2, "zz" + text[10:49] + "!!"), (3, text[:40]), (4, None), (5, "one  two\nthree four five"), (6, "bone two three four five")], "doc_id long, text string")
     assert sorted(r.doc_id for r in texts.verbatim_span_guard(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()) == [1, 3]
-    assert [tuple(r) for r in texts.evidence_match(docs, spark.createDataFrame([(7, "one two three four")], "item_id long, text string")).collect()] == [(5, 7)]
+    assert [tuple(r) for r in texts.evidence_match(docs, spark.createDataFrame([(7, "one two three four")], "item_id long, text string")).orderBy("doc_id").collect()] == [(5, 7), (6, 7)]
+
+
+def test_evidence_of_any_length_is_plain_containment(spark):
+    import random
+
+    r = random.Random(4)
+    bodies = {i: "".join(r.choice("ab ") for _ in range(r.choice([0, 1, 5, 40, 90]))) for i in range(60)} | {60: None, 61: "a  b\n c"}
+    flat = lambda s: " ".join((s or "").split())
+    needles = {i: "".join(r.choice("ab ") for _ in range(n)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 14, 15, 16, 30, 31, 32] * 2)} | {40: bodies[next(i for i in bodies if len(bodies[i]) > 80)][7:60], 41: " ", 42: None}
+    got = texts.evidence_match(spark.createDataFrame(list(bodies.items()), "doc_id long, text string"), spark.createDataFrame(list(needles.items()), "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((d, n) for d, b in bodies.items() for n, x in needles.items() if flat(x) and flat(x) in flat(b))
+    assert texts.evidence_match(spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
 def test_examples_are_never_the_item_itself(spark):
@@ -100,8 +112,33 @@ def test_examples_are_never_the_item_itself(spark):
 
 def test_secrets(spark):
     lines = ['api_key = "' + "a1" * 20 + '"', "password: changeme", "token=<your token>", "secret = abcdefghijklmnop", "key [" + ", ".join(["12"] * 64) + "]", "[" + ",".join(["300"] * 64) + "]", "5" * 88, ""]
-    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "doc_id long, line_no long, line string")
-    assert [(r.line_no, r.kind) for r in texts.secret_scan(rows).orderBy("line_no").collect()] == [(0, "hex"), (3, "named"), (4, "bytes"), (6, "base58")]
+    words = " ".join(["abandon"] * 11 + ["about"])
+    lines += [f'MNEMONIC="{words}"', "a = 1; api_key = " + "b2" * 20, "ANCHOR_WALLET=/keys/id.json", "private_key = short", "[" + ",\n".join(["7"] * 32) + "]", "x='y' token: '" + "z" * 16 + "'"]
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, f"  {words}\n"), (3, None), (4, words + " again")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.line_no, r.kind, r.name) for r in texts.secret_scan(rows).collect())
+    assert got == [(1, 1, "hex", "api_key"), (1, 4, "named", "secret"), (1, 5, "bytes", ""), (1, 7, "base58", ""), (1, 9, "phrase", "mnemonic"), (1, 10, "hex", "api_key"), (1, 11, "path", "anchor_wallet"), (1, 12, "named", "private_key"), (1, 13, "bytes", ""), (1, 45, "named", "token"), (2, 1, "phrase", "")]
+
+
+def test_secrets_of_a_very_long_line(spark):
+    """A megabyte of word characters on one line, and one of brackets and blanks, in a few seconds at most."""
+    import time
+
+    rows = spark.createDataFrame([(1, "a" * 1_000_000), (2, "[ 1, " * 200_000), (3, "a = " * 250_000), (4, "word " * 200_000)], "doc_id long, text string").cache()
+    rows.count()
+    began = time.perf_counter()
+    texts.secret_scan(rows).collect()
+    assert time.perf_counter() - began < 20
+
+
+def test_rules_are_validated(spark):
+    good = {"rule_id": "r", "name": "x", "trigger": "x", "kind": "forbidden", "pattern": "x"}
+    assert texts.validated([good]) == [good]
+    for bad in ([good, good], [good | {"pattern": "("}], [good | {"kind": "constant"}], [{"rule_id": "r"}]):
+        with pytest.raises(ValueError, match="r: "):
+            texts.rule_candidates(spark.createDataFrame([], "doc_id long, text string"), bad)
+    texts.register_check("shout", lambda rule, text: F.when(text == F.upper(text), "fail").otherwise("pass"))
+    docs = spark.createDataFrame([(1, "X"), (2, "xX")], "doc_id long, text string")
+    assert {(r.doc_id, r.result) for r in texts.rule_scan(docs, [good | {"kind": "shout", "name": "X"}]).collect()} == {(1, "fail"), (2, "pass")}
 
 
 def test_references_and_advisories(spark):

@@ -92,22 +92,37 @@ def _(t):
 
 
 LINES = "l AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM <documents>), unnest(a) WITH ORDINALITY u(line, i))"
-HITS = f"{LINES}, s AS (SELECT doc_id, line_no, line, lower(regexp_extract(line, '(?i)([a-z_][a-z0-9_]*)\\s*[=:]\\s*[\"'']?([^\\s\"'']+)', 1)) AS name, regexp_extract(line, '(?i)([a-z_][a-z0-9_]*)\\s*[=:]\\s*[\"'']?([^\\s\"'']+)', 2) AS v FROM l), h AS (SELECT doc_id, line_no, name, CASE WHEN regexp_matches(name, 'secret|token|api_?key|private_?key|password|mnemonic') AND regexp_matches(v, '^[0-9a-fA-F]{{40,}}$') THEN 'hex' WHEN regexp_matches(line, '(^|[^1-9A-HJ-NP-Za-km-z])[1-9A-HJ-NP-Za-km-z]{{80,90}}([^1-9A-HJ-NP-Za-km-z]|$)') THEN 'base58' WHEN regexp_matches(name, 'secret|token|api_?key|private_?key|password|mnemonic') AND length(v) >= 16 THEN 'named' END AS kind FROM s WHERE regexp_matches(line, '[=:\\[]') OR length(line) >= 80)".replace("{{", "{").replace("}}", "}")
+Q = lambda text: chr(39) + text.replace(chr(39), 2 * chr(39)) + chr(39)
+B58 = f"(^|[^{texts.BASE58[1:-1]}]){texts.BASE58}{{80,90}}([^{texts.BASE58[1:-1]}]|$)"
+HITS = (
+    f"{LINES}, p AS (SELECT doc_id, line_no, lower(unnest(regexp_extract_all(line, {Q(texts.ASSIGNMENT)}, 1))) AS name, unnest(regexp_extract_all(line, {Q(texts.ASSIGNMENT)}, 2)) AS q FROM l), "
+    "v AS (SELECT doc_id, line_no, name, CASE WHEN q[1] IN (chr(34), chr(39)) THEN substr(q, 2, length(q) - 2) ELSE q END AS v FROM p), "
+    f"k AS (SELECT doc_id, line_no, name, CASE WHEN regexp_matches(v, {Q(texts.PHRASE)}) THEN 'phrase' WHEN regexp_matches(v, '^{texts.BASE58}{{80,90}}$') THEN 'base58' "
+    f"WHEN NOT regexp_matches(v, {Q(texts.PLACEHOLDER)}) AND regexp_matches(name, '{texts.SECRET_NAME}') AND regexp_matches(v, '^[0-9a-fA-F]{{40,}}$') THEN 'hex' "
+    f"WHEN regexp_matches(name, '{texts.PATH_NAME}') AND ends_with(v, '.json') THEN 'path' "
+    f"WHEN NOT regexp_matches(v, {Q(texts.PLACEHOLDER)}) AND (regexp_matches(name, '{texts.KEY_NAME}') OR regexp_matches(name, '{texts.SECRET_NAME}') AND length(v) >= 16) THEN 'named' END AS kind FROM v), "
+    f"y AS (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {Q(texts.BYTES)}) AS ms, string_split_regex(text, {Q(texts.BYTES)}) AS ps FROM <documents> WHERE contains(text, '['))), "
+    "z AS (SELECT doc_id, array_to_string(ps[1:i], '') || array_to_string(ms[1:i - 1], '') AS pre, regexp_extract_all(ms[i], '[0-9]+') AS nums FROM y), "
+    "h AS (SELECT doc_id, line_no, kind, name FROM k WHERE kind IS NOT NULL UNION "
+    f"SELECT doc_id, line_no, 'base58', '' FROM l WHERE regexp_matches(line, {Q(B58)}) AND (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM k WHERE kind = 'base58') UNION "
+    "SELECT doc_id, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER), 'bytes', '' FROM z WHERE len(nums) IN (32, 64) AND len(list_filter(nums, lambda x: CAST(x AS INTEGER) > 255)) = 0 UNION "
+    f"SELECT doc_id, 1, 'phrase', '' FROM <documents> WHERE regexp_matches(text, {Q(texts.PHRASE)}))"
+)
 
 
-@query("secret_scan", f"WITH {HITS} SELECT doc_id, line_no, kind, name FROM h WHERE kind IS NOT NULL")
+@query("secret_scan", f"WITH {HITS} SELECT doc_id, line_no, kind, name FROM h")
 def _(t):
-    return texts.secret_scan(t.documents_lines)
+    return texts.secret_scan(t.documents)
 
 
-@query("secret_summary", f"WITH {HITS} SELECT count(DISTINCT doc_id) AS docs, 0 AS n_bytes, count(*) FILTER (kind = 'base58') AS n_base58, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'named') AS n_named, CASE WHEN count(*) FILTER (kind IN ('hex', 'base58')) > 0 THEN 'exposed' WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END AS verdict FROM h WHERE kind IS NOT NULL")
+@query("secret_summary", f"WITH {HITS} SELECT count(DISTINCT doc_id) AS docs, count(*) FILTER (kind = 'bytes') AS n_bytes, count(*) FILTER (kind = 'base58') AS n_base58, count(*) FILTER (kind = 'phrase') AS n_phrase, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'path') AS n_path, count(*) FILTER (kind = 'named') AS n_named, CASE WHEN count(*) FILTER (kind IN ('hex', 'base58', 'bytes', 'phrase')) > 0 THEN 'exposed' WHEN count(*) > 0 THEN 'warn' ELSE 'ok' END AS verdict FROM h")
 def _(t):
-    return texts.secret_summary(texts.secret_scan(t.documents_lines))
+    return texts.secret_summary(texts.secret_scan(t.documents))
 
 
-@query("secret_gate", f"WITH {HITS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM h WHERE kind IS NOT NULL)")
+@query("secret_gate", f"WITH {HITS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM h)")
 def _(t):
-    return texts.secret_gate(t.documents.select("doc_id"), texts.secret_scan(t.documents_lines))
+    return texts.secret_gate(t.documents.select("doc_id"), texts.secret_scan(t.documents))
 
 
 @query("env_reconcile", "WITH d AS (SELECT user_id AS project, event_type AS name, max(props) AS v FROM <events> WHERE event_id % 2 = 0 GROUP BY 1, 2), c AS (SELECT user_id AS project, CASE WHEN event_type = 'click' THEN 'api_key' ELSE event_type END AS name, max(CASE WHEN event_id % 50 = 1 THEN 'zhttps://' WHEN event_type = 'view' THEN 'https://' || props ELSE props END) AS v FROM <events> WHERE event_id % 2 = 1 GROUP BY 1, 2), b AS (SELECT coalesce(d.project, c.project) AS project, coalesce(d.name, c.name) AS name, d.v AS d, c.v AS c FROM d FULL JOIN c ON c.project = d.project AND c.name = d.name) SELECT project, name, 'mismatch' AS finding FROM b WHERE d <> c UNION ALL SELECT project, name, 'unwired' FROM b WHERE c IS NULL UNION ALL SELECT project, name, 'exposed-key' FROM b WHERE regexp_matches(name, '(?i)key|secret|token') AND c IS NOT NULL UNION ALL SELECT project, name, 'public-endpoint' FROM b WHERE regexp_matches(coalesce(c, d), '^https?://')")
@@ -198,7 +213,7 @@ def _(t):
     return texts.record_mint(verdicts, t.documents.select((F.col("doc_id") % 9).alias("class_no"), F.col("text").alias("snippet")))
 
 
-@query("tier_sorted_findings", f"WITH {HITS}, k AS (SELECT doc_id, line_no, CASE kind WHEN 'hex' THEN 'critical' ELSE 'high' END AS severity FROM h WHERE kind IS NOT NULL) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY severity, line_no) AS INTEGER) AS place FROM k")
+@query("tier_sorted_findings", f"WITH {HITS}, x AS (SELECT doc_id, line_no, name, CASE kind WHEN 'hex' THEN 'critical' ELSE 'high' END AS severity FROM h) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY severity, line_no, name) AS INTEGER) AS place FROM x")
 def _(t):
-    hits = texts.secret_scan(t.documents_lines).select("doc_id", "line_no", F.when(F.col("kind") == "hex", "critical").otherwise("high").alias("severity"))
+    hits = texts.secret_scan(t.documents).select("doc_id", "line_no", "name", F.when(F.col("kind") == "hex", "critical").otherwise("high").alias("severity"))
     return texts.tier_sorted(hits)
