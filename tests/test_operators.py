@@ -226,3 +226,28 @@ def test_manifests(spark):
     assert got == {("left", "1.0", "npm"), ("both", "2.0", "npm"), ("dev", "3", "npm"), ("flask", "2.0.1", "pypi"), ("serde", "1.0", "cargo"), ("github.com/a/b", "v1.2.3", "go")}
     locks = {(r.name, r.version, r.source) for r in files.lockfile_inventory(files_.where("repo = 's'")).collect()}
     assert locks == {("syn", "2.0.1", "Cargo.lock"), ("@a/b", "1.2.0", "yarn.lock"), ("lodash", "4.1.0", "yarn.lock"), ("y", "7", "package-lock.json"), ("rails", "7.0.1", "Gemfile.lock"), ("a/b", "v3", "composer.lock"), ("foo", "1.2.3", "pnpm-lock.yaml"), ("toml", "0.1", "poetry.lock")}
+
+
+def test_policy_stream_equals_its_batch_twin_and_a_fold(spark, sf):
+    from verdigris.plans import registry
+
+    queries = registry.queries()
+    stream, batch = ({(r.space, r.id): r.accepted for r in queries[name](spark, sf).collect()} for name in ("stream_policy_versions", "policy_versions_batch"))
+    want, held = {}, {}
+    for e in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
+        version, k = int(e.value // 1), e.event_id
+        now = held.get(e.user_id)
+        ok = now is None or (version > now[0] and k % 7 in now[1])
+        if ok:
+            held[e.user_id] = (version, {(k + 1) % 7, (k + 2) % 7, (k + 4) % 7})
+        want[e.user_id, k] = ok
+    assert stream == batch == want
+    assert 0 < sum(v for (s, i), v in want.items()) < len(want)
+
+
+def test_scalars_of_odd_values(spark):
+    row = spark.range(1).select(
+        S.snake_case(F.lit("myHTTPServer two-Parts")).alias("a"), S.usd_text(F.lit(None).cast("double")).alias("b"), S.usd_text(F.lit(1.5e9)).alias("c"), S.age_text(F.lit(None).cast("long"), 0).alias("d"),
+        S.age_text(F.lit(10), 0).alias("e"), S.invoked_programs(F.array(F.lit("Program A invoke [1]"), F.lit("Program log: x"), F.lit("Program B invoke [2]"), F.lit("Program A invoke [3]"))).alias("f"), S.rule_pattern(F.lit("x-Algorithm-None")).alias("g"),
+    ).first()
+    assert tuple(row) == ("my_httpserver_two_parts", "—", "$1.50B", "never", None, ["A", "B"], "algorithm-none")

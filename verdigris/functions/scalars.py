@@ -89,3 +89,43 @@ def lamports_text(lamports: Column) -> Column:
     """Whole units of 10^9 with up to nine decimals and no zeros behind them."""
     text = (lamports.cast("decimal(38,9)") / F.lit(10**9).cast("decimal(38,0)")).cast("decimal(38,9)").cast("string")
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+
+def snake_case(text: Column) -> Column:
+    """Words of camel case, blanks and dashes parted by underscores, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1_$2"), "[\\s-]+", "_"))
+
+
+# Patterns that end the ids of rules about the same mistake.
+RULE_PATTERNS = ("algorithm-none", "decode-missing-verify", "ignoreexpiration-true", "reject-unauthorized-false", "cookie-secure-false", "cookie-samesite-none", "saveuninitialized-true")
+
+
+def rule_pattern(rule_id: Column) -> Column:
+    """The known pattern that ends an id in any case, else the id."""
+    return F.coalesce(*(F.when(F.endswith(F.lower(rule_id), F.lit(p)), F.lit(p)) for p in RULE_PATTERNS), rule_id)
+
+
+def usd_text(value: Column) -> Column:
+    """Dollars in billions (two decimals), millions (one), thousands (none) or as they are; a dash for none."""
+    part = lambda size, digits: F.format_string(f"%.{digits}f", value / F.lit(float(size)))
+    big = F.when(value >= 1e9, F.concat(part(1e9, 2), F.lit("B"))).when(value >= 1e6, F.concat(part(1e6, 1), F.lit("M"))).when(value >= 1e3, F.concat(part(1e3, 0), F.lit("K")))
+    return F.when(value.isNull(), "—").otherwise(F.concat(F.lit("$"), F.coalesce(big, F.round(value).cast("long").cast("string"))))
+
+
+def age_text(then: Column, now: int) -> Column:
+    """How long ago an epoch second is: never, just now, minutes, hours up to two days, days; null if it lies ahead."""
+    minutes = F.floor((F.lit(now) - then) / 60)
+    told = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    some = F.when(minutes < 1, "just now").when(minutes < 60, told(minutes, "m")).when(minutes < 48 * 60, told(F.floor(minutes / 60), "h")).otherwise(told(F.floor(minutes / 1440), "d"))
+    return F.when(then.isNull(), "never").when(then <= now, some)
+
+
+def invoked_programs(logs: Column) -> Column:
+    """The distinct programs that lines of a log invoke, at any depth, in the order they come."""
+    called = F.transform(logs, lambda x: F.regexp_extract(x, r"^Program (\S+) invoke \[[0-9]+\]$", 1))
+    return F.array_distinct(F.filter(called, lambda x: x != ""))
+
+
+def add_days(then: Column, days: Column | int) -> Column:
+    """An epoch second so many days on."""
+    return then + 86400 * (days if isinstance(days, Column) else F.lit(days))

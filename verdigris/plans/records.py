@@ -160,3 +160,33 @@ def _(t):
 @query("feed_to_record", "SELECT rec_no, trap_id, red, green, captured_at, sha256(snippet) AS sha FROM <records> WHERE red AND green")
 def _(t):
     return access.feed_to_record(access.feed_select(t.records)).select("rec_no", "trap_id", "red", "green", "captured_at", F.sha2("snippet", 256).alias("sha"))
+
+
+PATTERN = "CASE WHEN ends_with(lower(r), 'algorithm-none') THEN 'algorithm-none' WHEN ends_with(lower(r), 'cookie-secure-false') THEN 'cookie-secure-false' ELSE r END"
+
+
+@query("record_names", f"WITH n AS (SELECT rec_no, concat('MyTrap', rec_no, 'Of ', sdk_name, '-', upper(sdk_version), 'b') AS x, concat(trap_id, CASE rec_no % 3 WHEN 0 THEN '-Algorithm-None' WHEN 1 THEN '-cookie-secure-FALSE' ELSE '' END) AS r FROM <records>) SELECT rec_no, lower(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[\\s-]+', '_', 'g')) AS snake, regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {PATTERN} AS pattern FROM n")
+def _(t):
+    x = F.concat(F.lit("MyTrap"), F.col("rec_no").cast("string"), F.lit("Of "), "sdk_name", F.lit("-"), F.upper("sdk_version"), F.lit("b"))
+    rule = F.concat("trap_id", F.when(F.col("rec_no") % 3 == 0, "-Algorithm-None").when(F.col("rec_no") % 3 == 1, "-cookie-secure-FALSE").otherwise(""))
+    return t.records.select("rec_no", S.snake_case(x).alias("snake"), S.slug(x).alias("slug"), S.rule_pattern(rule).alias("pattern"))
+
+
+USD = "CASE WHEN v IS NULL THEN '—' WHEN v >= 1e9 THEN printf('$%.2fB', v / 1e9) WHEN v >= 1e6 THEN printf('$%.1fM', v / 1e6) WHEN v >= 1e3 THEN printf('$%.0fK', v / 1e3) ELSE concat('$', CAST(round(v) AS BIGINT)) END"
+AGO = "CASE WHEN then_s IS NULL THEN 'never' WHEN then_s > 1000000000 THEN NULL WHEN m < 1 THEN 'just now' WHEN m < 60 THEN concat(m, 'm ago') WHEN m < 2880 THEN concat(m // 60, 'h ago') ELSE concat(m // 1440, 'd ago') END"
+
+
+@query("order_texts", f"WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN (o_orderkey * 7919 % 9973 + 0.37) * power(10, o_orderkey % 7) END AS v, CASE WHEN o_orderkey % 13 > 0 THEN 1000000000 - o_custkey * power(7, o_orderkey % 5) + 60 END::BIGINT AS then_s, o_orderkey * 1234567 AS lamports FROM <orders>), w AS (SELECT *, CAST(floor((1000000000 - then_s) / 60.0) AS BIGINT) AS m FROM v) SELECT o_orderkey, {USD} AS usd, {AGO} AS ago, regexp_replace(regexp_replace(CAST(CAST(lamports AS DECIMAL(28, 9)) * CAST(0.000000001 AS DECIMAL(10, 9)) AS VARCHAR), '0+$', ''), '\\.$', '') AS sol, to_timestamp(then_s + 86400 * 30)::DATE::VARCHAR AS due FROM w")
+def _(t):
+    k = F.col("o_orderkey")
+    value = F.when(k % 11 > 0, (k * 7919 % 9973 + F.lit(0.37)) * F.pow(F.lit(10.0), k % 7))
+    then = F.when(k % 13 > 0, (1_000_000_000 - F.col("o_custkey") * F.pow(F.lit(7.0), k % 5) + 60).cast("long"))
+    due = F.to_date(F.timestamp_seconds(S.add_days(then, 30))).cast("string")
+    return t.orders.select("o_orderkey", S.usd_text(value).alias("usd"), S.age_text(then, 1_000_000_000).alias("ago"), S.lamports_text(k * 1_234_567).alias("sol"), due.alias("due"))
+
+
+@query("invoked_programs", "WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'noise' ELSE concat('Program ', role, ' invoke [', turn, ']') END AS line, turn % 3 < 2 AS ok, role FROM <conversations>) SELECT conv_id, array_to_string(list_sort(list(DISTINCT role) FILTER (ok)), ',') AS programs FROM l GROUP BY 1")
+def _(t):
+    line = F.when(F.col("turn") % 3 == 2, "noise").otherwise(F.concat(F.lit("Program "), "role", F.lit(" invoke ["), F.col("turn").cast("string"), F.lit("]")))
+    logs = t.conversations.groupBy("conv_id").agg(F.collect_list(line).alias("logs"))
+    return logs.select("conv_id", F.array_join(F.array_sort(S.invoked_programs(F.col("logs"))), ",").alias("programs"))

@@ -101,28 +101,59 @@ def _(t):
     return t.spark.read.parquet(f"{out}/data")
 
 
-@query("stream_staleness", "WITH w AS (SELECT user_id AS id, max(epoch(ts)) AS seen FROM <events> GROUP BY 1) SELECT c_custkey AS id, CASE WHEN seen IS NULL THEN 'NO_HISTORY' WHEN epoch(TIMESTAMP '2024-01-30') - seen <= 86400 THEN 'FRESH' ELSE 'STALE' END AS status FROM <customer> LEFT JOIN w ON id = c_custkey")
+STALE = "WITH w AS (SELECT user_id AS id, max(ts) AS seen FROM <events> GROUP BY 1), n AS (SELECT max(seen) AS now FROM w)"
+
+
+@query("staleness_batch", "WITH w AS (SELECT user_id AS id, max(epoch(ts)) AS seen FROM <events> GROUP BY 1) SELECT c_custkey AS id, CASE WHEN seen IS NULL THEN 'NO_HISTORY' WHEN epoch(TIMESTAMP '2024-01-30') - seen <= 86400 THEN 'FRESH' ELSE 'STALE' END AS status FROM <customer> LEFT JOIN w ON id = c_custkey")
 def _(t):
     writes = t.events.select(F.col("user_id").alias("id"), F.unix_timestamp("ts").alias("at"))
     return ledgers.staleness(writes, t.customer.select(F.col("c_custkey").alias("id")), 1706572800, 86400)
 
 
-@query("stream_ttl_cache", "SELECT event_id AS id FROM <events> WHERE 1706572800 - floor(epoch(ts)) < 604800 AND event_id % 7 > 0")
+@query("stream_staleness", f"{STALE} SELECT c_custkey AS id, CASE WHEN seen IS NULL THEN 'NO_HISTORY' WHEN epoch_ms(now) - epoch_ms(seen) <= 21600000 THEN 'FRESH' ELSE 'STALE' END AS status FROM <customer> CROSS JOIN n LEFT JOIN w ON id = c_custkey")
+def _(t):
+    out = scratch(t)
+    writes = streams.table_stream(t.spark, t.sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    streams.run_once(streams.expiring(writes, "id", 6 * 3600), out)
+    last = streams.latest_state(t.spark.read.parquet(f"{out}/data"), "id")
+    watched = t.customer.select(F.col("c_custkey").alias("id"))
+    return watched.join(last, "id", "left").select("id", F.when(F.col("live"), "FRESH").when(~F.col("live"), "STALE").otherwise("NO_HISTORY").alias("status"))
+
+
+@query("ttl_cache_batch", "SELECT event_id AS id FROM <events> WHERE 1706572800 - floor(epoch(ts)) < 604800 AND event_id % 7 > 0")
 def _(t):
     entries = t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 > 0, F.unix_timestamp("ts")).alias("at"))
     return ledgers.ttl_valid(entries, 604_800, 1706572800).select("id")
 
 
+@query("stream_ttl_cache", "SELECT event_id AS id FROM <events> WHERE epoch_ms((SELECT max(ts) FROM <events>)) - epoch_ms(ts) <= 604800000")
+def _(t):
+    out = scratch(t)
+    entries = streams.table_stream(t.spark, t.sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    streams.run_once(streams.expiring(entries, "id", 604_800), out)
+    return streams.latest_state(t.spark.read.parquet(f"{out}/data"), "id").where("live").select("id")
+
+
 @query("batch_event_bounds", "SELECT user_id AS batch, CASE WHEN count(*) > 70 THEN 'too-many-events' WHEN bool_or(length(props) > 8) THEN 'oversized-event' ELSE 'ok' END AS reason FROM <events> GROUP BY 1")
 def _(t):
     return ledgers.event_bounds(t.events.select(F.col("user_id").alias("batch"), F.col("event_type").alias("rule_id"), F.col("props").alias("detail")), 70, 8)
 
 
+def policies(events):  # noqa: ANN001
+    k = F.col("event_id")
+    return events.select(F.col("user_id").alias("space"), k.alias("id"), F.floor(F.col("value")).alias("version"), (k % 7).alias("signer"), F.array((k + 1) % 7, (k + 2) % 7, (k + 4) % 7).alias("admins"))
+
+
+@query("policy_versions_batch")
+def _(t):
+    return streams.policy_versions(policies(t.events))
+
+
 @query("stream_policy_versions")
 def _(t):
-    k = F.col("event_id")
-    rows = t.events.select((F.col("user_id") % 25).alias("space"), k.alias("id"), F.floor(F.col("value")).alias("version"), (F.col("user_id") % 7).alias("signer"), F.array(k % 7, (k + 1) % 7, (k + 2) % 7).alias("admins"))
-    return streams.policy_versions(rows)
+    out = scratch(t)
+    streams.run_once(streams.policy_stream(policies(streams.table_stream(t.spark, t.sf_dir, "events"))), out)
+    return t.spark.read.parquet(f"{out}/data")
 
 
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM <events> GROUP BY 1, 2")

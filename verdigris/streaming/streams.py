@@ -129,11 +129,17 @@ def delta_upsert(path: str, merge: Callable[[DataFrame | None, DataFrame], DataF
 
 
 def usage_meter(path: str, served: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes a delivery and its ledger row in one folder a batch: what isn't metered isn't served."""
+    """A sink that writes the ledger rows of a batch and then its delivery: what isn't metered isn't served.
+
+    The two are writes one after the other from the same batch; a batch that fails
+    between them comes again and writes both again, to the same places.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(served).agg(F.count("*").alias("records_served")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
-        batch.write.mode("overwrite").parquet(f"{path}/delivery/batch={batch_id}")
+        held = batch.persist()
+        held.groupBy(served).agg(F.count("*").alias("records_served")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
+        held.write.mode("overwrite").parquet(f"{path}/delivery/batch={batch_id}")
+        held.unpersist()
 
     return each
 
@@ -144,17 +150,69 @@ def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def expiring(events: DataFrame, key: str, width: int, late: str = "0 seconds") -> DataFrame:
+    """(key, at, live) from (key, ts): a live row when a key is seen, and one that isn't when event time has gone on by more than width seconds since.
+
+    State is a time for each live key, and gone with it.
+    """
+
+    def each(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({key: [k[0]], "at": [last], "live": [False]})
+            return
+        last = max(int(rows["at"].max()) for rows in batches)
+        if state.exists:
+            last = max(last, state.get[0])
+        ends = last + width * 1000 + 1
+        live = ends > state.getCurrentWatermarkMs()
+        if live:
+            state.update((last,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({key: [k[0]], "at": [last], "live": [live]})
+
+    timed = events.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"))
+    return timed.groupBy(key).applyInPandasWithState(each, f"{key} long, at long, live boolean", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_state(rows: DataFrame, key: str) -> DataFrame:
+    """(key, live) from what expiring() gave: a key is live unless its last row says that it isn't."""
+    return rows.groupBy(key).agg(F.max_by("live", F.struct("at", (~F.col("live")).alias("over"))).alias("live"))
+
+
+def accept_rows(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[bool]]:
+    """The fold of policies: (version, admins), and whether each row is accepted."""
+    version, admins = state if state else (None, ())
+    out = []
+    for v, signer, named in zip(rows["version"], rows["signer"], rows["admins"], strict=True):
+        ok = version is None or (v > version and signer in admins)
+        if ok:
+            version, admins = int(v), tuple(int(a) for a in named)
+        out.append(bool(ok))
+    return (version, list(admins)), out
+
+
+def policy_stream(rows: DataFrame) -> DataFrame:
+    """policy_versions() over a stream: rows of a space go by id in a batch, and after those of the batches before."""
+
+    def each(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        space = pd.concat(batches).sort_values("id")
+        now, out = accept_rows(state.get if state.exists else None, space)
+        state.update(now)
+        yield pd.DataFrame({"space": k[0], "id": space["id"], "accepted": out})
+
+    return rows.groupBy("space").applyInPandasWithState(each, "space long, id long, accepted boolean", "version long, admins array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def policy_versions(rows: DataFrame) -> DataFrame:
     """(space, id, accepted) from (space, id, version, signer, admins): a version must rise and its signer be an admin of the policy before; the first is trusted."""
 
     def fold(space: pd.DataFrame) -> pd.DataFrame:
         space = space.sort_values("id")
-        version, admins, out = None, (), []
-        for v, signer, next_admins in zip(space["version"], space["signer"], space["admins"], strict=True):
-            ok = version is None or (v > version and signer in admins)
-            if ok:
-                version, admins = v, tuple(next_admins)
-            out.append(ok)
+        _, out = accept_rows(None, space)
         return pd.DataFrame({"space": space["space"], "id": space["id"], "accepted": out})
 
     return rows.groupBy("space").applyInPandas(fold, "space long, id long, accepted boolean")
