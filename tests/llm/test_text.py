@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -239,7 +240,70 @@ def test_maximal_repeats_have_all_occurrences():
     assert all(size < 4 or len(where) == 3 for size, where in groups)
 
 
-def test_repeats_on_odd_rows(odd, none):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_arrays_and_intervals_equal_brute_force(seed):
+    """Order, common prefixes, and every maximal repeat with all its occurrences, group by group."""
+    r = random.Random(seed)
+    texts = [bytes(r.choice(b"ab\0\xff") for _ in range(r.choice([1, 4, 9, 30]))) + b"abab" * r.choice([0, 3]) for _ in range(14)]
+    starts, groups = [r.randrange(1, len(t) + 1) for t in texts], [r.randrange(2) for _ in texts]
+    text, at, common = (x.tolist() for x in repeats.suffix_array(texts, starts, groups))
+    keys = [(groups[t], texts[t][s:]) for t, s in zip(text, at)]
+    assert keys == sorted(keys) and sorted(zip(text, at)) == sorted((t, s) for t, n in enumerate(starts) for s in range(n))
+    prefix = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common == [prefix(a[1], b[1]) if a[0] == b[0] else 0 for a, b in zip(keys, keys[1:])] + [0]
+    want = set()
+    for group in (0, 1):
+        mine = [(t, s) for t, s in zip(text, at) if groups[t] == group]
+        strings = {texts[t][s : s + prefix(texts[t][s:], texts[u][v:])] for t, s in mine for u, v in mine if (t, s) != (u, v)}
+        for x in strings:
+            where = [(t, s) for t, s in mine if texts[t][s:].startswith(x)]
+            left = {texts[t][s - 1] if s else -1 - t for t, s in where}
+            if len(x) >= 3 and len(where) > 1 and len(left) > 1:
+                want.add((len(x), tuple(sorted(where))))
+    places, found = repeats.maximal_repeats(texts, starts, 3, groups)
+    assert {(size, tuple(sorted(places[a:b]))) for size, a, b in found} == want
+    assert len(found) == len(want)
+
+
+@pytest.mark.parametrize("hot", [400, 1])
+def test_repeat_groups_hold_all_occurrences(spark, hot):
+    """Every group is one string at all its places; together they cover what repeats, and no window's place is missing."""
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefg é") for _ in range(n)) for n in (210, 260, 300, 700)]
+    texts = {i: "".join(r.choice([*base, f"<{r.randrange(10**6)}>"]) for _ in range(5)) for i in range(24)}
+    raw = {i: t.encode() for i, t in texts.items()}
+    groups = {}
+    for row in repeats.repeat_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), hot=hot).collect():
+        groups.setdefault((row.repeat, row.length), set()).add((row.doc_id, row.start))
+    windows = {}
+    for (_, size), places in groups.items():
+        strings = {raw[i][s : s + size] for i, s in places}
+        assert len(strings) == 1 and len(places) > 1
+        for k in range(size - 199):
+            windows.setdefault(next(iter(strings))[k : k + 200], set()).update((i, s + k) for i, s in places)
+    want = {}
+    for i, t in raw.items():
+        for s in range(len(t) - 199):
+            want.setdefault(t[s : s + 200], set()).add((i, s))
+    assert windows == {w: places for w, places in want.items() if len(places) > 1}
+
+
+def test_op9_columns(spark, sf):
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = Counter(t[s : s + 200] for t in texts.values() for s in range(len(t) - 199))
+    for r in repeats.op9_repeats(spark, sf).collect():
+        t = texts[r.doc_id]
+        mask = bytearray(len(t))
+        for s in range(len(t) - 199):
+            if seen[t[s : s + 200]] > 1:
+                mask[s : s + 200] = b"\1" * 200
+        kept = bytes(c for c, m in zip(t, mask) if not m)
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(t), len(t) - len(kept), len(re.findall(b"\1+", mask)))
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_repeats_on_odd_rows(odd, clashing, none):
+    assert repeats.without_repeats(clashing).count() == len(ROWS)
     rows = repeats.without_repeats(odd).collect()
     assert len(rows) == len(ROWS)
     assert {r.doc_id: len(r.kept) for r in rows if r.doc_id in (6, 7)} == {6: 0, 7: 0}

@@ -3,14 +3,16 @@
 A repeat of LENGTH bytes has in all its places the same anchor: the k-gram of least
 hash inside it. So every LENGTH-byte window of a text belongs to one record (anchor,
 run of window starts), and equal windows meet under their anchor. Counts by anchor,
-combined before their shuffle, leave out what can't repeat. Runs whose whole bytes
-are the same need no more than their digests. What remains are the edges of
-repeats: their bytes, one example for each digest, go to the anchor's suffix array.
-A stack scan of its common-prefix intervals gives the maximal repeats, those whose
+combined before their shuffle, leave out what can't repeat. Runs of the same bytes,
+told by 128-bit digests beside their anchor's 64 bits, repeat as they are. What
+remains are the edges of repeats: their bytes, one example for each digest, go to a
+suffix array by ranks of doubled prefixes, with the common prefixes of neighbours. A
+stack scan of its common-prefix intervals gives the maximal repeats, those whose
 occurrences differ in what stands to their left, with all their occurrences.
 
 An anchor with very many different surroundings (a short line that half the corpus
-has) parts them by longer anchors, in the same way, up to whole windows.
+has) parts them by longer anchors, in the same way, up to whole windows. Anchors and
+runs that very many records share are dealt to salts in the joins.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import sliced, written
+from verdigris.llm.shared import named, sliced, spread_join, written
 
 #: Bytes of a repeat, and of an anchor in it.
 LENGTH, GRAM = 200, 64
@@ -104,8 +106,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[li
         yield keys, b"".join(parts), bounds
 
 
-RECORD = "ah long, ch long, doc_id long, h long, a long, run int"
-_RECORD = [("ah", pa.int64()), ("ch", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("run", pa.int32())]
+#: What equal runs have in common: the anchor's hash and both halves of the run's digest.
+KIND = ["ah", "ch", "cl"]
+RECORD = "ah long, ch long, cl long, doc_id long, h long, a long, run int"
+_RECORD = [("ah", pa.int64()), ("ch", pa.int64()), ("cl", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("a", pa.int64()), ("run", pa.int32())]
 
 
 def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int, with_bytes: bool) -> Iterator[pa.RecordBatch]:
@@ -115,54 +119,99 @@ def _records(batches: Iterator[pa.RecordBatch], length: int, gram: int, with_byt
         ah, first, last, place = scan(data, bounds, length, gram)
         if not len(ah):
             continue
-        view, digest = memoryview(data), xxhash.xxh3_64_intdigest
+        view, digest = memoryview(data), xxhash.xxh3_128_digest
         # The digest also holds where in the run the anchor is, so equal digests have their windows at equal distances.
-        ch = np.fromiter((digest(view[a : b + length], p) for a, b, p in zip(first.tolist(), last.tolist(), (place - first).tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+        joined = b"".join(digest(view[a : b + length], p) for a, b, p in zip(first.tolist(), last.tolist(), (place - first).tolist(), strict=True))
+        ch, cl = np.frombuffer(joined, np.int64).reshape(-1, 2).T
         of = np.searchsorted(np.array([b for b, _ in bounds]), first, side="right") - 1
         ids = pa.array([k[0] for k in keys], pa.int64()).take(pa.array(of))
         hs, shift = np.array([k[1] for k in keys], np.int64)[of], np.array([k[2] for k in keys], np.int64)[of]
         for at in range(0, len(ah), 20_000):
             cut = slice(at, at + 20_000)
-            columns = [pa.array(ah[cut]), pa.array(ch[cut]), ids.slice(at, 20_000), pa.array(hs[cut]), pa.array((first + shift)[cut]), pa.array((last - first)[cut].astype(np.int32))]
+            columns = [pa.array(ah[cut]), pa.array(ch[cut]), pa.array(cl[cut]), ids.slice(at, 20_000), pa.array(hs[cut]), pa.array((first + shift)[cut]), pa.array((last - first)[cut].astype(np.int32))]
             if with_bytes:
                 columns.append(pa.array([data[a : b + length] for a, b in zip(first[cut].tolist(), last[cut].tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])  # big-endian: the first difference is the highest bit
-    return n - (differ.bit_length() + 7) // 8
+def _ranks(data: np.ndarray, ends: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """(h, rank of each position by its first h bytes) for h = 4, 8, 16 ... from most on; a text's end goes before any byte."""
+    at = np.arange(len(data))
+    key = np.zeros(len(data), np.int64)
+    for j in range(4):
+        key = key << 9 | np.where(at + j < ends, data[np.minimum(at + j, len(data) - 1)].astype(np.int64) + 1, 0)
+    rank, levels, h = np.unique(key, return_inverse=True)[1] + 1, [], 4
+    while True:
+        levels.append((h, rank))
+        if h >= most:
+            return levels
+        after = np.where(at + h < ends, rank[np.minimum(at + h, len(data) - 1)], 0)
+        rank = np.unique(rank * (len(data) + 1) + after, return_inverse=True)[1] + 1
+        h *= 2
+
 
+def suffix_array(texts: list[bytes], starts: list[int], groups: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, common prefix with the next) of suffixes in order, those of a group of texts together.
 
-def maximal_repeats(texts: list[bytes], starts: list[int], least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    starts tells how many positions of each text, from its first, begin a suffix.
+    Suffixes of different groups have no common prefix.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    data, firsts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    ends = np.repeat(firsts + sizes, sizes)
+    levels = _ranks(data, ends, int(sizes.max()))
+    count = np.minimum(np.array(starts, np.int64), sizes)
+    text = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + firsts[text]
+    group = np.array(groups, np.int64)[text]
+    order = np.lexsort((levels[-1][1][at], group))
+    text, at, group = text[order], at[order], group[order]
+    a, b, shared = at[:-1], at[1:], np.zeros(max(0, len(at) - 1), np.int64)
+    last = len(data) - 1
+    for h, rank in reversed(levels):
+        whole = (a + shared + h <= ends[a]) & (b + shared + h <= ends[b])
+        shared += h * (whole & (rank[np.minimum(a + shared, last)] == rank[np.minimum(b + shared, last)]))
+    for _ in range(3):
+        whole = (a + shared < ends[a]) & (b + shared < ends[b])
+        shared += whole & (data[np.minimum(a + shared, last)] == data[np.minimum(b + shared, last)])
+    shared[group[:-1] != group[1:]] = 0
+    return text, at - firsts[text], np.append(shared, 0)
+
+
+def maximal_repeats(texts: list[bytes], starts: list[int], least: int, groups: list[int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """The suffix array [(text, position)], and its maximal repeats [(length, begin, end)] of at least so many bytes.
 
     All occurrences of a repeat are the suffixes from begin to end. starts tells
     how many positions of each text, from its first, begin a suffix; the first of
     them has nothing to its left that it could share. Intervals come before those
-    that hold them, which have shorter repeats and more occurrences.
+    that hold them, which have shorter repeats and more occurrences. Texts of
+    different groups share nothing.
     """
-    suffixes = sorted((text[s:], t, s) for t, text in enumerate(texts) for s in range(starts[t]))
-    left = [texts[t][s - 1] if s else -1 - t for _, t, s in suffixes]
+    text, at, common = suffix_array(texts, starts, groups or [0] * len(texts))
+    places = list(zip(text.tolist(), at.tolist(), strict=True))
+    common = np.where(common >= least, common, 0)
     found: list[tuple[int, int, int]] = []
-    # Open intervals: common prefix, first suffix, what stands to the left (a byte, or None once it differs).
-    stack: list[tuple[int, int, int | None]] = []
-    for i in range(len(suffixes)):
-        shared = _common(suffixes[i][0], suffixes[i + 1][0]) if i + 1 < len(suffixes) else 0
-        begin, byte = i, left[i]
-        while stack and stack[-1][0] > shared:
-            size, begin, inside = stack.pop()
-            byte = byte if byte == inside else None
-            if byte is None:
-                found.append((size, begin, i + 1))
-        if shared >= least:
-            if stack and stack[-1][0] == shared:
-                size, begin, inside = stack.pop()
-                byte = byte if byte == inside else None
-            stack.append((shared, begin, byte))
-    return [(t, s) for _, t, s in suffixes], found
+    # Only runs of suffixes with long enough prefixes in common have intervals.
+    inside = np.concatenate(([False], common > 0, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    for first, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        # Open intervals: common prefix, first suffix, what stands to the left (a byte, or None once it differs).
+        stack: list[tuple[int, int, int | None]] = []
+        shares = common[first : end + 1].tolist()
+        for i, shared in enumerate(shares, first):
+            t, s = places[i]
+            begin, byte = i, texts[t][s - 1] if s else -1 - t
+            while stack and stack[-1][0] > shared:
+                size, begin, held = stack.pop()
+                byte = byte if byte == held else None
+                if byte is None:
+                    found.append((size, begin, i + 1))
+            if shared:
+                if stack and stack[-1][0] == shared:
+                    size, begin, held = stack.pop()
+                    byte = byte if byte == held else None
+                stack.append((shared, begin, byte))
+    return places, found
 
 
 SPAN = "doc_id long, h long, start long, end long"
@@ -179,101 +228,156 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor: the maximal repeats of each anchor's surroundings, as spans."""
-    out: list[tuple] = []
-    now, rows = None, []
-
-    def close() -> None:
-        places, groups = maximal_repeats([r[4] for r in rows], [r[3] + 1 for r in rows], length)
-        spans: dict[int, list[tuple[int, int]]] = {}
-        free = list(range(len(places) + 1))  # the next suffix that no repeat has yet: its first repeat is its longest
-        for size, begin, end in groups:
-            at = begin
-            while at < end:
-                if free[at] == at:
-                    t, s = places[at]
-                    spans.setdefault(t, []).append((s, s + size))
-                    free[at] = at + 1
-                at = free[at]
-            free[begin] = end
-        for t, some in spans.items():
-            doc_id, h, a = rows[t][:3]
-            out.extend((doc_id, h, a + x, a + y) for x, y in _merged(some))
-
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=_SPAN)
+#: Bytes of surroundings that one suffix array takes, but for the last anchor's.
+ARRAY = 1 << 19
+GROUP = "repeat string, length int, ah long, ch long, cl long, place int"
+_GROUP = pa.schema([("repeat", pa.string()), ("length", pa.int32()), ("ah", pa.int64()), ("ch", pa.int64()), ("cl", pa.int64()), ("place", pa.int32())])
+
+
+def _spans(rows: list[tuple], places: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> Iterator[tuple]:
+    """What the repeats cover, of each example; a suffix's first repeat is its longest."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    free = list(range(len(places) + 1))  # the next suffix that no repeat has yet
+    for size, begin, end in found:
+        at = begin
+        while at < end:
+            if free[at] == at:
+                t, s = places[at]
+                spans.setdefault(t, []).append((s, s + size))
+                free[at] = at + 1
+            at = free[at]
+        free[begin] = end
+    for t, some in spans.items():
+        doc_id, h, a = rows[t][3:6]
+        yield from ((doc_id, h, a + x, a + y) for x, y in _merged(some))
+
+
+def _members(rows: list[tuple], places: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> Iterator[tuple]:
+    """Each repeat with all its occurrences, as places in kinds of runs; its name is that of its least occurrence."""
+    for size, begin, end in found:
+        held = sorted((*rows[t][:3], s) for t, s in places[begin:end])
+        name = ":".join(map(str, (*held[0], size)))
+        yield from ((name, size, *x) for x in held)
+
+
+def _edges(batches: Iterator[pa.RecordBatch], length: int, take, schema: pa.Schema) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Rows (ah, ch, cl, doc_id, h, a, run, bytes) come sorted by anchor; take makes rows of the maximal repeats of some anchors' surroundings."""
+    rows: list[tuple] = []
+    size = 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        if len(rows) > 1:
+            places, found = maximal_repeats([r[7] for r in rows], [r[6] + 1 for r in rows], length, [r[0] for r in rows])
+            out = list(take(rows, places, found))
+        for at in range(0, max(1, len(out)), 20_000):
+            some = out[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], f.type) for i, f in enumerate(schema)], schema=schema)
 
     for batch in batches:
-        for ah, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if ah != now:
-                if len(rows) > 1:
-                    close()
-                now, rows = ah, []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size > ARRAY and row[0] != rows[-1][0]:
+                yield from close()
+                rows, size = [], 0
             rows.append(row)
-        if len(out) > 20_000:
-            yield batch_of()
-            out.clear()
-    if len(rows) > 1:
-        close()
-    yield batch_of()
+            size += len(row[7])
+    yield from close()
 
 
-def _level(records: DataFrame, texts: DataFrame | None, length: int, hot: int) -> tuple[list[DataFrame], DataFrame]:
-    """Spans that one length of anchors resolves, and the surroundings (doc_id, h, a, bytes) of anchors that have too many.
+def _level(records: DataFrame, texts: DataFrame | None, length: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What one length of anchors tells: records that share an anchor, those of them whose whole run repeats, examples
+    of the different surroundings of anchors, and the surroundings (doc_id, h, a, bytes) of anchors that have too many.
 
     texts gives the bytes of examples where records don't carry them.
     """
-    anchors = written(records.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1").select("ah", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
-    again = written(records.join(anchors, "ah"), "records")
-    whole = lambda df: df.select("doc_id", "h", F.col("a").alias("start"), (F.col("a") + F.col("run") + length).alias("end"))
+    ends = [f(c).alias(f"{name}_{c}") for c in ("ch", "cl") for name, f in (("lo", F.min), ("hi", F.max))]
+    anchors = records.groupBy("ah").agg(F.count("*").alias("n"), *ends).where("n > 1")
+    anchors = written(anchors.select("ah", "n", F.expr("lo_ch <> hi_ch OR lo_cl <> hi_cl").alias("mixed")), "anchors")
+    total = anchors.agg(F.sum("n")).first()[0] or 1
+    again = written(spread_join(records, anchors, ["ah"], total).drop("n"), "records")
     mixed = again.where("mixed")
-    named = ["doc_id", "h", "a", "run", *["bytes"] * (texts is None)]
-    kinds = written(mixed.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct(*named)).alias("example")), "kinds")
-    alike = mixed.join(kinds.where("n > 1").select("ah", "ch"), ["ah", "ch"], "left_semi")
-    examples = kinds.select("ah", *(F.col(f"example.{c}").alias(c) for c in named))
+    carried = ["doc_id", "h", "a", "run", *["bytes"] * (texts is None)]
+    kinds = written(mixed.groupBy(*KIND).agg(F.count("*").alias("n"), F.min(F.struct(*carried)).alias("example")), "kinds")
+    alike = spread_join(mixed, kinds.where("n > 1").select(*KIND, "n"), KIND, total).drop("n")
+    whole = again.where("NOT mixed").unionByName(alike)
+    examples = kinds.select(*KIND, *(F.col(f"example.{c}").alias(c) for c in carried))
     if texts is not None:
-        wanted = examples.select("ah", F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "a", "run")
+        wanted = examples.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
         found = wanted.join(texts, wanted["_id"].eqNullSafe(texts["doc_id"]) & (wanted["_h"] == texts["h"]))
-        found = found.select("ah", "doc_id", "h", "a", "run", F.substring(F.col("text"), F.col("a").cast("int") + 1, F.col("run") + length).alias("bytes"))
-        examples = written(found.dropDuplicates(["ah", "doc_id", "h", "a"]), "edges")  # rows that repeat id and text give the same bytes
+        found = found.select(*KIND, "doc_id", "h", "a", "run", F.substring(F.col("text"), F.col("a").cast("int") + 1, F.col("run") + length).alias("bytes"))
+        examples = written(found.dropDuplicates([*KIND, "doc_id", "h", "a"]), "edges")  # rows that repeat id and text give the same bytes
     many = kinds.groupBy("ah").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("ah")
-    few = examples.join(many, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah").select("ah", "doc_id", "h", "a", "run", "bytes")
-    edges = few.mapInArrow(lambda it: _edges(it, length), SPAN)
-    return [whole(again.where("NOT mixed")), whole(alike), edges], examples.join(many, "ah", "left_semi").select("doc_id", "h", "a", "bytes")
+    few = examples.join(many, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah").select(*KIND, "doc_id", "h", "a", "run", "bytes")
+    return again, whole, few, examples.join(many, "ah", "left_semi").select("doc_id", "h", "a", "bytes")
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, h, start, end): byte spans whose every window of length bytes also starts elsewhere; they may overlap.
+def _levels(texts: DataFrame, length: int, gram: int, hot: int) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(records, whole, few) of anchors of gram bytes, and of longer ones while some anchor has more than hot surroundings.
 
     texts has (doc_id, h, text binary), where equal (doc_id, h) have equal texts.
-    Where an anchor has more than hot different surroundings, anchors of half the
-    remaining length more part them, and at last whole windows, of which equal
-    ones have no surroundings left to differ in.
+    Anchors of half the remaining length more part hot surroundings, and at last
+    whole windows, of which equal ones have none left to differ in.
     """
     if not 0 < gram < length:
         raise ValueError("an anchor is shorter than a repeat")
-    source = texts.select("doc_id", "h", F.lit(0).cast("long").alias("offset"), "text")
-    spans: list[DataFrame] = []
-    first = True
+    source, first = texts.select("doc_id", "h", F.lit(0).cast("long").alias("offset"), "text"), True
     while True:
         size, with_bytes = gram, not first
         records = source.mapInArrow(lambda it, size=size, with_bytes=with_bytes: _records(it, length, size, with_bytes), RECORD + ", bytes binary" * with_bytes)
-        found, rest = _level(records, texts if first else None, length, hot)
-        spans += found
+        again, whole, few, rest = _level(records, texts if first else None, length, hot)
+        yield again, whole, few
         if gram == length:
-            break
+            return
         source = written(rest.select("doc_id", "h", F.col("a").alias("offset"), F.col("bytes").alias("text")), "hot")
         if source.isEmpty():
-            break
+            return
         gram = length if length - gram < 32 else (gram + length + 1) // 2
         first = False
-    out = spans[0]
-    for more in spans[1:]:
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(doc_id, h, start, end): byte spans whose every window of length bytes also starts elsewhere; they may overlap.
+
+    texts has (doc_id, h, text binary), where equal (doc_id, h) have equal texts.
+    """
+    parts = []
+    for _, whole, few in _levels(texts, length, gram, hot):
+        parts.append(whole.select("doc_id", "h", F.col("a").alias("start"), (F.col("a") + F.col("run") + length).alias("end")))
+        parts.append(few.mapInArrow(lambda it: _edges(it, length, _spans, _SPAN), SPAN))
+    return _union(parts)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = named(text_col).cast("string")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("text"))
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(repeat, length, doc_id, h, start): maximal repeats of at least length bytes with all their occurrences, a row each.
+
+    repeat names a group; h is a hash of the text, which tells rows of one id apart.
+    A repeat is maximal within the surroundings of its anchor, which reach up to
+    length - gram bytes past the anchor to either side: a longer repeat comes as
+    the overlapping groups of the anchors in it, each with all its places. Null
+    texts count as empty; an empty table gives no rows; other columns are not read.
+    """
+    parts = []
+    for again, whole, few in _levels(_rows(docs, id_col, text_col), length, gram, hot):
+        size = F.col("run") + length
+        parts.append(whole.select(F.concat_ws(":", *KIND, F.lit(0), size).alias("repeat"), size.alias("length"), "doc_id", "h", F.col("a").alias("start")))
+        groups = few.mapInArrow(lambda it: _edges(it, length, _members, _GROUP), GROUP)
+        met = groups.join(again.select(*KIND, "doc_id", "h", "a"), KIND)
+        parts.append(met.select("repeat", "length", "doc_id", "h", (F.col("a") + F.col("place")).alias("start")))
+    return _union(parts).groupBy("repeat", "length", "doc_id", "h", "start").agg(F.count("*").alias("n")).drop("n")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds removed (merged spans) and kept (the bytes that are left)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -296,8 +400,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text is another place. Null ids are ids. An empty table gives no rows; other
     columns are not read.
     """
-    content = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), content.alias("text"))
+    texts = _rows(docs, id_col, text_col)
     spans = repeated_spans(texts, length, gram, hot)
     by_doc = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
     rows = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["_id"]) & (texts["h"] == by_doc["_h"]), "left").select("doc_id", "text", "spans")
