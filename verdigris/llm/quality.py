@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import fields, fresh, named, sliced, written
+from verdigris.llm.shared import named, sliced, written
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
@@ -82,14 +82,19 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
     return np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, text_col: str) -> Iterator[pa.RecordBatch]:
-    """Adds quality_score, the sum of log ratios; null for a text without words."""
-    for batch in sliced(batches, text_col):
-        scores = []
-        for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-            found = features(text or "")
-            scores.append(float(model[found].sum()) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"])
+def log_weight(text: Column, model: np.ndarray) -> Column:
+    """The sum of log ratios over a text's features; null for a text without words. Only texts go to Python, other columns don't."""
+
+    @F.arrow_udf("double")
+    def weigh(texts: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(texts), 256):
+            for t in texts.slice(at, 256).to_pylist():
+                found = features(t or "")
+                out.append(float(model[found].sum()) if len(found) else None)
+        return pa.array(out, pa.float64())
+
+    return weigh(text)
 
 
 def gumbel(doc_id: Column, text: Column) -> Column:
@@ -100,12 +105,10 @@ def gumbel(doc_id: Column, text: Column) -> Column:
 
 def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """docs with quality_score, the log weight, and draw_key, log weight and noise in fixed point. Null texts count as empty."""
-    docs = docs.drop("quality_score", "draw_key")
-    text = fresh(docs, "read_text")
-    rows = docs.withColumn(text, F.col("text").cast("string"))
-    with_score = rows.mapInArrow(lambda it: _scores(it, model, text), f"{fields(rows)}, quality_score double")
-    key = F.floor((F.col("quality_score") + gumbel(F.col("doc_id"), F.col(text))) * float(1 << 24)).cast("long")
-    return with_score.withColumn("draw_key", key).drop(text)
+    text = F.col("text").cast("string")
+    with_score = docs.drop("quality_score", "draw_key").withColumn("quality_score", log_weight(text, model))
+    key = F.floor((F.col("quality_score") + gumbel(F.col("doc_id"), text)) * float(1 << 24)).cast("long")
+    return with_score.withColumn("draw_key", key)
 
 
 def kth_largest(keys: DataFrame, k: int) -> int:

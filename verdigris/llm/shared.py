@@ -38,19 +38,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have: name, with underscores behind it as needed."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def fields(df: DataFrame) -> str:
-    """The schema of df as text, for the output of mapInArrow."""
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def named(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
