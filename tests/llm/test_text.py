@@ -77,6 +77,22 @@ def test_templates_fold_and_stay_in_the_sandbox():
             chat.parse(bad)
 
 
+def test_tags_trim_and_hold_strings():
+    show = lambda t, **env: chat.compiled(t)(env)[0]
+    assert show("a \n{%- if x -%}\n b {%- endif -%} \n c", x=1) == "abc"
+    assert show("a {{- x -}} b {{ x }} c", x="-") == "a-b - c"
+    assert show("{{ '}}' }}{{ \"%}\" ~ '{{' }}{% if x == '%}' %}y{% endif %}", x="%}") == "}}%}{{y"
+    for bad in ("{{ x", "{% if x", "{{ 'x }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.parse(bad)
+
+
+def test_chat_of_very_long_texts(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "</s>" * 100_000), (1, 1, "assistant", "\\[INST]é" * 100_000)], "conv_id long, turn long, role string, text string")
+    row = chat.formatted(turns).first()
+    assert chat.read_back(row.formatted) == [("user", "</s>" * 100_000), ("assistant", "\\[INST]é" * 100_000)]
+
+
 def test_chat_of_odd_turns(spark):
     turns = spark.createDataFrame([(1, 1, None, None, 0), (1, None, "user", "b", 0), (1, 0, "assistant", "a</s>", 0), (1, 0, "assistant", "a</s>", 0), (None, 3, "user", "", 0)], "conv_id long, turn long, role string, text string, formatted int")
     rows = {r.conv_id: r for r in chat.formatted(turns).collect()}

@@ -212,22 +212,32 @@ def _closure(tree: tuple) -> Callable[[dict], Any]:
     return lambda env: op(a(env), b(env))
 
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_STRING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+#: Tags; a string inside one may hold what would close it. A dash at an edge trims the text beyond it.
+_TAG = re.compile(rf"\{{\{{(-?)((?:{_STRING}|(?!-?\}}\}})[^'\"])*)(-?)\}}\}}|\{{%(-?)((?:{_STRING}|(?!-?%\}})[^'\"])*)(-?)%\}}|\{{#.*?#\}}", re.S)
 
 
 def parse(template: str) -> list[tuple]:
     """Statements: ("text", s), ("print", x), ("for", name, x, body), ("if", [(x, body)..]), ("set", name, x), ("generation", body)."""
-    marks, at = [], 0
+    marks, at, trim = [], 0, False
+
+    def plain(text: str, left: bool, right: bool) -> None:
+        if unclosed := re.search(r"\{\{|\{%", text):
+            raise TemplateError(f"a tag isn't closed: {text[unclosed.start() :][:40]!r}")
+        text = text.lstrip() if left else text
+        text = text.rstrip() if right else text
+        if text:
+            marks.append(("text", text))
+
     for m in _TAG.finditer(template):
-        if m.start() > at:
-            marks.append(("text", template[at : m.start()]))
-        if m[1] is not None:
-            marks.append(("print", _fold(_expression(m[1]))))
-        elif m[2] is not None:
-            marks.append(("tag", m[2].strip()))
+        plain(template[at : m.start()], trim, bool(m[1] or m[4]))
+        trim = bool(m[3] or m[6])
+        if m[2] is not None:
+            marks.append(("print", _fold(_expression(m[2]))))
+        elif m[5] is not None:
+            marks.append(("tag", m[5].strip()))
         at = m.end()
-    if at < len(template):
-        marks.append(("text", template[at:]))
+    plain(template[at:], trim, False)
     marks.reverse()
 
     def block(*ends: str) -> tuple[list[tuple], str]:
