@@ -204,3 +204,29 @@ def test_block_links_join_what_all_pairs_join():
     assert 20 < len(set(want.values())) < len(sets) - 10
     got = dict(near_copies.block_links(list(range(len(sets))), [np.array(sorted(s), np.uint64) for s in sets]))
     assert got == {i: t for i, t in want.items() if i != t}
+
+
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_large_groups_are_parted_with_the_same_result(spark, pivots):
+    """A third of all texts come from one page, some only by a chain of copies; limits part bands and blocks alike."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    page, texts = [word() for _ in range(150)], []
+    for k in range(60):
+        texts.append([word() if r.random() < k / 1500 else w for w in page])
+    link = page
+    for _ in range(25):  # each is near the one before, the last far from the first
+        link = [word() if i in r.sample(range(150), 2) else w for i, w in enumerate(link)]
+        texts.append(link)
+    for _ in range(12):
+        base = [word() for _ in range(80)]
+        texts += [base, [word() if i == 40 else w for i, w in enumerate(base)], [word() for _ in range(40)]]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set(near_copies.shingles(t).tolist()) for i, t in rows}
+    want = classes(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    want = {i: t for i, t in want.items() if list(want.values()).count(t) > 1}
+    assert max(list(want.values()).count(t) for t in want.values()) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.keep_id for x in near_copies.near_groups(docs, limit=8192, pivots=pivots).collect()}
+    assert got == want
