@@ -12,9 +12,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ CELLS = 1 << 20
 MEMORY = 200_000
 #: Characters beyond which a text is cut to pieces a list at a time.
 LONG_TEXT = 1 << 18
+#: Ids of a text that are Python objects at once when it is decoded or digested.
+IDS = 1 << 14
 
 
 def read_ranks(lines: list[str]) -> dict[bytes, int]:
@@ -92,13 +95,14 @@ class Codec:
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.digits = {rank: b"%d," % rank for rank in ranks.values()}
+        self.known: dict[str, bytes] = {}  # ids as the bytes of an int32 array: one object a piece
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
+        out = [b""] * len(pieces)
         rows = np.full((len(pieces), width), -1, np.int32)
-        for i, piece in enumerate(pieces):
-            rows[i, : len(piece)] = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows[np.arange(width) < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         which = np.arange(len(pieces))
         ranks = self.pairs.get(rows[:, :-1], rows[:, 1:])
         while len(which):
@@ -106,9 +110,10 @@ class Codec:
             least = ranks[np.arange(len(which)), best] if ranks.shape[1] else np.full(len(which), NONE)
             done = least == NONE
             if done.any():
-                for i in np.flatnonzero(done):
-                    row = rows[i]
-                    out[which[i]] = tuple(row[row >= 0].tolist())
+                held = rows[done] >= 0
+                ids, ends = rows[done][held].tobytes(), np.cumsum(4 * held.sum(axis=1)).tolist()
+                for i, a, b in zip(which[done].tolist(), [0, *ends[:-1]], ends, strict=True):
+                    out[i] = ids[a:b]
                 rows, ranks, which, best, least = rows[~done], ranks[~done], which[~done], best[~done], least[~done]
                 if not len(which):
                     break
@@ -123,7 +128,7 @@ class Codec:
                     ranks[n, place] = self.pairs.get(rows[n, place], rows[n, place + 1])
         return out
 
-    def _long(self, piece: bytes) -> tuple[int, ...]:
+    def _long(self, piece: bytes) -> bytes:
         """The same merges for a piece beyond the matrices, by a heap of pairs over a linked list."""
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
@@ -155,7 +160,7 @@ class Codec:
         while i >= 0:
             out.append(ids[i])
             i = after[i]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't known yet, by length."""
@@ -164,7 +169,7 @@ class Codec:
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.known[piece] = (whole,)
+                self.known[piece] = whole.to_bytes(4, sys.byteorder)
                 continue
             width = next((b for b in BUCKETS if len(raw) <= b), 0)
             by.setdefault(width, []).append((piece, raw))
@@ -189,7 +194,7 @@ class Codec:
         if missing := set().union(*lists).difference(self.known):
             self.learn(missing)
         known = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, some)), np.int32) for some in lists]
+        return [np.frombuffer(b"".join(map(known, some)), np.int32) for some in lists]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         short = [i for i, text in enumerate(texts) if len(text) <= LONG_TEXT]
@@ -204,7 +209,15 @@ class Codec:
         return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join(b"".join(map(self.tokens.__getitem__, ids[at : at + IDS].tolist())) for at in range(0, len(ids), IDS))
+
+    def digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids joined by commas, in lowercase hex."""
+        told = hashlib.sha256()
+        for at in range(0, len(ids), IDS):
+            listed = b"".join(map(self.digits.__getitem__, ids[at : at + IDS].tolist()))
+            told.update(listed if at + IDS < len(ids) else listed[:-1])
+        return told.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -253,18 +266,18 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     return coded.mapInArrow(lambda it: decode_batches(it, path, pattern), f"{fields}, decoded binary")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    codec = _codec(path, pattern)
     for batch in batches:
-        rows = list(zip(batch.column("token_ids"), batch.column("decoded").to_pylist(), strict=True))
-        ids = [c.values.to_numpy() for c, _ in rows]
-        names = [hashlib.sha256(",".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "ids_sha256": names, "decoded_sha256": [hashlib.sha256(d).hexdigest() for _, d in rows]})
+        ids = [c.values.to_numpy() for c in batch.column("token_ids")]
+        decoded = [hashlib.sha256(c.as_buffer()).hexdigest() for c in batch.column("decoded")]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "ids_sha256": list(map(codec.digest, ids)), "decoded_sha256": decoded})
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass over the batches."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    through = lambda it: _digests(decode_batches(encode_batches(it, "text", path, pattern), path, pattern))
+    through = lambda it: _digests(decode_batches(encode_batches(it, "text", path, pattern), path, pattern), path, pattern)
     return rows.mapInArrow(through, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
