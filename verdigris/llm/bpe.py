@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import sliced
+from verdigris.llm.shared import mapped, sliced
 
 NONE = np.int32(2**31 - 1)
 #: Bounds of piece lengths in bytes for the matrices; longer pieces take the heap.
@@ -256,14 +256,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
     """
     docs = docs.drop("token_ids")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda it: encode_batches(it, text_col, path, pattern), f"{fields}, token_ids array<int>")
+    return mapped(docs, lambda it: encode_batches(it, text_col, path, pattern), f"{fields}, token_ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """coded with decoded, the bytes of its token_ids."""
     coded = coded.drop("decoded")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in coded.schema)
-    return coded.mapInArrow(lambda it: decode_batches(it, path, pattern), f"{fields}, decoded binary")
+    return mapped(coded, lambda it: decode_batches(it, path, pattern), f"{fields}, decoded binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode and digest in one pass over the batches."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     through = lambda it: _digests(decode_batches(encode_batches(it, "text", path, pattern), path, pattern), path, pattern)
-    return rows.mapInArrow(through, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(rows, through, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import named, sliced, written
+from verdigris.llm.shared import mapped, named, sliced, written
 
 #: Bytes that one table holds; a task has one table at a time.
 TABLE_BYTES = 48 << 20
@@ -140,7 +140,7 @@ def grace(held: DataFrame, budget: int = TABLE_BYTES, bits: int | None = None) -
         some = not large.isEmpty()
         fit = keyed.join(large, "bucket", "left_anti") if some else keyed
         fit = fit.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "local_id", "text", "h")
-        found = fit.mapInArrow(_classes, "local_id long, class_id long")
+        found = mapped(fit, _classes, "local_id long, class_id long")
         out = found if out is None else out.unionByName(found)
         if not some:
             return out
@@ -151,7 +151,7 @@ def grace(held: DataFrame, budget: int = TABLE_BYTES, bits: int | None = None) -
 def _classified(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
     """(row_id, place, local_id, sha, keep_id, group_size, kept): place is the number of the row, the same in every reading of the result."""
     rows = docs.select(named(id_col).cast("long").alias("row_id"), named(text_col).cast("string").alias("text"))
-    local = written(rows.mapInArrow(lambda it: _combine(it, budget), _LOCAL), "local_texts")
+    local = written(mapped(rows, lambda it: _combine(it, budget), _LOCAL), "local_texts")
     classes = grace(local.where("text IS NOT NULL").select("local_id", "text", "h", "takes"), budget)
     # What a class holds is summed by representative first: a row for each, not each document.
     stays = F.struct(F.coalesce("row_id", F.lit(-(2**63))), -F.col("place"))

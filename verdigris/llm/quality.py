@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import named, sliced, written
+from verdigris.llm.shared import lean_batches, mapped, named, sliced, written
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
@@ -73,7 +73,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray | None:
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = rows.join(F.broadcast(sample.where("good")), F.col("doc_id") == F.col("label_id"), "left").select("text", "good")
-    sums = texts.mapInArrow(_counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = mapped(texts, _counts, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in sums.collect():
         raw[row.bucket], target[row.bucket] = row.raw, row.target
@@ -105,6 +105,7 @@ def gumbel(doc_id: Column, text: Column) -> Column:
 
 def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """docs with quality_score, the log weight, and draw_key, log weight and noise in fixed point. Null texts count as empty."""
+    lean_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     with_score = docs.drop("quality_score", "draw_key").withColumn("quality_score", log_weight(text, model))
     key = F.floor((F.col("quality_score") + gumbel(F.col("doc_id"), text)) * float(1 << 24)).cast("long")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes after which a batch for Python is closed; a row is never cut.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
@@ -38,6 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, per_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow() over batches of bounded bytes, see lean_batches()."""
+    lean_batches(df.sparkSession)
+    return df.mapInArrow(per_batches, schema)
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that go to Python, unless the session has a bound: 10,000 long texts would go at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def named(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
