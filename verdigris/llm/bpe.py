@@ -30,8 +30,8 @@ NONE = np.int32(2**31 - 1)
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Cells of one matrix.
 CELLS = 1 << 20
-#: Distinct pieces that a worker remembers before it starts afresh.
-MEMORY = 200_000
+#: Bytes of distinct pieces that a worker remembers before it starts afresh; what one takes beside its text and ids; the longest that is remembered past its slice.
+MEMORY, PIECE, LONG_PIECE = 48 << 20, 200, 64
 #: Characters beyond which a text is cut to pieces a list at a time.
 LONG_TEXT = 1 << 18
 #: Ids of a text that are Python objects at once when it is decoded or digested.
@@ -97,6 +97,7 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.digits = {rank: b"%d," % rank for rank in ranks.values()}
         self.known: dict[str, bytes] = {}  # ids as the bytes of an int32 array: one object a piece
+        self.held = 0  # bytes of known, about
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         out = [b""] * len(pieces)
@@ -188,13 +189,21 @@ class Codec:
             yield some
 
     def _ids(self, lists: list[list[str]]) -> list[np.ndarray]:
-        """Ids of each list of pieces; what isn't known yet is learnt for all lists at once."""
-        if len(self.known) > MEMORY:
+        """Ids of each list of pieces; what isn't known yet is learnt for all lists at once, and long pieces are forgotten after."""
+        if self.held > MEMORY:
             self.known.clear()
-        if missing := set().union(*lists).difference(self.known):
+            self.held = 0
+        missing = set().union(*lists).difference(self.known)
+        if missing:
             self.learn(missing)
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, some)), np.int32) for some in lists]
+        out = [np.frombuffer(b"".join(map(known, some)), np.int32) for some in lists]
+        for piece in missing:
+            if len(piece) > LONG_PIECE:
+                del self.known[piece]
+            else:
+                self.held += PIECE + 2 * len(piece)
+        return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         short = [i for i, text in enumerate(texts) if len(text) <= LONG_TEXT]

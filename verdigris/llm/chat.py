@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.llm.shared import mapped
+
 #: Strings that only the template may write. None begins or ends with a part of another.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 TEMPLATE = (
@@ -406,7 +408,7 @@ def formatted(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(lambda it: _format(it, template), "conv_id long, formatted string, loss array<struct<start: int, end: int>>")
+    return mapped(rows, lambda it: _format(it, template), "conv_id long, formatted string, loss array<struct<start: int, end: int>>")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +425,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(texts: DataFrame) -> DataFrame:
     """What is read back from formatted(): counts and digests of turns and of text to learn from."""
-    return texts.mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(texts, _read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import named, sliced, spread_join, written
+from verdigris.llm.shared import mapped, named, sliced, spread_join, written
 
 #: Bytes of a repeat, and of an anchor in it.
 LENGTH, GRAM = 200, 64
@@ -323,7 +323,7 @@ def _levels(texts: DataFrame, length: int, gram: int, hot: int) -> Iterator[tupl
     source, first = texts.select("doc_id", "h", F.lit(0).cast("long").alias("offset"), "text"), True
     while True:
         size, with_bytes = gram, not first
-        records = source.mapInArrow(lambda it, size=size, with_bytes=with_bytes: _records(it, length, size, with_bytes), RECORD + ", bytes binary" * with_bytes)
+        records = mapped(source, lambda it, size=size, with_bytes=with_bytes: _records(it, length, size, with_bytes), RECORD + ", bytes binary" * with_bytes)
         again, whole, few, rest = _level(records, texts if first else None, length, hot)
         yield again, whole, few
         if gram == length:
@@ -350,7 +350,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     parts = []
     for _, whole, few in _levels(texts, length, gram, hot):
         parts.append(whole.select("doc_id", "h", F.col("a").alias("start"), (F.col("a") + F.col("run") + length).alias("end")))
-        parts.append(few.mapInArrow(lambda it: _edges(it, length, _spans, _SPAN), SPAN))
+        parts.append(mapped(few, lambda it: _edges(it, length, _spans, _SPAN), SPAN))
     return _union(parts)
 
 
@@ -372,7 +372,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for again, whole, few in _levels(_rows(docs, id_col, text_col), length, gram, hot):
         size = F.col("run") + length
         parts.append(whole.select(F.concat_ws(":", *KIND, F.lit(0), size).alias("repeat"), size.alias("length"), "doc_id", "h", F.col("a").alias("start")))
-        groups = few.mapInArrow(lambda it: _edges(it, length, _members, _GROUP), GROUP)
+        groups = mapped(few, lambda it: _edges(it, length, _members, _GROUP), GROUP)
         met = groups.join(again.select(*KIND, "doc_id", "h", "a"), KIND)
         parts.append(met.select("repeat", "length", "doc_id", "h", (F.col("a") + F.col("place")).alias("start")))
     return _union(parts).groupBy("repeat", "length", "doc_id", "h", "start").agg(F.count("*").alias("n")).drop("n")
@@ -404,7 +404,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = repeated_spans(texts, length, gram, hot)
     by_doc = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
     rows = texts.join(by_doc, texts["doc_id"].eqNullSafe(by_doc["_id"]) & (texts["h"] == by_doc["_h"]), "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(_cut, "doc_id long, text binary, removed array<struct<start: long, end: long>>, kept binary")
+    return mapped(rows, _cut, "doc_id long, text binary, removed array<struct<start: long, end: long>>, kept binary")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,4 +417,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove repeated passages from all documents."""
     cut = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return cut.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mapped(cut, _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

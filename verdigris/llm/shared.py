@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,13 +46,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, per_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow() over batches of bounded bytes, see lean_batches()."""
+    """df.mapInArrow() over batches of bounded bytes, see lean_batches(), by workers that return their memory after each task."""
     lean_batches(df.sparkSession)
-    return df.mapInArrow(per_batches, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from per_batches(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their task, and the next stage's heap stands beside theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):  # another C library has no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the batches that go to Python, unless the session has a bound: 10,000 long texts would go at once."""
+    """Bound the bytes of the batches that go to Python, unless the session has a bound: 10,000 long texts would go at once.
+
+    Plans are run after the call that makes them, so the option stays set; every
+    operator of this folder calls this before it uses Python.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import components, sliced, written
+from verdigris.llm.shared import components, mapped, sliced, written
 
 #: Words in a shingle; links at this many differing bits or fewer.
 WORDS, RADIUS = 3, 2
@@ -61,7 +61,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, mark): a row for each row of docs; mark holds the fingerprint's 64 bits as a long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, mark long")
+    return mapped(rows, lambda it: _fingerprints(it, words), "doc_id long, mark long")
 
 
 class BKTree:
@@ -180,7 +180,7 @@ def mark_links(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     shards = [F.struct(F.lit(i).cast("byte").alias("which"), F.shiftleft(word[a], 16).bitwiseOR(word[b]).alias("key")) for i, (a, b) in enumerate(combinations(range(4), 2))]
     dealt = marks.select(F.inline(F.array(*shards)), "mark").select("which", "key", "mark")
     dealt = dealt.repartition("which", "key").sortWithinPartitions("which", "key", "mark")
-    return dealt.mapInArrow(lambda it: _links(it, radius), "a long, b long")
+    return mapped(dealt, lambda it: _links(it, radius), "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

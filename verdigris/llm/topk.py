@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import written
+from verdigris.llm.shared import mapped, written
 
 #: Rows of a block and queries of a group: the memory of one task, whatever the table's size.
 BLOCK, GROUP = 8192, 512
@@ -207,7 +207,7 @@ def top_inner_products(rows: DataFrame, queries: DataFrame, k: int, block: int =
     asked = written(queries.withColumn("grp", F.pmod(F.xxhash64("vec_id", "q"), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(_group, "grp int, query_ids binary, dims int, weights binary"), "asked")
     pairs = index.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(asked, "grp")
     dealt = pairs.repartition(max(1, blocks * groups // PAIRS), "block", "grp").select("ids", "low", "bits", "slices", "query_ids", "dims", "weights")
-    best = dealt.mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long, over binary")
+    best = mapped(dealt, lambda it: _search(it, k), "query_id long, vec_id long, score long, over binary")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("over"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
