@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import importlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.plans.fixtures import Tables, oracle
+from verdigris.sources.tables import shared_folder
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("records", "corpus", "merges", "hive", "reports", "texts", "money", "streams", "sources")
+_MODULES = ("records", "corpus", "merges", "hive", "reports", "texts", "money", "streams", "sources", "flows")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -31,10 +30,8 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def scratch(t: Tables) -> str:
-    """A new folder in the cluster's shared one; only without that, as in tests, a temporary one."""
-    sc = t.spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared one."""
+    return shared_folder(t.spark, "streams")
 
 
 def _load() -> None:
