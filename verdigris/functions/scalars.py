@@ -129,3 +129,41 @@ def invoked_programs(logs: Column) -> Column:
 def add_days(then: Column, days: Column | int) -> Column:
     """An epoch second so many days on."""
     return then + 86400 * (days if isinstance(days, Column) else F.lit(days))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON of any depth in one form: keys of all objects in the order of their characters, no blanks, escapes only where they must be; null for what isn't JSON.
+
+    The variant type holds objects by sorted keys and strings by their characters.
+    Numbers of up to 38 digits keep them without zeros at the end; others are doubles.
+    An object that names a key twice is no JSON here.
+    """
+    return F.to_json(F.try_parse_json(text))
+
+
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def base58_thresholds(size: int) -> list[str]:
+    """Numerals of 256 ** k for k up to size, without leading ones: where the length in bytes rises."""
+
+    def numeral(n: int) -> str:
+        return (numeral(n // 58) if n >= 58 else "") + BASE58[n % 58]
+
+    return [numeral(256**k) for k in range(size + 1)]
+
+
+def base58_decodes_to(value: Column, size: int) -> Column:
+    """Whether a text of base58 digits stands for exactly so many bytes.
+
+    A leading one is a zero byte; the rest is a number. Its bytes follow from
+    comparing its numeral with those of the powers of 256, by length and then by
+    digits, which are in the order of their characters: no number is computed.
+    """
+    rest = F.regexp_replace(value, "^1+", "")
+    zeros = F.length(value) - F.length(rest)
+    steps = F.array(*map(F.lit, base58_thresholds(size)))
+    least, over = F.get(steps, F.lit(size - 1) - zeros), F.get(steps, F.lit(size) - zeros)
+    before = lambda a, b: (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a < b))
+    sized = F.when(zeros == size, rest == "").when(zeros > size, False).otherwise(~before(rest, least) & before(rest, over))
+    return F.coalesce(sized & ~value.rlike(f"[^{BASE58}]"), F.lit(False))

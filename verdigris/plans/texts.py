@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.functions.scalars import base58_thresholds
 from verdigris.operators import texts
 from verdigris.plans.registry import query
 
@@ -81,9 +82,9 @@ def _(t):
     return texts.verbatim_span_guard(t.documents, t.benchmark)
 
 
-@query("holdout_disjoint", f"WITH {SPANS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN n ON n.s = d.s WHERE item_id % 2 = 0)")
+@query("holdout_disjoint", f"WITH {SPANS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN n ON n.s = d.s)")
 def _(t):
-    return texts.holdout_disjoint(t.documents, t.benchmark.where("item_id % 2 = 0")).select("doc_id")
+    return texts.holdout_disjoint(t.documents, t.benchmark).select("doc_id")
 
 
 @query("brief_sample")
@@ -93,18 +94,28 @@ def _(t):
 
 LINES = "l AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM <documents>), unnest(a) WITH ORDINALITY u(line, i))"
 Q = lambda text: chr(39) + text.replace(chr(39), 2 * chr(39)) + chr(39)
-B58 = f"(^|[^{texts.BASE58[1:-1]}]){texts.BASE58}{{80,90}}([^{texts.BASE58[1:-1]}]|$)"
+_STEPS = str(base58_thresholds(64))
+_BEFORE = "(length({0}) < length({1}) OR length({0}) = length({1}) AND {0} < {1})"
+
+
+def key_sql(value: str) -> str:
+    """Whether a value is 80 to 90 base58 digits that stand for 64 bytes."""
+    rest = f"regexp_replace({value}, '^1+', '')"
+    zeros = f"(length({value}) - length({rest}))"
+    return f"(regexp_matches({value}, '^{texts.BASE58}{{80,90}}$') AND CASE WHEN {zeros} = 64 THEN {rest} = '' WHEN {zeros} > 64 THEN false ELSE NOT {_BEFORE.format(rest, f'{_STEPS}[64 - {zeros}]')} AND {_BEFORE.format(rest, f'{_STEPS}[65 - {zeros}]')} END)"
+
+
 HITS = (
     f"{LINES}, p AS (SELECT doc_id, line_no, lower(unnest(regexp_extract_all(line, {Q(texts.ASSIGNMENT)}, 1))) AS name, unnest(regexp_extract_all(line, {Q(texts.ASSIGNMENT)}, 2)) AS q FROM l), "
     "v AS (SELECT doc_id, line_no, name, CASE WHEN q[1] IN (chr(34), chr(39)) THEN substr(q, 2, length(q) - 2) ELSE q END AS v FROM p), "
-    f"k AS (SELECT doc_id, line_no, name, CASE WHEN regexp_matches(v, {Q(texts.PHRASE)}) THEN 'phrase' WHEN regexp_matches(v, '^{texts.BASE58}{{80,90}}$') THEN 'base58' "
+    f"k AS (SELECT doc_id, line_no, name, CASE WHEN regexp_matches(v, {Q(texts.PHRASE)}) THEN 'phrase' WHEN {key_sql('v')} THEN 'base58' "
     f"WHEN NOT regexp_matches(v, {Q(texts.PLACEHOLDER)}) AND regexp_matches(name, '{texts.SECRET_NAME}') AND regexp_matches(v, '^[0-9a-fA-F]{{40,}}$') THEN 'hex' "
     f"WHEN regexp_matches(name, '{texts.PATH_NAME}') AND ends_with(v, '.json') THEN 'path' "
     f"WHEN NOT regexp_matches(v, {Q(texts.PLACEHOLDER)}) AND (regexp_matches(name, '{texts.KEY_NAME}') OR regexp_matches(name, '{texts.SECRET_NAME}') AND length(v) >= 16) THEN 'named' END AS kind FROM v), "
     f"y AS (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {Q(texts.BYTES)}) AS ms, string_split_regex(text, {Q(texts.BYTES)}) AS ps FROM <documents> WHERE contains(text, '['))), "
     "z AS (SELECT doc_id, array_to_string(ps[1:i], '') || array_to_string(ms[1:i - 1], '') AS pre, regexp_extract_all(ms[i], '[0-9]+') AS nums FROM y), "
     "h AS (SELECT doc_id, line_no, kind, name FROM k WHERE kind IS NOT NULL UNION "
-    f"SELECT doc_id, line_no, 'base58', '' FROM l WHERE regexp_matches(line, {Q(B58)}) AND (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM k WHERE kind = 'base58') UNION "
+    f"SELECT doc_id, line_no, 'base58', '' FROM l WHERE len(list_filter(regexp_extract_all(line, '{texts.BASE58}{{80,}}'), lambda x: {key_sql('x')})) > 0 AND (doc_id, line_no) NOT IN (SELECT (doc_id, line_no) FROM k WHERE kind = 'base58') UNION "
     "SELECT doc_id, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER), 'bytes', '' FROM z WHERE len(nums) IN (32, 64) AND len(list_filter(nums, lambda x: CAST(x AS INTEGER) > 255)) = 0 UNION "
     f"SELECT doc_id, 1, 'phrase', '' FROM <documents> WHERE regexp_matches(text, {Q(texts.PHRASE)}))"
 )
@@ -207,9 +218,9 @@ def _(t):
     return texts.clean_export(t.records)
 
 
-@query("record_mint", "WITH v AS (SELECT class_no, bool_or(color = 'RED') AS proven FROM <evals> WHERE condition = 'bare' AND class_no % 2 = 0 GROUP BY 1) SELECT d.doc_id % 9 AS class_no, 'static' AS method, sha256(text) AS snippet_sha FROM <documents> d JOIN v ON v.class_no = d.doc_id % 9 WHERE proven")
+@query("record_mint", "WITH v AS (SELECT class_no, bool_or(color = 'RED') AS proven FROM <evals> WHERE condition = 'bare' GROUP BY 1) SELECT d.doc_id % 9 AS class_no, 'static' AS method, sha256(text) AS snippet_sha FROM <documents> d JOIN v ON v.class_no = d.doc_id % 9 WHERE proven")
 def _(t):
-    verdicts = t.evals.where("condition = 'bare' AND class_no % 2 = 0").groupBy("class_no").agg(F.bool_or(F.col("color") == "RED").alias("proven")).withColumn("method", F.lit("static"))
+    verdicts = t.evals.where("condition = 'bare'").groupBy("class_no").agg(F.bool_or(F.col("color") == "RED").alias("proven")).withColumn("method", F.lit("static"))
     return texts.record_mint(verdicts, t.documents.select((F.col("doc_id") % 9).alias("class_no"), F.col("text").alias("snippet")))
 
 
