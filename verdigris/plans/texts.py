@@ -53,6 +53,20 @@ def _(t):
     return texts.greedy_admission(rows).select("ord", "admitted", F.round(F.col("novelty") * 1e6).cast("long").alias("micro"))
 
 
+RESPONSE = (
+    f"WITH c AS (SELECT *, rec_no % 13 > 0 AS ok, sha256(class || '|' || severity || '|' || {NORM.format('snippet')}) AS fp, {TOK.format('snippet')} AS t FROM <records>), a AS (SELECT *, red AND green AND ok AND rec_no = min(rec_no) FILTER (red AND green AND ok) OVER (PARTITION BY fp) AS admitted FROM c), "
+    "x AS (SELECT p.rec_no, max(len(list_intersect(p.t, q.t)) / (len(p.t) + len(q.t) - len(list_intersect(p.t, q.t)))) AS best FROM a p JOIN a q ON p.admitted AND q.admitted AND q.rec_no < p.rec_no GROUP BY 1), "
+    f"w AS (SELECT source_repo, admitted, CASE WHEN admitted THEN 0.55 * (1 - coalesce(best, 0)) + 0.30 * {CW} + 0.15 * CASE WHEN corroboration <= 1 THEN 0 ELSE least(1.0, (corroboration - 1) / 5.0) END ELSE 0 END AS weight FROM a LEFT JOIN x ON x.rec_no = a.rec_no) "
+    "SELECT source_repo AS response, count(*) AS candidates, count(*) FILTER (admitted) AS accepted, CAST(round(sum(weight) * 1e6) AS BIGINT) AS micro FROM w GROUP BY 1"
+)
+
+
+@query("response_scores", RESPONSE)
+def _(t):
+    rows = t.records.select(F.col("source_repo").alias("response"), F.col("rec_no").alias("ord"), "class", "corroboration", "red", "green", (F.col("rec_no") % 13 > 0).alias("provenance_ok"), F.col("snippet").alias("text"), texts.fingerprint(F.col("class"), F.col("severity"), F.col("snippet")).alias("fingerprint"))
+    return texts.response_scores(rows).select("response", "candidates", "accepted", F.round(F.col("score") * 1e6).cast("long").alias("micro"))
+
+
 @query("provenance_check", "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN text ELSE '' END AS evidence, CASE WHEN doc_id % 5 > 0 THEN source ELSE '' END AS ref, CASE WHEN doc_id % 2 = 0 THEN ' the ' ELSE '' END AS target, CASE WHEN doc_id % 7 = 0 THEN sha256('x') WHEN doc_id % 3 = 0 THEN sha256(text) ELSE '' END AS digest FROM <documents>) SELECT doc_id, (ref = '' AND evidence = '') OR ((target = '' OR contains(evidence, target)) AND (digest = '' OR sha256(evidence) = digest)) AS provenance_ok FROM p")
 def _(t):
     some = F.col("doc_id") % 5 > 0
