@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import base58_thresholds
-from verdigris.operators import texts
+from verdigris.operators import leaks, texts
 from verdigris.plans.registry import query
 
 NORM = "array_to_string(list_filter(list_transform(string_split_regex({0}, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(//|#|\\*)')), chr(10))"
@@ -96,6 +96,36 @@ def _(t):
     return texts.verbatim_span_guard(t.documents, t.benchmark)
 
 
+@query("verbatim_spans", f"WITH n AS (SELECT item_id, i, substr(text, i, 40) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) - 38)) AS i FROM <benchmark>)), d AS (SELECT doc_id, i, substr(text, i, 40) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 38)) AS i FROM <documents>)), m AS (SELECT doc_id, item_id, d.i AS a, n.i AS b FROM d JOIN n ON n.s = d.s), g AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS run FROM m) SELECT doc_id, item_id, CAST(min(a) - 1 AS INTEGER) AS doc_at, CAST(min(b) - 1 AS INTEGER) AS item_at, CAST(count(*) + 39 AS INTEGER) AS length FROM g GROUP BY doc_id, item_id, a - b, run")
+def _(t):
+    return leaks.verbatim_spans(t.documents, t.benchmark)
+
+
+#: Two thirds are wild; evidence is a piece of the document's text, of 30 to 79 characters, and the code holds the text, a part of it or neither.
+ROOM = """p AS (SELECT doc_id, text, CASE WHEN doc_id % 3 < 2 THEN 'wild' ELSE 'owned' END AS origin, doc_id % 7 <> 3 AS red, doc_id % 11 <> 4 AS green,
+ CASE doc_id % 5 WHEN 0 THEN source || '/' || lang || '@' || substr(sha256(text), 1, 40) || ':a/b.py' WHEN 1 THEN source || '/' || lang || '@main:x' WHEN 2 THEN '' ELSE source || '/' || lang || '@' || substr(sha256(text), 1, 40) || ':c' END AS ref,
+ substr(text, 5, CAST(30 + doc_id % 50 AS BIGINT)) AS evidence FROM <documents>),
+q AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN '  ' || evidence || ' ' WHEN 1 THEN 'moved' END AS fetched, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 8 = 0 THEN sha256('  ' || evidence || ' ') ELSE sha256(evidence) END AS sha,
+ CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 60) ELSE 'x' END AS vulnerable, CASE WHEN doc_id % 9 = 2 THEN text ELSE 'y' END AS fixed FROM p),
+k AS (SELECT *, regexp_replace(coalesce(fetched, evidence), '^\\s+|\\s+$', '', 'g') AS needle FROM q)"""
+
+
+@query("cleanroom_issues", f"WITH {ROOM} SELECT doc_id AS rec_no, concat_ws(',', CASE WHEN doc_id % 10 = 0 THEN 'evidence-leak' END, CASE WHEN NOT (red AND green) THEN 'not-proven' END, CASE WHEN origin = 'wild' AND doc_id % 5 IN (1, 2) THEN 'bad-sourceref' END, CASE WHEN origin = 'wild' AND sha = '' THEN 'no-hash' END, CASE WHEN origin = 'wild' AND fetched IS NOT NULL AND sha <> '' AND sha256(fetched) <> sha THEN 'dead-pointer' END, CASE WHEN length(needle) >= 40 AND (contains(vulnerable, needle) OR contains(fixed, needle)) THEN 'verbatim-span' END) AS issues FROM k")
+def _(t):
+    k = F.col("doc_id")
+    pinned = lambda tail: F.concat("source", F.lit("/"), "lang", F.lit("@"), F.substring(F.sha2("text", 256), 1, 40), F.lit(tail))
+    evidence = F.substring(F.col("text"), F.lit(5), (30 + k % 50).cast("int"))
+    fetched = F.when(k % 4 == 0, F.concat(F.lit("  "), evidence, F.lit(" "))).when(k % 4 == 1, "moved")
+    rows = t.documents.select(
+        k.alias("rec_no"), F.when(k % 3 < 2, "wild").otherwise("owned").alias("origin"), (k % 7 != 3).alias("red"), (k % 11 != 4).alias("green"), evidence.alias("evidence"), fetched.alias("fetched"),
+        F.when(k % 5 == 0, pinned(":a/b.py")).when(k % 5 == 1, F.concat("source", F.lit("/"), "lang", F.lit("@main:x"))).when(k % 5 == 2, "").otherwise(pinned(":c")).alias("source_ref"),
+        F.when(k % 6 == 0, "").when(k % 8 == 0, F.sha2(F.concat(F.lit("  "), evidence, F.lit(" ")), 256)).otherwise(F.sha2(evidence, 256)).alias("evidence_sha256"),
+        F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.substring("text", 1, 60)).otherwise("x").alias("vulnerable"), F.when(k % 9 == 2, F.col("text")).otherwise("y").alias("fixed"),
+        F.when(k % 10 == 0, '{"provenance":{"evidence":"x"}}').otherwise('{"provenance":{}}').alias("payload"),
+    )
+    return leaks.cleanroom_issues(rows).select("rec_no", F.array_join("issues", ",").alias("issues"))
+
+
 @query("holdout_disjoint", f"WITH {SPANS} SELECT doc_id FROM <documents> WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN n ON n.s = d.s)")
 def _(t):
     return texts.holdout_disjoint(t.documents, t.benchmark).select("doc_id")
