@@ -179,14 +179,6 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == sorted(map(tuple, streams.rate_limit_batch(rows, "user_id", 2, 60.0).collect()))
 
 
-def test_delta_upsert_is_the_same_when_a_batch_comes_again(spark, tmp_path):
-    sink = streams.delta_upsert(str(tmp_path), lambda held, new: new if held is None else held.unionByName(new))
-    a, b = spark.range(3).toDF("x"), spark.range(5, 7).toDF("x")
-    for batch, i in ((a, 0), (b, 1), (b, 1)):
-        sink(batch, i)
-    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/version=1").collect()) == [0, 1, 2, 5, 6]
-
-
 def test_files(spark, tmp_path):
     tree = tmp_path / "tree"
     (tree / "node_modules").mkdir(parents=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import ledgers
 from verdigris.plans.registry import query, scratch
-from verdigris.streaming import streams
+from verdigris.streaming import sinks, stateful, streams
 
 
 def entries(t):  # noqa: ANN001
@@ -70,18 +70,17 @@ def _(t):
         rows = batch if held is None else held.unionByName(batch)
         return rows.groupBy("trap_id").agg(F.max("captured_at").alias("captured_at"), F.sum("n").alias("n"))
 
-    streams.run_once(docs, out, each=streams.delta_upsert(f"{out}/table", merge))
-    versions = t.spark.read.option("basePath", f"{out}/table").parquet(f"{out}/table")
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).select("trap_id", "captured_at", "n")
+    table = sinks.BucketTable(t.spark, f"{out}/table", "trap_id")
+    streams.run_once(docs, out, each=lambda batch, batch_id: table.upsert(batch, batch_id, merge))
+    return table.read().select("trap_id", "captured_at", "n")
 
 
 @query("stream_usage_meter", "SELECT source, count(*) AS records_served FROM <documents> GROUP BY 1")
 def _(t):
     out = scratch(t)
     docs = streams.table_stream(t.spark, t.sf_dir, "documents", 4).select("doc_id", "source")
-    streams.run_once(docs, out, each=streams.usage_meter(out, "source"))
-    return t.spark.read.option("basePath", f"{out}/ledger").parquet(f"{out}/ledger").groupBy("source").agg(F.sum("records_served").alias("records_served"))
+    streams.run_once(docs, out, each=sinks.usage_meter(f"{out}/meter", "source"))
+    return sinks.Together(t.spark, f"{out}/meter").read("ledger").groupBy("source").agg(F.sum("records_served").alias("records_served"))
 
 
 def hits(t):  # noqa: ANN001
@@ -178,3 +177,74 @@ def _(t):
     scan = texts.rule_scan(streams.table_stream(t.spark, t.sf_dir, "documents", 4).select("doc_id", "text"), rules)
     streams.run_once(scan.select("doc_id", "result"), out)
     return t.spark.read.parquet(f"{out}/data")
+
+
+@query("stream_numbered_items", "WITH f AS (SELECT user_id, event_type || props AS item, min(event_id) AS first FROM <events> GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS seq FROM f) SELECT e.user_id, e.event_id, n.seq, e.event_id <> n.first AS again FROM <events> e JOIN n ON n.user_id = e.user_id AND n.item = e.event_type || e.props")
+def _(t):
+    out = scratch(t)
+    events = streams.table_stream(t.spark, t.sf_dir, "events").select("user_id", "event_id", F.concat("event_type", "props").alias("item"))
+    with stateful.keyed_state(t.spark):
+        streams.run_once(stateful.numbered(events, "user_id"), out)
+    return t.spark.read.parquet(f"{out}/data")
+
+
+#: A poll for each user and day: its events, newest first, and the type of the newest as authority. Days of four events can't be read, those of three don't tell the authority.
+POLLS = """p AS (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS poll, list(CAST(event_id AS VARCHAR) ORDER BY event_id DESC) AS ids, arg_max(event_type, event_id) AS authority, count(*) AS n FROM <events> GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER w AS place, CASE WHEN n = 3 THEN NULL ELSE authority END AS told FROM p WHERE n <> 4 WINDOW w AS (PARTITION BY user_id ORDER BY poll)),
+h AS (SELECT *, last_value(told IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY poll ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM g)"""
+
+
+def daily_polls(t):  # noqa: ANN001, ANN201
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+    polls = t.events.groupBy("user_id", day.alias("poll")).agg(F.sort_array(F.collect_list("event_id"), asc=False).cast("array<string>").alias("ids"), F.max_by("event_type", "event_id").alias("authority"))
+    n = F.size("ids")
+    return polls.withColumns({"error": F.when(n == 4, "unreachable"), "probe_error": F.when(n == 3, "no account")})
+
+
+@query("stream_watch_events", f"WITH {POLLS}, e AS (SELECT user_id, poll, 'poll_error' AS kind, NULL AS count, NULL AS ids, NULL AS before, NULL AS after, 'unreachable' AS message FROM p WHERE n = 4 UNION ALL SELECT user_id, poll, 'poll_error', NULL, NULL, NULL, NULL, 'authority probe: no account' FROM g WHERE n = 3 UNION ALL SELECT user_id, poll, 'watch_started', NULL, ids[1:1], NULL, told, NULL FROM g WHERE place = 1 UNION ALL SELECT user_id, poll, 'new_activity', n, ids[1:10], NULL, NULL, NULL FROM g WHERE place > 1 UNION ALL SELECT user_id, poll, 'authority_changed', NULL, NULL, held, told, NULL FROM h WHERE place > 1 AND told IS NOT NULL AND told IS DISTINCT FROM held) SELECT user_id, poll, kind, count, array_to_string(ids, ',') AS ids, before, after, message FROM e")
+def _(t):
+    out = scratch(t)
+    polls = daily_polls(t)
+    for first, last in ((0, 9), (10, 19), (20, 400)):  # the polls come in three files or more, a batch each
+        polls.where(F.col("poll").between(first, last)).coalesce(1).write.mode("append").parquet(f"{out}/polls")
+    source = t.spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/polls")
+    with stateful.keyed_state(t.spark):
+        streams.run_once(stateful.watched(source, "user_id"), out)
+    return t.spark.read.parquet(f"{out}/data").withColumn("ids", F.array_join("ids", ","))
+
+
+#: Sessions of 12 hours without a pause, in milliseconds.
+SESSIONS = "o AS (SELECT user_id, event_id, epoch_ns(ts) // 1000000 AS ms, floor(value) AS amount, CASE WHEN epoch_ns(ts) // 1000000 - lag(epoch_ns(ts) // 1000000) OVER (PARTITION BY user_id ORDER BY ts) < 43200000 THEN 0 ELSE 1 END AS new FROM <events>), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS no FROM o)"
+
+
+def spends(t):  # noqa: ANN001, ANN201
+    return streams.table_stream(t.spark, t.sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").alias("amount"))
+
+
+@query("stream_session_flags", f"WITH {SESSIONS} SELECT user_id, event_id, min(ms) OVER (PARTITION BY user_id, no) AS session, CAST(sum(amount) OVER (PARTITION BY user_id, no ORDER BY ms) AS BIGINT) AS spent, sum(amount) OVER (PARTITION BY user_id, no ORDER BY ms) > 150 AS over FROM s")
+def _(t):
+    out = scratch(t)
+    with stateful.keyed_state(t.spark):
+        streams.run_once(stateful.session_flags(spends(t), "user_id", 43_200, 150.0), out)
+    return t.spark.read.parquet(f"{out}/data").withColumn("spent", F.col("spent").cast("long"))
+
+
+@query("stream_session_totals", f"WITH {SESSIONS} SELECT user_id, min(ms) AS start, max(ms) + 43200000 AS end, count(*) AS rows, CAST(sum(amount) AS BIGINT) AS total FROM s GROUP BY user_id, no HAVING max(ms) + 43200000 <= (SELECT max(ms) FROM s)")
+def _(t):
+    out = scratch(t)
+    streams.run_once(stateful.session_totals(spends(t), "user_id", "12 hours"), out)
+    return t.spark.read.parquet(f"{out}/data").select("user_id", F.unix_millis("start").alias("start"), F.unix_millis("end").alias("end"), "rows", "total")
+
+
+@query("stream_scan_events", "WITH f AS (SELECT doc_id FROM <documents> WHERE regexp_matches(text, '[A-Z]{3,}!!')) SELECT 'finding' AS kind, doc_id, 1 AS n FROM f UNION ALL SELECT 'scan_complete', NULL, count(*) FROM f UNION ALL SELECT 'documents', NULL, count(*) FROM <documents>")
+def _(t):
+    from verdigris.operators import rules
+
+    out = scratch(t)
+    table = [{"rule_id": "shouting", "name": "[A-Z]{4,}", "trigger": "!!", "kind": "forbidden", "pattern": "[A-Z]{3,}!!"}]
+    docs = streams.table_stream(t.spark, t.sf_dir, "documents", 4).select("doc_id", "text")
+    streams.run_once(docs, out, each=sinks.incremental_scan(f"{out}/scan", lambda batch: rules.rule_scan(batch, table)))
+    held = sinks.Together(t.spark, f"{out}/scan")
+    found = held.read("findings").select(F.lit("finding").alias("kind"), "doc_id", F.lit(1).cast("long").alias("n"))
+    told = held.read("events").where("kind = 'scan_complete'").agg(F.sum("findings").alias("f"), F.sum("documents").alias("d"))
+    return found.unionByName(told.select(F.lit("scan_complete").alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("f").alias("n"))).unionByName(told.select(F.lit("documents").alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.col("d").alias("n")))

@@ -115,35 +115,6 @@ def seq_assign(events: DataFrame, space: str) -> DataFrame:
     return events.groupBy(space).applyInPandasWithState(each, f"{space} long, event_id long, seq long", "seq long", "append", GroupStateTimeout.NoTimeout)
 
 
-def delta_upsert(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink that merges each batch into versions of a table under path: version n + 1 is written whole, then named.
-
-    A batch that comes again writes its version again, so a restart changes nothing.
-    """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        held = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-        merge(held, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return each
-
-
-def usage_meter(path: str, served: str) -> Callable[[DataFrame, int], None]:
-    """A sink that writes the ledger rows of a batch and then its delivery: what isn't metered isn't served.
-
-    The two are writes one after the other from the same batch; a batch that fails
-    between them comes again and writes both again, to the same places.
-    """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        held.groupBy(served).agg(F.count("*").alias("records_served")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
-        held.write.mode("overwrite").parquet(f"{path}/delivery/batch={batch_id}")
-        held.unpersist()
-
-    return each
-
-
 def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
     """(start, rule, n) by event time; a window closes when the watermark has passed it."""
     w = F.window("ts", width)
