@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import mapped, named, sliced, written
+from verdigris.llm.shared import KeyFilter, mapped, named, sliced, written
 
 #: Bytes that one table holds; a task has one table at a time.
 TABLE_BYTES = 48 << 20
@@ -181,16 +181,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns, whatever their names.
 
     Rows are told by id and digest. Those that share both with the row that stays
-    are repeats of it, of which one is taken. Whole rows are shuffled once to meet
-    what stays; only those of larger groups are shuffled again to find repeats.
+    are repeats of it, of which one is taken. Rows that a filter of the keys of
+    larger groups doesn't know are alone and stay where they are; only the others
+    are shuffled to meet their group.
     """
-    stay = written(_classified(docs, id_col, text_col, TABLE_BYTES).where("kept").select("row_id", "sha", "group_size"), "stay")
+    key = F.xxhash64("row_id", "sha")
+    found = _classified(docs, id_col, text_col, TABLE_BYTES).where("group_size > 1")
+    grouped = written(found.groupBy("row_id", "sha").agg(F.max("kept").alias("stays")), "grouped")
+    known = KeyFilter(grouped.select(key.alias("key")))
     text = F.coalesce(named(text_col).cast("string"), F.lit(""))
-    marked = docs.select(F.struct("*").alias("row"), named(id_col).cast("long").alias("row_id"), F.sha2(text, 256).alias("sha"))
-    met = marked.alias("m").join(stay.alias("s"), F.expr("m.row_id <=> s.row_id AND m.sha = s.sha")).select("m.row", "m.row_id", "m.sha", "s.group_size")
-    alone = met.where("group_size = 1").select("row.*")
-    # In groups of several, rows may repeat the id and the text of the one that stays.
-    one = met.where("group_size > 1").groupBy("row_id", "sha").agg(F.first("row").alias("row")).select("row.*")
+    marked = docs.select(F.struct("*").alias("row"), named(id_col).cast("long").alias("row_id"), F.sha2(text, 256).alias("sha")).withColumn("known", known.may_have(key))
+    alone = marked.where("NOT known").select("row.*")
+    met = marked.where("known").alias("m").join(grouped.alias("g"), F.expr("m.row_id <=> g.row_id AND m.sha = g.sha"), "left").select("m.row", "m.row_id", "m.sha", "g.stays")
+    # Without a group a row was let through in vain, and its repeats, if there were any, would be a group: it is alone.
+    one = met.where("stays IS NULL OR stays").groupBy("row_id", "sha").agg(F.first("row").alias("row")).select("row.*")
     return alone.unionByName(one)
 
 

@@ -8,8 +8,9 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,17 +33,115 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders that written() has made since a scope was opened, for each open scope.
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no earlier stage, and what a
-    task numbered by itself stays as it was. The table lives as long as the
-    cluster keeps its checkpoint folder.
+    task numbered by itself stays as it was. The table lives until the scope that it
+    was written in is closed, or else as long as the cluster keeps its folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verdigris/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/verdigris/{uuid.uuid4().hex}"
+    for scope in _SCOPES[-1:]:
+        scope.append(folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function like written(), for results; all other tables that are written inside are removed at the end."""
+    own: list[str] = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        own.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(own)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in own:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class KeyFilter:
+    """Which rows may have a key of a set: a Bloom filter in chunks, of a bounded size.
+
+    Whoever isn't in it has none of the keys, so wide rows need no shuffle to be held
+    against a narrow set; who may be in it takes an exact join. Up to MOST_BITS / 16
+    keys one row in four hundred is let through in vain; beyond that more are, up to
+    all: the result of the join behind it is the same.
+    """
+
+    MOST_BITS, CHUNK_BITS, PROBES = 1 << 28, 1 << 19, 4
+
+    def __init__(self, keys: DataFrame) -> None:
+        """keys has one column of longs."""
+        spark, name = keys.sparkSession, keys.columns[0]
+        keys = keys.select(F.col(name).alias("key")).where("key IS NOT NULL")
+        self.chunks = 1
+        n = keys.count()
+        while self.chunks * self.CHUNK_BITS < min(16 * n, self.MOST_BITS):
+            self.chunks *= 2
+        chunks, bits = self.chunks, self.CHUNK_BITS
+        placed = keys.withColumn("chunk", F.shiftrightunsigned("key", 40).bitwiseAND(F.lit(chunks - 1)).cast("int"))
+        made = mapped(placed.repartition("chunk").sortWithinPartitions("chunk").select("chunk", "key"), lambda it: _chunk_bits(it, bits), "chunk int, bits binary").collect()
+        table = np.zeros((chunks, bits // 8), np.uint8)
+        for row in made:
+            table[row.chunk] |= np.frombuffer(row.bits, np.uint8)
+        self.table = spark.sparkContext.broadcast(table.tobytes())
+
+    def may_have(self, key: Column) -> Column:
+        """Whether a long may be one of the keys; false for null. Only this column goes to Python."""
+        table, chunks, bits = self.table, self.chunks, self.CHUNK_BITS
+
+        @F.arrow_udf("boolean")
+        def test(keys: pa.Array) -> pa.Array:
+            held = np.frombuffer(table.value, np.uint8).reshape(chunks, bits // 8)
+            k = keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            chunk = (k >> np.uint64(40) & np.uint64(chunks - 1)).astype(np.int64)
+            hit = np.ones(len(k), bool)
+            for at in _bit_places(k, bits):
+                hit &= (held[chunk, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            return pa.array(hit & keys.is_valid().to_numpy(zero_copy_only=False))
+
+        return test(key)
+
+
+def _bit_places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    step = keys >> np.uint64(20) | np.uint64(1)
+    for i in range(KeyFilter.PROBES):
+        yield ((keys + np.uint64(i) * step) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def _chunk_bits(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(chunk, bits) from (chunk, key), sorted by chunk."""
+    now, held = None, np.zeros(bits // 8, np.uint8)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([held.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    for batch in batches:
+        chunk, key = (batch.column(i).to_numpy() for i in range(2))
+        edges = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(chunk)], strict=True):
+            if chunk[a] != now:
+                if now is not None:
+                    yield row()
+                now, held = int(chunk[a]), np.zeros(bits // 8, np.uint8)
+            for at in _bit_places(key[a:b].view(np.uint64), bits):
+                np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    if now is not None:
+        yield row()
 
 
 def mapped(df: DataFrame, per_batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
