@@ -216,6 +216,12 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
+def lifted(shares, lift):
+    """The target that a lift stands for, as a share of the largest entropy."""
+    own, most = -sum(s * math.log(s) for s in shares), math.log(len(shares))
+    return (own + lift * (most - own)) / most
+
+
 def plain_mixture(spark, docs, entropy, passes, budget, block_size=512, seed=7):
     """How often each row is taken, by sorting; only the hashes and the last digits of the exponent come from Spark."""
     place = F.xxhash64(F.lit(seed), "doc_id", "text")
@@ -228,7 +234,8 @@ def plain_mixture(spark, docs, entropy, passes, budget, block_size=512, seed=7):
     shares = {s: n / total for s, n in tokens.items()}
     totals = mixing.source_totals(docs.select("source", mixing.n_words(F.col("text")).alias("n_tokens")))
     alpha = mixing.exponent(totals, entropy, passes, budget and budget * total)
-    assert alpha == pytest.approx(plain_exponent(list(shares.values()), entropy, passes, budget), abs=1e-6)
+    target = lifted(shares.values(), mixing.LIFT) if entropy is None else entropy
+    assert alpha == pytest.approx(plain_exponent(list(shares.values()), target, passes, budget), abs=1e-6)
     z = sum(p**alpha for p in shares.values())
     size = total * budget if budget else total * z / min(p ** (alpha - 1) for p in shares.values())
     made = spark.createDataFrame([(p, s, max(1, math.ceil(count[s] / block_size))) for _, s, _, p in rows], "place long, source string, blocks int")
@@ -253,7 +260,7 @@ def plain_mixture(spark, docs, entropy, passes, budget, block_size=512, seed=7):
     return +times, alpha, size
 
 
-@pytest.mark.parametrize(("entropy", "passes", "budget", "block"), [(0.95, 4.0, 1.0, 512), (0.95, 2.0, None, 32), (0.3, 50.0, 1.0, 32), (0.4, 1.5, 1.2, 512)])
+@pytest.mark.parametrize(("entropy", "passes", "budget", "block"), [(0.95, 4.0, 1.0, 512), (0.95, 2.0, None, 32), (0.3, 50.0, 1.0, 32), (0.4, 1.5, 1.2, 512), (None, 4.0, None, 512)])
 def test_mixture_equals_brute_force(spark, monkeypatch, entropy, passes, budget, block):
     """Exponents under and over 1, bound by entropy and by passes; every row that is taken, and how often."""
     monkeypatch.setattr(mixing, "BLOCK", block)
@@ -271,11 +278,40 @@ def test_mixture_equals_brute_force(spark, monkeypatch, entropy, passes, budget,
         assert len(got) == len(rows)
 
 
+def entropy_of(shares, alpha):
+    powers = [(s / max(shares)) ** alpha for s in shares]
+    return -sum(x * math.log(x) for x in (p / sum(powers) for p in powers) if x)
+
+
+@pytest.mark.parametrize("spread", [0.5, 0.02, 0.001])
+def test_exponents_have_no_upper_end(spark, spread):
+    """Sources that are nearly equal: the target is met whatever exponent it takes."""
+    r = random.Random(4)
+    sizes = [10_000_000 + round(10_000_000 * spread * r.random()) for _ in range(20)]
+    shares = [n / sum(sizes) for n in sizes]
+    totals = spark.createDataFrame([(f"s{i}", n, 1, x) for i, (n, x) in enumerate(zip(sizes, shares))], "source string, tokens long, docs long, share double")
+    alpha = mixing.exponent(totals, 0.95, 1e9, float(sum(sizes)))
+    assert entropy_of(shares, alpha) == pytest.approx(0.95 * math.log(20), abs=1e-4)
+    assert spread > 0.1 or alpha > 50
+    low = mixing.exponent(totals, lift=0.5)
+    assert entropy_of(shares, low) == pytest.approx(lifted(shares, 0.5) * math.log(20), abs=1e-9) and 0 < low < 1
+    weights = [r.weight for r in mixing.plan(totals, alpha, float(sum(sizes))).collect()]
+    assert sum(weights) == pytest.approx(1) and max(weights) > 0.05
+
+
+def test_targets_that_none_can_meet(spark):
+    of = lambda sizes: spark.createDataFrame([(f"s{i}", n, 1, n / sum(sizes)) for i, n in enumerate(sizes)], "source string, tokens long, docs long, share double")
+    assert mixing.exponent(of([5, 5, 5, 5]), 0.9) == mixing.exponent(of([5, 5, 5, 5])) == 1.0
+    assert mixing.exponent(of([9, 9, 9, 1]), 0.5) == 1.0  # three tie, so entropy stays over log 3
+    assert mixing.exponent(of([7]), 0.5) == mixing.exponent(of([]), 0.5) == 1.0
+    assert mixing.exponent(of([10, 1]), 1.0, 3.0) == pytest.approx(1 - math.log(3) / math.log(10), abs=1e-6)
+
+
 def test_op7_target_binds(spark, sf):
     """The registered mixture isn't the corpus once over: its exponent is not 1."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want, alpha, _ = plain_mixture(spark, docs, mixing.TARGET_ENTROPY, mixing.MOST_PASSES, 1.0)
-    assert abs(alpha - 1) > 0.1
+    want, alpha, _ = plain_mixture(spark, docs, None, mixing.MOST_PASSES, 1.0)
+    assert 0 < alpha < 0.9
     assert Counter(r.doc_id for r in mixing.op7_mixing(spark, sf).collect()) == want
 
 

@@ -2,8 +2,10 @@
 
 Source weights are token shares raised to an exponent and normalised. The exponent
 is the one that gives the weights their target entropy: under 1 it lifts small
-sources, over 1 large ones. If some source would then be passed over more often
-than the limit allows, it is the nearest one that keeps to the limit. Each source
+sources, over 1 large ones. The target is an entropy of its own, or lies so far on
+the way from the entropy of the shares to the largest possible one, which always
+lifts small sources. If some source would then be passed over more often than the
+limit allows, the exponent is the nearest one that keeps to the limit. Each source
 then gets its budget of tokens: whole passes over it, and for the rest whole blocks
 of its documents in an order permuted by hash, up to a document of the block in
 which the budget ends.
@@ -12,6 +14,7 @@ which the budget ends.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,12 +22,12 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.shared import named, written
 
-#: Share of the largest possible entropy that the weights shall have, and how often a source may be passed over.
-TARGET_ENTROPY, MOST_PASSES = 0.95, 4.0
+#: How far the entropy of the weights lies from that of the shares to the largest one, and how often a source may be passed over.
+LIFT, MOST_PASSES = 0.5, 4.0
 #: Documents of a block, about.
 BLOCK = 512
-#: The largest exponent, exponents that one step of the bisection tries at once, and steps.
-MOST_EXPONENT, SECTIONS, STEPS = 16.0, 32, 7
+#: Exponents that one step of the bisection tries at once, and steps after the first one, which goes up by powers of two.
+SECTIONS, STEPS, DOUBLINGS = 64, 4, 60
 
 
 def n_words(text: Column) -> Column:
@@ -38,32 +41,44 @@ def source_totals(docs: DataFrame) -> DataFrame:
     return totals.withColumn("share", F.col("tokens") / F.lit(totals.agg(F.sum("tokens")).first()[0] or 1))
 
 
-def exponent(totals: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MOST_PASSES, budget: float | None = None) -> float:
-    """The exponent in [0, MOST_EXPONENT], by bisection with many sections a step.
+def exponent(totals: DataFrame, entropy: float | None = None, passes: float = MOST_PASSES, budget: float | None = None, lift: float = LIFT) -> float:
+    """The exponent, 0 at least, by bisection with many sections a step; it has no upper end.
 
-    Entropy falls as it rises. The passes over the source that is repeated most
-    fall up to 1 and rise from there, so the limit leaves an interval around 1. A
-    step is one aggregation over the sources that sends a row to the driver.
-    Without a budget passes count relative to those over the source passed over
-    least; with one that no exponent keeps to the limit it is 1.
+    entropy is the target as a share of the largest possible one; without it the
+    target follows from lift. Entropy falls as the exponent rises, towards that of
+    the sources that tie for the largest share: a target below that can't be met, as
+    with equal shares, and the exponent is then 1. The passes over the source that is
+    repeated most fall up to 1 and rise from there, so the limit leaves an interval
+    around 1. Without a budget passes count relative to those over the source passed
+    over least; with one that no exponent keeps to the limit it is 1.
+
+    A step is one aggregation over the sources that sends SECTIONS rows to the driver.
     """
     n, least, most, tokens = totals.agg(F.count("*"), F.min("share"), F.max("share"), F.sum("tokens")).first()
     if not n or n == 1:
         return 1.0
-    wanted = entropy * math.log(n)
+    # Logs of shares relative to the largest one: their powers vanish in time, and never all of them.
+    logs = totals.select(F.log(F.col("share") / F.lit(most)).alias("l"))
 
     def measures(at: list[float]) -> list[tuple[float, float]]:
-        log_share = F.log("share")
-        sums = totals.agg(*(F.sum(F.exp(a * log_share)).alias(f"z{i}") for i, a in enumerate(at)), *(F.sum(F.exp(a * log_share) * log_share).alias(f"s{i}") for i, a in enumerate(at))).first()
-        out = []
-        for i, a in enumerate(at):
-            z, s = sums[f"z{i}"], sums[f"s{i}"]
-            some = sorted((least ** (a - 1), most ** (a - 1)))
-            out.append((math.log(z) - a * s / z, budget / tokens * some[1] / z if budget else some[1] / some[0]))
+        """Entropy of the weights, and passes over the source repeated most, for each exponent."""
+        each = logs.select("l", F.posexplode(F.array(*map(F.lit, at))).alias("i", "a"))
+        sums = each.groupBy("i").agg(F.sum(F.exp(F.col("a") * F.col("l"))).alias("z"), F.sum(F.exp(F.col("a") * F.col("l")) * F.col("l")).alias("s")).collect()
+        out: list = [None] * len(at)
+        for r in sums:
+            a, low = at[r.i], math.log(least / most)
+            some = sorted((math.exp(min(700.0, (a - 1) * low)), 1.0))
+            out[r.i] = (math.log(r.z) - a * r.s / r.z, budget / tokens / most * some[1] / r.z if budget else some[1] / some[0] if some[0] else math.inf)
         return out
 
-    def bisect(holds, low: float, high: float) -> float:  # noqa: ANN001
-        """The point up to which holds is true."""
+    def bisect(holds: Callable[[float, float], bool], low: float, high: float | None) -> float:
+        """The point up to which holds is true; without a high end one is sought."""
+        if high is None:
+            grid = [low + 2.0**k for k in range(-2, DOUBLINGS)]
+            k = sum(holds(*m) for m in measures(grid))
+            if k == len(grid):
+                return math.inf
+            low, high = grid[k - 1] if k else low, grid[k]
         for _ in range(STEPS):
             grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
             k = sum(holds(*m) for m in measures(grid))  # monotonous: the first k are true
@@ -74,10 +89,17 @@ def exponent(totals: DataFrame, entropy: float = TARGET_ENTROPY, passes: float =
             low, high = grid[k - 1], grid[k]
         return low
 
-    target = bisect(lambda h, _: h >= wanted, 0.0, MOST_EXPONENT)
-    if target < 1:
-        return max(target, bisect(lambda _, p: p > passes, 0.0, 1.0))
-    return min(target, bisect(lambda _, p: p <= passes, 1.0, MOST_EXPONENT))
+    if entropy is None:
+        own = measures([1.0])[0][0]
+        wanted = own + lift * (math.log(n) - own)
+        target = 1.0 if least == most else bisect(lambda h, _: h >= wanted, 0.0, 1.0)
+    else:
+        wanted = entropy * math.log(n)
+        tied = totals.where(F.col("share") == most).count()
+        target = 1.0 if math.log(tied) >= wanted else bisect(lambda h, _: h >= wanted, 0.0, None)
+    if target == 1 or measures([target])[0][1] <= passes:
+        return target
+    return bisect(lambda _, p: p > passes, target, 1.0) if target < 1 else bisect(lambda _, p: p <= passes, 1.0, target)
 
 
 def plan(totals: DataFrame, alpha: float, budget: float | None = None) -> DataFrame:
@@ -86,23 +108,26 @@ def plan(totals: DataFrame, alpha: float, budget: float | None = None) -> DataFr
     Without a budget the mixture is as large as it must be for one whole pass
     over every source, so no document is left out.
     """
-    z, least, most, tokens = totals.agg(F.sum(F.pow("share", F.lit(alpha))), F.min("share"), F.max("share"), F.sum("tokens")).first()
-    if z is None:
+    least, most, tokens = totals.agg(F.min("share"), F.max("share"), F.sum("tokens")).first()
+    if most is None:
         return totals.select("source", F.lit(0.0).alias("weight"), F.lit(0).alias("whole"), F.lit(0).cast("long").alias("rest_tokens"), F.lit(1).alias("blocks"))
-    size = budget or tokens * z / min(least ** (alpha - 1), most ** (alpha - 1))
-    weight = F.pow("share", F.lit(alpha)) / z
+    power = F.pow(F.col("share") / F.lit(most), F.lit(alpha))  # relative to the largest share, so their sum is 1 at least
+    z = totals.agg(F.sum(power)).first()[0]
+    size = budget or tokens * most * z / min((least / most) ** (alpha - 1), 1.0)
+    weight = power / z
     passes = F.round(weight * size / F.col("tokens"), 9)
     whole = F.floor(passes)
     return totals.select("source", weight.alias("weight"), whole.cast("int").alias("whole"), F.floor((passes - whole) * F.col("tokens")).alias("rest_tokens"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).cast("int").alias("blocks"))
 
 
-def mixed(docs: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MOST_PASSES, budget_share: float | None = None, seed: int = 7, columns: list[str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, entropy: float | None = None, passes: float = MOST_PASSES, budget_share: float | None = None, seed: int = 7, columns: list[str] | None = None, lift: float = LIFT) -> DataFrame:
     """docs (or so many columns of it) with n_tokens, pass_no and block_no: a row for each time that a document is taken.
 
     budget_share is the size of the mixture as a share of all tokens; without it no
     document is left out. Null texts and texts without a word have no tokens: they
-    come along once in every pass, and a source of such texts only once. A null
-    source is a source. Equal rows share their fate, so the last of them may
+    come along once in every pass, and a source of such texts only once. Texts of
+    any length are counted whole; one that is longer than what its source has left
+    isn't taken. A null source is a source. Targets that can't be met: see exponent(). Equal rows share their fate, so the last of them may
     exceed a budget; ties of the hash order go together. An empty table gives no
     rows. Columns named n_tokens, pass_no or block_no are replaced; others may have
     any name.
@@ -117,7 +142,7 @@ def mixed(docs: DataFrame, entropy: float = TARGET_ENTROPY, passes: float = MOST
     light = table.select("source", "n_tokens", "place")
     totals = source_totals(light)
     budget = budget_share * (totals.agg(F.sum("tokens")).first()[0] or 0) if budget_share else None
-    planned = written(plan(totals, exponent(totals, entropy, passes, budget), budget), "mix_plan")
+    planned = written(plan(totals, exponent(totals, entropy, passes, budget, lift), budget), "mix_plan")
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("blocks")).cast("int")
     same = lambda a, b, *more: F.expr(" AND ".join([f"{a}.source <=> {b}.source", *(f"{a}.{c} = {b}.{c}" for c in more)]))
     placed = light.alias("l").join(planned.alias("p"), same("l", "p")).select("l.*", "p.whole", "p.rest_tokens", "p.blocks", block.alias("block_no"))
