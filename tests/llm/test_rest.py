@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -97,6 +98,35 @@ def test_urls_of_many_rules_and_long_urls(spark):
         assert got[i] == want, url
 
 
+def test_patterns_of_hosts_and_exceptions(spark):
+    found = {
+        "http://casino.example/": "block", "http://www.casino-x.example/": "block", "http://best-casino.example/": "block", "http://a-casino-b.example/": "block", "http://mycasino.example/": "allow", "http://news.example/casino.html": "allow",
+        "http://news.example/a-casino.html": "allow", "http://casino.state.gov/": "allow", "http://casino.gov.example/": "block", "http://spam-filter.example/": "allow", "http://x.example/wp-login.php": "block", "http://spam-filter.example/wp-login.php": "allow",
+        "http://x.example/download/a.exe": "block", "http://x.example/download/a.exe?b": "allow", "x://[casino]/": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    own = spark.createDataFrame([(p,) for p in (*urls.PATTERNS, None)], "pattern string")
+    for patterns in (urls.PATTERNS, own):
+        got = {r.page_id: r.verdict for r in urls.judged(pages, patterns, listed=()).collect()}
+        assert [got[i] for i in range(len(found))] == list(found.values())
+    assert len(urls.PATTERNS) > 150
+
+
+def test_thousands_of_patterns_against_trying_each(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    forms = ["||{}.$host", "||{}-$host", "-{}.$host", "|{}.{}^$host", "||*.{}^$host", "/{}/*.{}|", "^{}={}^", "@@||{}.", "@@-{}-$host", "{}", "*{}*"]
+    patterns = tuple({form.format(word(2), word(2)) for form in forms for _ in range(300)})
+    assert len(patterns) > 180
+    some = [f"http://{r.choice(['', 'x.', word(2) + '-'])}{word(2)}{r.choice(['.', '-'])}{word(2)}.{word(2)}/{word(3)}/{word(2)}.{word(2)}{r.choice(['', '?' + word(2) + '=' + word(2)])}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    got = {x.page_id: x.verdict for x in urls.judged(pages, patterns, listed=()).collect()}
+    for i, url in enumerate(some):
+        host = url[7:].split("/")[0]
+        hits = {urls.pattern_parts(p)[0] for p in patterns if re.search(urls.pattern_regex(p), f"|{host}|" if urls.pattern_parts(p)[2] else url)}
+        assert got[i] == ("block" if hits == {"block"} else "allow"), url
+
+
 def test_pattern_tokens_are_delimited():
     assert urls.pattern_tokens("||spam-farm.") == ["spam", "farm"]
     assert urls.pattern_tokens("/affiliate/*/click^") == ["affiliate", "click"]

@@ -2,7 +2,8 @@
 
 Base entities come from regular expressions. They, and strings shaped like keys,
 seed a bootstrap: the words to the left and right of seeds are lexical patterns, and
-every identifier-like string in such a context is one of its instances. Spark scores
+every identifier-like string in such a context is one of its instances, as is a word
+that is given a name in quotes. Spark scores
 the graph of patterns and instances in rounds (a pattern by the share of its
 instances that are believed, an instance by the patterns around it) until neither
 changes. Instances of high-confidence patterns are discovered identifiers, whether
@@ -30,9 +31,11 @@ BASE = {
 }
 #: Identifier-like strings: letters and digits, parted by single - . / or, between digits, blanks.
 CANDIDATE = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][-./])(?=(?:[A-Za-z]++[-./])*+[A-Za-z]*+[0-9])[A-Za-z0-9]++(?:[-./][A-Za-z0-9]++)*+(?:(?<=[0-9]) [0-9]++(?![A-Za-z0-9]))*+"
-#: Letters and digits that an identifier has at least; one of them is a digit.
+#: What is given a name: a word in quotes after = or :, which needs no digit to be a candidate.
+NAMED = r"(?<=[=:][\"'])[A-Za-z][A-Za-z_-]++(?=[\"'])|(?<=[=:] [\"'])[A-Za-z][A-Za-z_-]++(?=[\"'])"
+#: Letters and digits that an identifier has at least; one of them is a digit, unless it is given a name.
 LEAST_CHARS = 5
-#: Candidates of this shape are seeds as base entities are, but found only where a context confirms them.
+#: Candidates of this shape are seeds as base entities are, but found only where a context confirms them, and then told as a kind of their own.
 KEY = r"^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
 #: Unbelieved instances that every pattern is thought to have; what a pattern needs to be trusted, its believed instances among that.
 DOUBT, CONFIDENT, LEAST_SEEDS = 2.0, 0.6, 3
@@ -131,14 +134,16 @@ def base_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
         df = df.withColumn("_some", F.when(needs.get(kind, has_digit), F.col("_text")).otherwise(""))
         df = _matches("_some", regex, kind, df).withColumn(kind, _sound(kind))
     df = _matches("_some", CANDIDATE, "candidates", df.withColumn("_some", F.when(has_digit, F.col("_text")).otherwise("")))
+    df = _matches("_some", NAMED, "_named", df.withColumn("_some", F.when(F.col("_text").rlike("[=:] ?[\"'][A-Za-z]"), F.col("_text")).otherwise("")))
     spans = F.concat(*(F.col(k) for k in BASE))
     free = lambda c: ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
     sound = lambda c: (F.length(F.regexp_replace(c["m"], "[^A-Za-z0-9]", "")) >= LEAST_CHARS) & c["m"].rlike("[0-9]")
-    df = df.withColumn("candidates", F.filter(F.filter("candidates", sound), free))
+    worded = F.filter("_named", lambda c: F.length(F.regexp_replace(c["m"], "[^A-Za-z]", "")) >= LEAST_CHARS)
+    df = df.withColumn("candidates", F.filter(F.concat(F.filter("candidates", sound), worded), free))
     df = df.withColumn("_blocks", F.when(F.size(F.concat(spans, "candidates")) > 0, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))))
     told = lambda seed: lambda s: F.struct(_instance(s["m"]).alias("instance"), seed(s["m"]).alias("seed"), _patterns(s).alias("patterns"))
     seen = F.concat(F.transform(spans, told(lambda m: F.lit(True))), F.transform("candidates", told(lambda m: m.rlike(KEY))))
-    return df.withColumn("seen", seen).drop("_text", "_some", "_blocks")
+    return df.withColumn("seen", seen).drop("_text", "_some", "_named", "_blocks")
 
 
 def trusted_instances(found: DataFrame) -> DataFrame:
@@ -172,18 +177,20 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, found): spans array<struct<kind, start, end>> of base entities, and of kind id what contexts add.
+    """(doc_id, base, found): spans array<struct<kind, start, end>> of base entities, and what contexts add: of kind key what has the shape of one, of kind id all else.
 
+    A context is read from the blocks of WINDOW characters around a span: a word that
+    is longer than them is cut there, and two such words count as one context.
     Null texts count as empty. Repeated rows and ids each get their row: found
     spans join by id and a hash of the text. Texts and identifiers of any length
     are read whole. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     found = written(base_entities(rows).withColumn("h", F.xxhash64("text")).drop("text"), "pii_base")
-    places = found.where(F.size("candidates") > 0).select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", "c.start", "c.end", _instance(F.col("c.m")).alias("instance"))
+    places = found.where(F.size("candidates") > 0).select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", "c.start", "c.end", _instance(F.col("c.m")).alias("instance"), F.when(F.col("c.m").rlike(KEY), "key").otherwise("id").alias("kind"))
     counts = written(places.groupBy("instance").agg(F.count("*").alias("n")).join(trusted_instances(found), "instance").select("instance", "n"), "pii_found")
     hits = spread_join(places, counts, ["instance"], max(1, places.count()))
-    hits = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct(F.lit("id").alias("kind"), F.col("start").alias("start"), F.col("end").alias("end")))).alias("found"))
+    hits = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("kind", F.col("start").alias("start"), F.col("end").alias("end")))).alias("found"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "found")
     base = found.select("doc_id", "h", F.concat(*map(_of_kind, BASE)).alias("base"))
     joined = base.join(hits, base["doc_id"].eqNullSafe(hits["_id"]) & (base["h"] == hits["_h"]), "left")
@@ -191,9 +198,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of all documents; n_found counts what contexts add, n_spans all spans."""
+    """Personal data of all documents; n_key and n_id count what contexts add by kind, n_found both, n_spans all spans."""
     spans = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    more = [F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans")]
+    added = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("key", "id")]
+    more = [*added, F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans")]
     return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "found")).alias("spans"), *more)
