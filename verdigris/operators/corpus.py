@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import CLASSES, age_days, content_key, proven, quality_score, severity_rank
+from verdigris.sources.tables import kept
 
 
 def scored(records: DataFrame) -> DataFrame:
@@ -27,8 +28,23 @@ def first_seen_dedup(records: DataFrame, key: str = "content_key", order: tuple[
     return joined.withColumn("duplicate_of", F.when(~own, F.col(f"_first.{order[-1]}"))).drop("_key", "_first")
 
 
-def unique(records: DataFrame) -> DataFrame:
-    return first_seen_dedup(scored(records)).where("duplicate_of IS NULL")
+def first_seen_marks(records: DataFrame, key: Column, order: str = "rec_no") -> DataFrame:
+    """(order, duplicate_of) of records: as first_seen_dedup(), but the key is worked out once and what is joined is narrow.
+
+    (order, key) is a written table, so the texts behind a key are read once.
+    """
+    keys = kept(records.select(order, key.alias("_key")), "keys")
+    first = keys.groupBy(F.col("_key").alias("_of")).agg(F.min(order).alias("_first"))
+    met = keys.join(first, F.col("_key").eqNullSafe(F.col("_of")))
+    return met.select(order, F.when(F.col(order) != F.col("_first"), F.col("_first")).alias("duplicate_of"))
+
+
+def unique(records: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The first record of each content key; of so many columns, in one aggregate that combines before its shuffle."""
+    if columns is None:
+        return first_seen_dedup(scored(records)).where("duplicate_of IS NULL")
+    rows = scored(records).select("content_key", "rec_no", F.struct(*columns).alias("_row"))
+    return rows.groupBy("content_key").agg(F.min_by("_row", "rec_no").alias("_row")).select("_row.*")
 
 
 def corpus_counts(records: DataFrame) -> DataFrame:
@@ -40,14 +56,14 @@ def corpus_counts(records: DataFrame) -> DataFrame:
 def distributions(records: DataFrame, dims: tuple[str, ...] = ("severity", "class", "sdk_name", "license")) -> DataFrame:
     """(dim, value, n) of unique records, all dimensions in one pass; a missing value is unknown."""
     pairs = F.array(*(F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d), F.lit("unknown")).alias("value")) for d in dims))
-    return unique(records).select(F.inline(pairs)).groupBy("dim", "value").agg(F.count("*").alias("n"))
+    return unique(records, dims).select(F.inline(pairs)).groupBy("dim", "value").agg(F.count("*").alias("n"))
 
 
 def quality_summary(records: DataFrame) -> DataFrame:
     """One row over unique records: rounded mean and median, least, most, and buckets from 70 and from 40."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     half_up = lambda c: F.floor(c + 0.5)
-    return unique(records).agg(
+    return unique(records, ("score",)).agg(
         zero(half_up(F.avg("score"))).alias("mean_score"),
         zero(half_up(F.percentile("score", F.lit(0.5)))).alias("median_score"),
         zero(F.min("score")).alias("min_score"),

@@ -75,8 +75,11 @@ def experience_dashboard(events: DataFrame, top: int = 20) -> DataFrame:
     """(kind, name, n, place): totals, the top of rules, repositories and authors, and events by day."""
     dims = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name")) for k, c in (("rule", "rule_id"), ("repo", "repo_id"), ("author", "author"))), F.struct(F.lit("day").alias("kind"), F.to_date("fixed_at").cast("string").alias("name")))
     counts = events.select(F.inline(dims)).select("kind", F.coalesce("name", F.lit("local")).alias("name")).groupBy("kind", "name").agg(F.count("*").alias("n"))
-    w = W.partitionBy("kind").orderBy(F.when(F.col("kind") == "day", F.lit(0)).otherwise(-F.col("n")), "name")
-    ranked = counts.withColumn("place", F.row_number().over(w)).where((F.col("kind") == "day") | (F.col("place") <= top))
+    # The limit is on the place alone, so each task sends on its best of a kind and no more; days are few, and numbered apart.
+    w = W.partitionBy("kind").orderBy(F.desc("n"), "name")
+    best = counts.where("kind <> 'day'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    days = counts.where("kind = 'day'").withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("name")))
+    ranked = best.unionByName(days)
     totals = counts.where("kind <> 'day'").groupBy(F.concat(F.lit("distinct-"), "kind").alias("kind")).agg(F.lit("").alias("name"), F.count("*").alias("n")).withColumn("place", F.lit(1))
     return ranked.unionByName(totals)
 
@@ -109,6 +112,20 @@ def brief_rank(deps: DataFrame, records: DataFrame, fixed: DataFrame, top: int =
     return entries.withColumn("place", place).where(F.col("place") <= top).select("repo_id", "place", "e.trap_id", "sdk_name", "class", "e.score", "instances", "corroboration", "personal")
 
 
+def brief_totals(deps: DataFrame, records: DataFrame, top: int = 12) -> DataFrame:
+    """(repo_id, dep_count, matched_deps, unmatched_deps, entries, truncated) of each repository's brief: what brief_rank() leaves out.
+
+    deps is (repo_id, dep). Dependencies that differ in case only count each;
+    entries are those before the limit, truncated how many it cuts.
+    """
+    own = deps.select("repo_id", "dep").distinct()
+    known = scored(records).where("is_proven").select(F.lower("sdk_name").alias("_sdk"), "class").distinct()
+    met = own.join(known, F.lower("dep") == F.col("_sdk"))
+    entries = met.groupBy("repo_id").agg(F.countDistinct("_sdk", "class").alias("entries"), F.countDistinct("dep").alias("matched_deps"))
+    counts = own.groupBy("repo_id").agg(F.count("*").alias("dep_count")).join(entries, "repo_id", "left").fillna(0, ["entries", "matched_deps"])
+    return counts.select("repo_id", "dep_count", "matched_deps", (F.col("dep_count") - F.col("matched_deps")).alias("unmatched_deps"), "entries", F.greatest(F.col("entries") - top, F.lit(0)).alias("truncated"))
+
+
 def worklist_topk(candidates: DataFrame, least: float, top: int) -> DataFrame:
     """Repositories of enough stars, each once, the best first. candidates is (repo_id, stars)."""
     return candidates.groupBy("repo_id").agg(F.max("stars").alias("stars")).where(F.col("stars") >= least).orderBy(F.desc("stars"), "repo_id").limit(top)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import pick
+from verdigris.operators.running import running
 
 # Rent of a stored byte for two years, bytes of an account's head, payload bytes of a write, fee of a signature, heads of program accounts.
 RENT_PER_BYTE, ACCOUNT_HEAD, WRITE_BYTES, SIGNATURE_FEE = 3480 * 2, 128, 1012, 5000
@@ -38,12 +39,19 @@ def fee_split_check(shares: DataFrame) -> DataFrame:
     return out.select("config", F.when(~F.col("c"), "fail").when(F.col("u") > 0, "cant_tell").when(F.col("s") != 10_000, "fail").otherwise("pass").alias("result"))
 
 
-def running_spend_cap(spends: DataFrame, each: float, session: float) -> DataFrame:
-    """spends (session, at, id, amount, recipient_ok) with total and the violations of each: over-each, over-session, recipient."""
-    w = W.partitionBy("session").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("amount").over(w)
-    found = F.array(F.when(F.col("amount") > each, "over-each"), F.when(F.col("total") > session, "over-session"), F.when(~F.col("recipient_ok"), "recipient"))
-    return spends.withColumn("total", total).withColumn("violations", F.array_join(F.filter(found, lambda x: x.isNotNull()), ","))
+def running_spend_cap(spends: DataFrame, each: float, session: float, programs: list[str] | None = None, parted: bool = False) -> DataFrame:
+    """spends (session, at, id, amount, recipient_ok) with total and the violations of each: over-each, over-session, recipient, program.
+
+    With programs, the column program must be one of them; a null isn't. With parted
+    the totals of a session come from running(), which spreads a hot one.
+    """
+    if parted:
+        rows = running(spends, "session", ["at", "id"], "amount", "sum", "total")
+    else:
+        rows = spends.withColumn("total", F.sum("amount").over(W.partitionBy("session").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)))
+    strange = ~F.coalesce(F.col("program").isin(programs), F.lit(False)) if programs is not None else F.lit(False)
+    found = F.array(F.when(F.col("amount") > each, "over-each"), F.when(F.col("total") > session, "over-session"), F.when(~F.col("recipient_ok"), "recipient"), F.when(strange, "program"))
+    return rows.withColumn("violations", F.array_join(F.array_compact(found), ","))
 
 
 def spend_replay(spends: DataFrame, each: float, session: float) -> DataFrame:

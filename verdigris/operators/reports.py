@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import severity_rank
+from verdigris.operators.running import running
 
 
 def severity_gate(findings: DataFrame, least: str = "high", strict: bool = False) -> DataFrame:
@@ -59,8 +60,8 @@ def same_rule_precedent(new: DataFrame, fixes: DataFrame) -> DataFrame:
     return failing.join(top, "rule_id").where("from_file <> file_no").groupBy(*KEY).agg(F.min_by("from_file", "place").alias("from_file"))
 
 
-def diff_scope_join(sites: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Sites (file_no, start, end) that overlap a changed range of their file.
+def diff_scope_join(sites: DataFrame, ranges: DataFrame, parted: bool = False) -> DataFrame:
+    """Sites (file_no, start, end) that overlap a changed range of their file. With parted the window of a file is running(), which spreads a hot one.
 
     Ranges of a file are merged first, so the ends of those that begin at or before
     a site's end rise with their begins: the last one decides, which a window finds
@@ -68,8 +69,11 @@ def diff_scope_join(sites: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     marks = ranges.select("file_no", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").alias("_end")).withColumn("_row", F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in sites.schema) + ">"))
     rows = sites.select("file_no", F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(ranges.schema["end"].dataType).alias("_end"), F.struct(*sites.columns).alias("_row"))
-    w = W.partitionBy("file_no").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    reach = marks.unionByName(rows).withColumn("_reach", F.max("_end").over(w))
+    both = marks.unionByName(rows)
+    if parted:
+        reach = running(both, "file_no", ["_at", "_kind"], "_end", "max", "_reach")
+    else:
+        reach = both.withColumn("_reach", F.max("_end").over(W.partitionBy("file_no").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)))
     return reach.where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("_row.start"))).select("_row.*")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.functions.scalars import content_key
 from verdigris.operators import corpus
 from verdigris.plans.records import BUCKET, SCORE
 from verdigris.plans.registry import query, scratch
@@ -19,7 +20,12 @@ b AS (SELECT class, ord, n, total, CASE WHEN n * 4 >= total THEN 'surplus' WHEN
 
 @query("first_seen_dedup", f"SELECT rec_no, CASE WHEN f <> rec_no THEN f END AS duplicate_of FROM (SELECT rec_no, min(rec_no) OVER (PARTITION BY {KEY}) AS f FROM <records>)")
 def _(t):
-    return corpus.first_seen_dedup(corpus.scored(t.records)).select("rec_no", "duplicate_of")
+    return corpus.first_seen_marks(t.records, content_key(F.col("trap_id"), F.col("sdk_name"), F.col("snippet")))
+
+
+@query("first_seen_rows", f"SELECT rec_no, lot, duplicate_of FROM (SELECT rec_no, lot, CASE WHEN f <> rec_no THEN f END AS duplicate_of FROM (SELECT rec_no, lot, min(rec_no) OVER (PARTITION BY {KEY}) AS f FROM <records>))")
+def _(t):
+    return corpus.first_seen_dedup(corpus.scored(t.records)).select("rec_no", "lot", "duplicate_of")
 
 
 @query("corpus_counts", f"SELECT count(*) AS total, count(DISTINCT {KEY}) AS unique_records, count(*) - count(DISTINCT {KEY}) AS duplicates, count(DISTINCT sdk_name) AS sdks, count(DISTINCT class) AS classes FROM <records>")

@@ -36,6 +36,13 @@ def _(t):
     return money.running_spend_cap(spends(t), 100.0, 1000.0).select("session", "id", F.col("total").cast("long").alias("total"), "violations")
 
 
+@query("spend_program_allow", "WITH s AS (SELECT user_id AS session, event_id AS id, event_type AS program, floor(value) AS amount, event_type <> 'error' AS ok, sum(floor(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM <events>) SELECT session, id, CAST(total AS BIGINT) AS total, concat_ws(',', CASE WHEN amount > 100 THEN 'over-each' END, CASE WHEN total > 1000 THEN 'over-session' END, CASE WHEN NOT ok THEN 'recipient' END, CASE WHEN program NOT IN ('click', 'view', 'purchase') THEN 'program' END) AS violations FROM s")
+def _(t):
+    """Totals in ranges of a session and its time, and an allow-list of programs."""
+    rows = spends(t).join(t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("program")), "id")
+    return money.running_spend_cap(rows, 100.0, 1000.0, ["click", "view", "purchase"], parted=True).select("session", "id", F.col("total").cast("long").alias("total"), "violations")
+
+
 @query("spend_replay")
 def _(t):
     return money.spend_replay(spends(t), 100.0, 1000.0)

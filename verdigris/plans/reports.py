@@ -49,12 +49,23 @@ def _(t):
     return reports.same_rule_precedent(t.snap_new, fixes)
 
 
-@query("diff_scope_join", "WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey AS file_no, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS \"end\" FROM <lineitem>), r AS (SELECT DISTINCT l_suppkey AS file_no, l_partkey - l_partkey % 400 AS start, l_partkey - l_partkey % 400 + l_suppkey % 60 AS \"end\" FROM <lineitem>) SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.file_no = s.file_no AND s.start <= r.\"end\" AND s.\"end\" >= r.start)")
-def _(t):
+SCOPED = "WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey AS file_no, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS \"end\" FROM <lineitem>), r AS (SELECT DISTINCT l_suppkey AS file_no, l_partkey - l_partkey % 400 AS start, l_partkey - l_partkey % 400 + l_suppkey % 60 AS \"end\" FROM <lineitem>) SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.file_no = s.file_no AND s.start <= r.\"end\" AND s.\"end\" >= r.start)"
+
+
+def sites_and_ranges(t):  # noqa: ANN001, ANN201
     low = F.col("l_partkey") - F.col("l_partkey") % 400
     sites = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("file_no"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
-    ranges = t.lineitem.select(F.col("l_suppkey").alias("file_no"), low.alias("start"), (low + F.col("l_suppkey") % 60).alias("end")).distinct()
-    return reports.diff_scope_join(sites, ranges)
+    return sites, t.lineitem.select(F.col("l_suppkey").alias("file_no"), low.alias("start"), (low + F.col("l_suppkey") % 60).alias("end")).distinct()
+
+
+@query("diff_scope_join", SCOPED)
+def _(t):
+    return reports.diff_scope_join(*sites_and_ranges(t))
+
+
+@query("diff_scope_parted", SCOPED)
+def _(t):
+    return reports.diff_scope_join(*sites_and_ranges(t), parted=True)
 
 
 W8 = "CASE {} WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END"
