@@ -9,32 +9,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verdigris.functions.scalars import canonical_json
+
 GENESIS = "0" * 64
 
 
-def canonical() -> Column:
-    """The text of an entry: its fields by name, in order, and the digest before it."""
-    return F.to_json(F.struct(F.col("buyer"), F.col("prev_hash").alias("prevHash"), F.col("records_served").alias("recordsServed"), F.col("seq"), F.col("tier")))
+def canonical(with_query: bool = False) -> Column:
+    """The text of an entry: its fields by name, in order, and the digest before it; a query of any depth in its one form."""
+    head = F.to_json(F.struct(F.col("buyer"), F.col("prev_hash").alias("prevHash")))
+    tail = F.to_json(F.struct(F.col("records_served").alias("recordsServed"), F.col("seq"), F.col("tier")))
+    if not with_query:
+        return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substring(tail, F.lit(2), F.length(tail)))
+    asked = F.coalesce(F.concat(F.lit('"query":'), canonical_json(F.col("query")), F.lit(",")), F.lit(""))
+    return F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), asked, F.substring(tail, F.lit(2), F.length(tail)))
 
 
 def usage_chain_build(entries: DataFrame) -> DataFrame:
-    """(ledger, seq, buyer, tier, records_served, prev_hash, hash): a chain for each ledger.
+    """(ledger, seq, buyer, tier, records_served, prev_hash, hash, and query if entries have it): a chain for each ledger.
 
     A row's digest needs the one before: a fold for each ledger, and as many at
-    once as there are ledgers.
+    once as there are ledgers. query is JSON text of any depth; equal values have
+    equal digests however they are written. Without one, or if it is no JSON, an
+    entry has none.
     """
+    with_query = "query" in entries.columns
+    told = entries.withColumn("_query", canonical_json(F.col("query")) if with_query else F.lit(None).cast("string"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq").reset_index(drop=True)
         before, prev, hashes = GENESIS, [], []
-        for i, (buyer, served, tier) in enumerate(zip(rows["buyer"], rows["records_served"], rows["tier"], strict=True)):
+        for i, (buyer, served, tier, asked) in enumerate(zip(rows["buyer"], rows["records_served"], rows["tier"], rows["_query"], strict=True)):
             prev.append(before)
-            text = f'{{"buyer":{buyer},"prevHash":"{before}","recordsServed":{served},"seq":{i},"tier":"{tier}"}}'
+            query = f'"query":{asked},' if isinstance(asked, str) else ""
+            text = f'{{"buyer":{buyer},"prevHash":"{before}",{query}"recordsServed":{served},"seq":{i},"tier":"{tier}"}}'
             before = hashlib.sha256(text.encode()).hexdigest()
             hashes.append(before)
-        return rows.assign(seq=range(len(rows)), prev_hash=prev, hash=hashes)[["ledger", "seq", "buyer", "tier", "records_served", "prev_hash", "hash"]]
+        return rows.assign(seq=range(len(rows)), prev_hash=prev, hash=hashes)[names]
 
-    return entries.groupBy("ledger").applyInPandas(fold, "ledger long, seq long, buyer long, tier string, records_served long, prev_hash string, hash string")
+    names = ["ledger", "seq", "buyer", "tier", "records_served", "prev_hash", "hash", *(["query"] if with_query else [])]
+    return told.groupBy("ledger").applyInPandas(fold, "ledger long, seq long, buyer long, tier string, records_served long, prev_hash string, hash string" + ", query string" * with_query)
 
 
 def usage_chain_verify(chain: DataFrame) -> DataFrame:
@@ -45,7 +58,7 @@ def usage_chain_verify(chain: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("ledger").orderBy("seq")
     rows = chain.withColumns({"_place": F.row_number().over(w) - 1, "_before": F.coalesce(F.lag("hash").over(w), F.lit(GENESIS))})
-    reason = F.when(F.col("seq") != F.col("_place"), "bad-sequence").when(F.col("prev_hash") != F.col("_before"), "broken-chain").when(F.col("hash") != F.sha2(canonical(), 256), "bad-hash")
+    reason = F.when(F.col("seq") != F.col("_place"), "bad-sequence").when(F.col("prev_hash") != F.col("_before"), "broken-chain").when(F.col("hash") != F.sha2(canonical("query" in chain.columns), 256), "bad-hash")
     return rows.withColumn("_reason", reason).groupBy("ledger").agg(F.count("*").alias("rows"), F.min(F.when(F.col("_reason").isNotNull(), F.col("seq"))).alias("broken_at"), F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.col("seq"))).alias("reason"))
 
 

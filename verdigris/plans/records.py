@@ -190,3 +190,10 @@ def _(t):
     line = F.when(F.col("turn") % 3 == 2, "noise").otherwise(F.concat(F.lit("Program "), "role", F.lit(" invoke ["), F.col("turn").cast("string"), F.lit("]")))
     logs = t.conversations.groupBy("conv_id").agg(F.collect_list(line).alias("logs"))
     return logs.select("conv_id", F.array_join(F.array_sort(S.invoked_programs(F.col("logs"))), ",").alias("programs"))
+
+
+@query("canonical_json", "SELECT event_id, '{\"a\":\"' || event_type || '\",\"m\":' || replace(replace(props, ' ', ''), ': ', ':') || ',\"z\":[' || user_id || ',{\"x\":null,\"y\":\"\\n\"}]}' AS text FROM <events>")
+def _(t):
+    """JSON that is written with blanks and keys in another order."""
+    text = F.concat(F.lit('{ "z": ['), F.col("user_id").cast("string"), F.lit(', {"y": "\\u000a", "x": null}],\n "m": '), "props", F.lit(', "a": "'), "event_type", F.lit('" }'))
+    return t.events.select("event_id", S.canonical_json(text).alias("text"))

@@ -25,6 +25,18 @@ def _(t):
     return ledgers.usage_chain_verify(chain.withColumn("records_served", altered))
 
 
+@query("usage_chain_queries", "SELECT o_custkey AS ledger, count(*) AS rows, CASE WHEN o_custkey % 4 = 0 AND count(*) > 5 THEN 5 END AS broken_at, CASE WHEN o_custkey % 4 = 0 AND count(*) > 5 THEN 'bad-hash' END AS reason FROM <orders> GROUP BY 1")
+def _(t):
+    """Chains whose entries have a query of some depth: verified on queries that are written in another order, of which some have another value."""
+    key, no = F.col("seq"), F.col("seq").cast("string")
+    first = F.concat(F.lit('{"tier": {"b": [1, {"y": '), no, F.lit(', "x": null}], "a": "é"}, "lots": ["seed"], "limit": '), no, F.lit("}"))
+    other = F.concat(F.lit('{"limit":'), F.when((F.col("ledger") % 4 == 0) & (F.col("place") == 5), -1).otherwise(F.col("key")).cast("string"), F.lit(',"lots":["seed"],"tier":{"a":"\\u00e9","b":[1,{"x":null,"y":'), F.col("key").cast("string"), F.lit("}]}}"))
+    built = ledgers.usage_chain_build(entries(t).withColumn("query", F.when(key % 3 > 0, first)))
+    read = built.withColumn("key", F.get_json_object("query", "$.limit").cast("long")).withColumn("place", F.col("seq"))
+    broken = F.when((F.col("ledger") % 4 == 0) & (F.col("seq") == 5) & F.col("query").isNull(), F.lit('"none"')).otherwise(F.when(F.col("query").isNotNull(), other))
+    return ledgers.usage_chain_verify(read.withColumn("query", broken).drop("key", "place"))
+
+
 @query("change_detect_batch", "SELECT author, event_id, before, rule_id FROM (SELECT author, event_id, rule_id, lag(rule_id) OVER (PARTITION BY author ORDER BY event_id) AS before FROM <xp>) WHERE before <> rule_id")
 def _(t):
     return ledgers.change_points(t.xp, "author", ["event_id"], "rule_id").select("author", "event_id", "before", "rule_id")
