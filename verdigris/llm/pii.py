@@ -202,6 +202,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    added = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("key", "id")]
+    of = F.transform("found", lambda s: s["kind"])
+    added = [(F.size("found") - F.size(F.array_remove(of, k))).cast("long").alias(f"n_{k}") for k in ("key", "id")]
     more = [*added, F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans")]
     return spans.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "found")).alias("spans"), *more)
