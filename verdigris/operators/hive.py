@@ -21,8 +21,12 @@ def dependency_match(deps: DataFrame, records: DataFrame) -> DataFrame:
 def outbreak_match(new: DataFrame, deps: DataFrame, least: str = "high") -> DataFrame:
     """A row for each new proven record of at least a severity that some repository depends on, with its repositories."""
     grave = proven_filter(new).where(severity_rank(F.col("severity")) >= severity_rank(F.lit(least)))
-    hits = dependency_match(deps, grave.select("rec_no", "trap_id", "severity", "sdk_name"))
-    return hits.groupBy("rec_no", "trap_id", "severity").agg(F.countDistinct("repo_id").alias("breadth"), F.sort_array(F.collect_set("repo_id")).alias("repos"))
+    names = grave.groupBy("rec_no", "trap_id", "severity").agg(F.array_sort(F.collect_set(F.lower("sdk_name"))).alias("_names"))
+    # Repositories are gathered once for each set of names, mostly one name, and not once a record.
+    asked = names.select("_names").distinct().select("_names", F.explode("_names").alias("_name"))
+    on = deps.select("repo_id", F.lower("dep").alias("_name")).distinct()
+    known = asked.join(on, "_name").groupBy("_names").agg(F.sort_array(F.collect_set("repo_id")).alias("repos"))
+    return names.join(known, "_names").select("rec_no", "trap_id", "severity", F.size("repos").cast("long").alias("breadth"), "repos")
 
 
 def demand_signal(events: DataFrame, records: DataFrame) -> DataFrame:
