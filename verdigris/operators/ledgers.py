@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.functions.scalars import canonical_json
+from verdigris.sources.tables import bounded_batches
 
 GENESIS = "0" * 64
 
@@ -27,27 +29,41 @@ def canonical(with_query: bool = False) -> Column:
 def usage_chain_build(entries: DataFrame) -> DataFrame:
     """(ledger, seq, buyer, tier, records_served, prev_hash, hash, and query if entries have it): a chain for each ledger.
 
-    A row's digest needs the one before: a fold for each ledger, and as many at
-    once as there are ledgers. query is JSON text of any depth; equal values have
-    equal digests however they are written. Without one, or if it is no JSON, an
-    entry has none.
+    A row's digest needs the one before: a fold for each ledger. Ledgers of a
+    partition follow each other in its batches, so none is held whole and none costs
+    a call of its own. query is JSON text of any depth; equal values have equal
+    digests however they are written. Without one, or if it is no JSON, an entry has
+    none.
     """
     with_query = "query" in entries.columns
-    told = entries.withColumn("_query", canonical_json(F.col("query")) if with_query else F.lit(None).cast("string"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq").reset_index(drop=True)
-        before, prev, hashes = GENESIS, [], []
-        for i, (buyer, served, tier, asked) in enumerate(zip(rows["buyer"], rows["records_served"], rows["tier"], rows["_query"], strict=True)):
-            prev.append(before)
-            query = f'"query":{asked},' if isinstance(asked, str) else ""
-            text = f'{{"buyer":{buyer},"prevHash":"{before}",{query}"recordsServed":{served},"seq":{i},"tier":"{tier}"}}'
-            before = hashlib.sha256(text.encode()).hexdigest()
-            hashes.append(before)
-        return rows.assign(seq=range(len(rows)), prev_hash=prev, hash=hashes)[names]
+    inner = lambda c, name: (lambda x: F.substring(x, F.lit(2), F.length(x) - 2))(F.to_json(F.struct(F.col(c).alias(name))))
+    parts = F.struct(
+        F.when(F.col("buyer").isNotNull(), F.concat(inner("buyer", "buyer"), F.lit(","))).alias("buyer"), (canonical_json(F.col("query")) if with_query else F.lit(None).cast("string")).alias("query"),
+        F.when(F.col("records_served").isNotNull(), F.concat(inner("records_served", "recordsServed"), F.lit(","))).alias("served"), F.when(F.col("tier").isNotNull(), F.concat(F.lit(","), inner("tier", "tier"))).alias("tier"),
+    )
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ledger, before, i = object(), GENESIS, 0
+        for batch in batches:
+            seq, prev, hashes = [], [], []
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if key != ledger:
+                    ledger, before, i = key, GENESIS, 0
+                asked = f'"query":{part["query"]},' if part["query"] is not None else ""
+                text = f'{{{part["buyer"] or ""}"prevHash":"{before}",{asked}{part["served"] or ""}"seq":{i}{part["tier"] or ""}}}'
+                prev.append(before)
+                seq.append(i)
+                before, i = hashlib.sha256(text.encode()).hexdigest(), i + 1
+                hashes.append(before)
+            own = [pa.array(seq, pa.int64()), *(batch.column(c) for c in ("buyer", "tier", "records_served")), pa.array(prev, pa.string()), pa.array(hashes, pa.string()), *([batch.column("query")] if with_query else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], names)
 
     names = ["ledger", "seq", "buyer", "tier", "records_served", "prev_hash", "hash", *(["query"] if with_query else [])]
-    return told.groupBy("ledger").applyInPandas(fold, "ledger long, seq long, buyer long, tier string, records_served long, prev_hash string, hash string" + ", query string" * with_query)
+    kinds = {"ledger": "long", "seq": "long", "buyer": "long", "tier": "string", "records_served": "long"} | ({"query": "string"} if with_query else {})
+    bounded_batches(entries.sparkSession)
+    told = entries.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), parts.alias("_parts"))
+    ordered = told.repartition("ledger").sortWithinPartitions("ledger", F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(fold, "ledger long, seq long, buyer long, tier string, records_served long, prev_hash string, hash string" + ", query string" * with_query)
 
 
 def usage_chain_verify(chain: DataFrame) -> DataFrame:
