@@ -171,3 +171,16 @@ def test_sessions_over_batches(spark, tmp_path):
     closed = [x for x in totals + [(u, b, last + 100, n, s) for u, (b, last, s, n) in held.items()] if x[2] <= rows[-1][2]]
     got = spark.read.parquet(f"{tmp_path}/totals/data").select("user", F.unix_seconds("start"), F.unix_seconds("end"), "rows", "total").collect()
     assert sorted(map(tuple, got)) == sorted(closed)
+
+
+def test_keys_expire_over_batches_without_a_call_each(spark, tmp_path):
+    """A key that comes again in time stays, one that comes after its time is live anew, and one that comes too late isn't."""
+    parts = [[(1, 0), (2, 0), (3, 50)], [(2, 95), (3, 160)], [(4, 10), (1, 200), (5, 101)], [(6, 201)]]
+    source = in_batches(spark, tmp_path, parts, "id long, s long").select("id", F.timestamp_seconds("s").alias("ts"))
+    out = streams.expiring(source, "id", 100)
+    assert "FlatMapGroupsInPandasWithState" not in out._jdf.queryExecution().analyzed().toString()
+    with stateful.keyed_state(spark):
+        streams.run_once(out, f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out/data")
+    assert {(r.id, r.at) for r in rows.where("NOT live").collect()} >= {(1, 0), (2, 95_000), (3, 50_000)}
+    assert {r.id: r.live for r in streams.latest_state(rows, "id", 100).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True}

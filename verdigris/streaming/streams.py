@@ -122,36 +122,22 @@ def windowed_counts(events: DataFrame, width: str, late: str) -> DataFrame:
 
 
 def expiring(events: DataFrame, key: str, width: int, late: str = "0 seconds") -> DataFrame:
-    """(key, at, live) from (key, ts): a live row when a key is seen, and one that isn't when event time has gone on by more than width seconds since.
+    """(key, at, live) from (key, ts): a live row for each row of a key, and one that isn't when event time has gone on by more than width seconds since the last.
 
-    State is a time for each live key, and gone with it.
+    A key's times until it expires are a session; state is the session of each live
+    key, and gone with it. Keys cost no call to Python.
     """
+    timed = events.select(key, F.timestamp_millis(F.unix_millis("ts")).alias("ts"))
+    seen = timed.select(key, F.unix_millis("ts").alias("at"), F.lit(True).alias("live"))
+    over = timed.withWatermark("ts", late).groupBy(key, F.session_window("ts", f"{width * 1000 + 1} milliseconds")).agg(F.max(F.unix_millis("ts")).alias("at"))
+    return seen.unionByName(over.select(key, "at", F.lit(False).alias("live")))
 
-    def each(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "at": [last], "live": [False]})
-            return
-        last = max(int(rows["at"].max()) for rows in batches)
-        if state.exists:
-            last = max(last, state.get[0])
-        ends = last + width * 1000 + 1
-        live = ends > state.getCurrentWatermarkMs()
-        if live:
-            state.update((last,))
-            state.setTimeoutTimestamp(ends)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({key: [k[0]], "at": [last], "live": [live]})
-
-    timed = events.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(each, f"{key} long, at long, live boolean", "at long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def latest_state(rows: DataFrame, key: str) -> DataFrame:
-    """(key, live) from what expiring() gave: a key is live unless its last row says that it isn't."""
-    return rows.groupBy(key).agg(F.max_by("live", F.struct("at", (~F.col("live")).alias("over"))).alias("live"))
+
+def latest_state(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, live) from what expiring() gave: a key is live unless its last row says that it isn't, or came late and was over already."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct("at", "live"), F.struct("at", (~F.col("live")).alias("over"))).alias("_last"))
+    now = rows.agg(F.max("at").alias("_now"))
+    return last.join(F.broadcast(now)).select(key, (F.col("_last.live") & (F.col("_now") - F.col("_last.at") <= width * 1000)).alias("live"))
 
 
 def accept_rows(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, list[bool]]:
