@@ -196,3 +196,13 @@ def test_a_watch_has_its_state_with_its_rows(spark, tmp_path):
         streams.run_once(out, f"{tmp_path}/out")
     got = spark.read.parquet(f"{tmp_path}/out/data").groupBy("kind").count().collect()
     assert dict(map(tuple, got)) == {"watch_started": 300, "new_activity": 300, "authority_changed": 300}
+
+
+def test_outbreak_alerts_are_written_once_a_record(spark, sf):
+    """What the stream writes grows with the records, not with their repositories."""
+    from verdigris.plans import registry
+
+    out = registry.queries()["stream_outbreak_alerts"](spark, sf)
+    path = next(f for f in out.inputFiles() if "/streams/" in f).rsplit("/", 1)[0]
+    written, records = spark.read.parquet(path).count(), spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert 0 < written <= records < out.count()
