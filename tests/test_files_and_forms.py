@@ -100,3 +100,12 @@ def test_lots_tell_their_faults(spark, tmp_path):
     assert sorted(map(tuple, faults.collect()), key=str) == [("a", "malformed", "nothing"), ("a", "malformed", '{"rec_no": "text"}'), ("a", "malformed", '{"rec_no": 2'), ("b", "missing", None), ("c", "missing", None)]
     rows, faults = files.lots_with_faults(spark, {"b": f"{tmp_path}/b.jsonl"})
     assert rows.count() == 0 and faults.count() == 1
+
+
+def test_documents_are_written_by_all_tasks(spark, sf):
+    """A file for each document, and not all of them by the task that reads a small table."""
+    from verdigris.plans import registry
+
+    names = [f.rsplit("/", 1)[-1] for f in registry.queries()["document_scan"](spark, sf).inputFiles()]
+    assert len(names) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len({n.split("-")[1] for n in names}) > 1
