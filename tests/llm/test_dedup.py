@@ -230,3 +230,28 @@ def test_large_groups_are_parted_with_the_same_result(spark, pivots):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: x.keep_id for x in near_copies.near_groups(docs, limit=8192, pivots=pivots).collect()}
     assert got == want
+
+
+def test_near_copies_are_searched_by_simhash(spark):
+    """At 0.8 fingerprints differ in the share of bits that the radius and the tables go by; with shards of a few texts the groups are the same."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for size in (4, 9, 40, 300):
+        for _ in range(60):
+            shared, own = rng.integers(0, 1 << 64, (2, size + size // 4), np.uint64)
+            n, extra = (size, 0) if size == 4 else (8 * size // 9, size // 9)
+            a, b = np.sort(np.append(shared[:n], own[:extra])), np.sort(np.append(shared[:n], own[extra : 2 * extra] if extra else own[:1]))
+            pairs.append(np.mean(near_copies.simhash_bits(a, 8) != near_copies.simhash_bits(b, 8)))
+    share = near_copies.flip_share(0.8)
+    assert abs(np.mean(pairs) - share) < 0.03
+    assert max(pairs) * 192 < near_copies.radius(192, 0.8)
+    assert all((1 - (1 - share) ** bits) ** times <= near_copies.MISS for n in (1, 5000, 10**6, 10**9) for times, bits in [near_copies.tables(n)])
+    r = random.Random(3)
+    texts = []
+    for k in range(150):
+        base = [f"{k}w{r.random()}" for _ in range(90)]
+        texts += [base, [w if i != k % 90 else "x" for i, w in enumerate(base)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert near_copies.tables(300, shard=8)[1] == 6
+    got = {x.doc_id: x.keep_id for x in near_copies.near_groups(docs, shard=8).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
