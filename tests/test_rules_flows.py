@@ -42,6 +42,30 @@ def test_literals_are_in_every_match():
                 assert any(x in text.lower() for x in literals), (pattern, text)
 
 
+def test_spelled_literals_are_in_every_match():
+    assert rules.spelled_literals('(["|]|[A-Z]{2})the(s|ed)?[ .,]') == {f"{c}the" for c in '"|ABCDEFGHIJKLMNOPQRSTUVWXYZ'}
+    assert rules.spelled_literals("(foo|ba[rz])!") == {"foo!", "bar!", "baz!"}
+    assert [rules.spelled_literals(p) for p in ("(?i)abc", "[^a]", "x*", "", r"\Q(\E", "[a-c&&[b]]x", "(a|)")] == [None] * 7
+    rng = random.Random(6)
+    atoms = ["ab", "c", "[a-c]", "(a|bc)", "(b|)", "a?", "(ca)+", "(?:bb|cc){1,2}", "b*", "[A-C]{2}", ".", "(a(b|cb)c)?", "$", "(?=b)", "[^b]", "[a-zA-C]{4}"]
+    for _ in range(600):
+        pattern = "".join(rng.choice(atoms) for _ in range(rng.randint(1, 4)))
+        literals = rules.spelled_literals(pattern)
+        for _ in range(40):
+            text = "".join(rng.choice("abcABC") for _ in range(rng.randint(0, 8)))
+            if literals is not None and (m := re.search(pattern, text)):
+                assert any(x in m.group() for x in literals), (pattern, text)
+
+
+def test_few_pairs_are_fetched_in_vain(spark):
+    """A common word is no literal where the expression asks for a quote or capitals before it."""
+    texts = ["all of the words and the rest " * 50, 'say "the" word', "by THthe .", "no such word", "of them in an end"]
+    table = [{"rule_id": "t", "name": '(["|]|[A-Z]{2})the(s|ed)?[" .,]', "trigger": "them in", "kind": "forbidden", "pattern": "the"}]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in rules.fetched(docs, table).collect()) == [1, 2, 4]
+    assert sorted(r.doc_id for r in rules.rule_scan(docs, table).collect()) == [1, 2, 4]
+
+
 def test_thousands_of_rules_in_one_pass(spark, monkeypatch):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
