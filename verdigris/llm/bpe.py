@@ -29,9 +29,9 @@ NONE = np.int32(2**31 - 1)
 #: Bounds of piece lengths in bytes for the matrices; longer pieces take the heap.
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Cells of one matrix.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Bytes of distinct pieces that a worker remembers before it starts afresh; what one takes beside its text and ids; the longest that is remembered past its slice.
-MEMORY, PIECE, LONG_PIECE = 48 << 20, 200, 64
+MEMORY, PIECE, LONG_PIECE = 24 << 20, 200, 64
 #: Characters beyond which a text is cut to pieces a list at a time.
 LONG_TEXT = 1 << 18
 #: Ids of a text that are Python objects at once when it is decoded or digested.
@@ -188,11 +188,15 @@ class Codec:
         while some := [m.group() for m in islice(matches, 1 << 16)]:
             yield some
 
+    def forget(self) -> None:
+        """Drop the pieces remembered so far."""
+        self.known.clear()
+        self.held = 0
+
     def _ids(self, lists: list[list[str]]) -> list[np.ndarray]:
         """Ids of each list of pieces; what isn't known yet is learnt for all lists at once, and long pieces are forgotten after."""
         if self.held > MEMORY:
-            self.known.clear()
-            self.held = 0
+            self.forget()
         missing = set().union(*lists).difference(self.known)
         if missing:
             self.learn(missing)
@@ -239,12 +243,15 @@ def _codec(path: str, pattern: str) -> Codec:
 def encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """Adds token_ids, slice by slice."""
     codec = _codec(path, pattern)
-    for batch in sliced(batches, text_col, 1 << 20):
-        ids = codec.encode_all([text or "" for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-        kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema)]
-        yield pa.RecordBatch.from_arrays([*(c for _, c in kept), coded], [*(n for n, _ in kept), "token_ids"])
+    try:
+        for batch in sliced(batches, text_col, 1 << 20):
+            ids = codec.encode_all([text or "" for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema)]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), coded], [*(n for n, _ in kept), "token_ids"])
+    finally:
+        codec.forget()  # the worker outlives its task, and stages after this one need its memory
 
 
 def decode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.shared import KeyFilter, mapped, named, sliced, written
 
 #: Bytes that one table holds; a task has one table at a time.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 #: What an entry of a table takes beside its content: its slot, its hash, its objects.
 ENTRY_BYTES = 200
 #: Bits by which a bucket that doesn't fit is partitioned again.
