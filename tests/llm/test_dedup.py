@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -255,3 +256,49 @@ def test_near_copies_are_searched_by_simhash(spark):
     assert near_copies.tables(300, shard=8)[1] == 6
     got = {x.doc_id: x.keep_id for x in near_copies.near_groups(docs, shard=8).collect()}
     assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_only_texts_that_can_have_near_copies_are_dealt(spark, monkeypatch):
+    """Others share a line at most; what is dealt follows the near copies and not all texts, and the groups are those of all pairs."""
+    r = random.Random(17)
+    line = [f"line{i}" for i in range(12)]
+    dealt = []
+
+    def grouped(placed, *more):
+        dealt.append(placed.count())
+        return group_links(placed, *more)
+
+    group_links = near_copies.group_links
+    monkeypatch.setattr(near_copies, "group_links", grouped)
+    for others in (100, 500):
+        texts = [[f"o{k}w{i}" for i in range(r.choice([3, 30, 120]))] + line for k in range(others)]
+        for k in range(20):
+            base = [f"n{k}w{i}" for i in range(r.choice([6, 20, 60, 300]))]
+            texts += [base, [w if i != k % len(base) else "x" for i, w in enumerate(base)]]
+        r.shuffle(texts)
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        sets = {i: set(near_copies.shingles(t).tolist()) for i, t in rows}
+        want = classes(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))  # noqa: B023
+        want = {i: t for i, t in want.items() if list(want.values()).count(t) > 1}
+        assert len(want) > 15
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {x.doc_id: x.keep_id for x in near_copies.near_groups(docs, shard=16).collect()} == want
+    # two calls a run: shards, then blocks
+    assert dealt[2] < 2 * dealt[0]
+
+
+def test_near_copies_share_least_shingles():
+    """Sets of 0.8 have more than the stated number of their least elements in common; chances are below MISS."""
+    for similarity in (0.3, 0.5, 0.8, 0.95, 1):
+        k, t = near_copies.least_needed(similarity)
+        assert 1 <= t <= k and sum(math.comb(k, i) * similarity**i * (1 - similarity) ** (k - i) for i in range(t)) <= near_copies.MISS
+    k, t = near_copies.least_needed(0.8)
+    assert (k, t) == (16, 4)
+    rng = np.random.default_rng(9)
+    for both in (4, 8, 12, 16, 20, 40, 400):
+        for _ in range(300):
+            whole = rng.permutation(rng.integers(0, 1 << 64, 5 * both // 4, np.uint64))
+            cut = int(rng.integers(both, len(whole) + 1))
+            a, b = np.sort(whole[:cut]), np.sort(np.append(whole[:both], whole[cut:]))
+            shared = len(np.intersect1d(a[:k], b[:k]))
+            assert shared * k >= t * min(k, len(a)) and shared * k >= t * min(k, len(b))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm.shared import KeyFilter, mapped, named, sliced, written
+from verdigris.llm.shared import KeyFilter, mapped, named, narrow_side, sliced, written
 
 #: Bytes that one table holds; a task has one table at a time.
 TABLE_BYTES = 24 << 20
@@ -192,7 +192,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(named(text_col).cast("string"), F.lit(""))
     marked = docs.select(F.struct("*").alias("row"), named(id_col).cast("long").alias("row_id"), F.sha2(text, 256).alias("sha")).withColumn("known", known.may_have(key))
     alone = marked.where("NOT known").select("row.*")
-    met = marked.where("known").alias("m").join(grouped.alias("g"), F.expr("m.row_id <=> g.row_id AND m.sha = g.sha"), "left").select("m.row", "m.row_id", "m.sha", "g.stays")
+    met = marked.where("known").alias("m").join(narrow_side(grouped).alias("g"), F.expr("m.row_id <=> g.row_id AND m.sha = g.sha"), "left").select("m.row", "m.row_id", "m.sha", "g.stays")
     # Without a group a row was let through in vain, and its repeats, if there were any, would be a group: it is alone.
     one = met.where("stays IS NULL OR stays").groupBy("row_id", "sha").agg(F.first("row").alias("row")).select("row.*")
     return alone.unionByName(one)
