@@ -302,3 +302,27 @@ def test_near_copies_share_least_shingles():
             a, b = np.sort(whole[:cut]), np.sort(np.append(whole[:both], whole[cut:]))
             shared = len(np.intersect1d(a[:k], b[:k]))
             assert shared * k >= t * min(k, len(a)) and shared * k >= t * min(k, len(b))
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_near_copies_that_simhash_misses_are_found(spark, monkeypatch, few):
+    """Pairs whose fingerprints are too far apart; and all groups where no shard has a candidate, with the texts of a shingle joined or parted."""
+    words = [[f"v{k}x{i}" for i in range(9)] for k in (30214, 41369)]
+    docs = spark.createDataFrame([(10 * k + n, " ".join(w[:n])) for k, w in enumerate(words) for n in (8, 9)], "doc_id long, text string")
+    if few == 64:
+        assert {x.doc_id: x.keep_id for x in near_copies.near_groups(docs).collect()} == {8: 8, 9: 8, 18: 18, 19: 18}
+    r = random.Random(23)
+    line = [f"line{i}" for i in range(12)]
+    texts = [[f"o{k}w{i}" for i in range(r.choice([3, 6, 40]))] + line for k in range(30)]
+    for k in range(12):
+        base = [f"n{k}w{i}" for i in range(r.choice([8, 20, 60, 900]))]
+        texts += [base, base[: len(base) - len(base) // 12], [w if i != len(base) // 2 else "x" for i, w in enumerate(base)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set(near_copies.shingles(t).tolist()) for i, t in rows}
+    want = classes(sets, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    want = {i: t for i, t in want.items() if list(want.values()).count(t) > 1}
+    assert len(want) > 20
+    for name, value in (("FEW", few), ("TILE", 4), ("shard_links", lambda members, similarity: [])):
+        monkeypatch.setattr(near_copies, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.keep_id for x in near_copies.near_groups(docs).collect()} == want
