@@ -144,3 +144,12 @@ def test_flows_of_nothing(spark):
     none = spark.createDataFrame([], "caller string, arg string, callee string, param string")
     places = spark.createDataFrame([], "fn string, value string")
     assert flows.taint_flows(none, places, places).collect() == []
+
+
+def test_documents_of_one_split_are_scanned_by_all_cores(spark):
+    """Expressions run where the documents are, so those of one partition are dealt to more tasks than there are cores."""
+    docs = spark.range(200).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("call("), F.col("id").cast("string"), F.lit(")\nend")).alias("text"))
+    rule = {"rule_id": "r", "name": "call", "trigger": "call(", "kind": "forbidden", "pattern": "end"}
+    tasks = rules.rule_scan(docs, [rule]).select("doc_id", "line", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.doc_id, r.line) for r in tasks) == [(i, 2) for i in range(200)]
+    assert len({r.task for r in tasks}) >= spark.sparkContext.defaultParallelism
